@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -82,6 +82,33 @@ def fit_combo_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_
     return lookup(fit_amount_stats(df, keys, exact), fit_count_stats(df, keys, day), keys)
 
 
+def amount_norm(amount: Column, median: Column, iqr: Column) -> Column:
+    return (X.signed_log1p(amount) - median) / F.greatest(iqr, F.lit(APPLY_FLOOR))
+
+
+def count_norm(count: Column, median: Column, iqr: Column, iqr_floor: float = COUNT_FLOOR,
+               clip: tuple[float, float] = (-10.0, 10.0)) -> Column:
+    norm = (F.log1p(count.cast("double")) - median) / F.greatest(iqr, F.lit(iqr_floor))
+    return F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), norm))
+
+
+def amount_from_norm(norm: Column, median: Column, iqr: Column) -> Column:
+    """Inverse of the normalised amount; unseen combinations use median 0 and IQR 1."""
+    return X.inv_signed_log1p(norm * F.coalesce(iqr, F.lit(1.0)) + F.coalesce(median, F.lit(0.0)))
+
+
+def count_from_norm(norm: Column, median: Column, iqr: Column, iqr_floor: float = COUNT_FLOOR) -> Column:
+    return F.greatest(F.lit(0.0), F.expm1(norm * F.greatest(iqr, F.lit(iqr_floor)) + median))
+
+
+def with_fallback(df: DataFrame, stats: DataFrame, fallback: DataFrame, cols: list[str], keys: list[str],
+                  stored: bool) -> tuple[DataFrame, list[Column]]:
+    """Rows with the named statistics of their key, else those of the one-row fallback, as columns to use."""
+    own = stats.select(*keys, *[F.col(c).alias(f"__own_{c}") for c in cols])
+    joined = with_scalars(attach(df, own, keys, stored), fallback.select(*cols))
+    return joined, [F.coalesce(f"__own_{c}", f"__g.{c}") for c in cols]
+
+
 def normalize_amount(df: DataFrame, stats: DataFrame, fallback: DataFrame | str, keys: list[str] = S.KEYS,
                      stored: bool = False) -> DataFrame:
     """Add ``y_norm``, the signed log amount in robust units of its combination.
@@ -93,11 +120,8 @@ def normalize_amount(df: DataFrame, stats: DataFrame, fallback: DataFrame | str,
         q = percentiles(df, [], "amount", QUARTILES, maps=logs)
         fallback = q.select(F.col("q50").alias("median_log"),
                             F.greatest(F.col("q75") - F.col("q25"), F.lit(FIT_FLOOR)).alias("iqr_log"))
-    joined = attach(df, stats.select(*keys, "median_log", "iqr_log"), keys, stored)
-    joined = with_scalars(joined, fallback.select("median_log", "iqr_log"))
-    median = F.coalesce("median_log", "__g.median_log")
-    iqr = F.greatest(F.coalesce("iqr_log", "__g.iqr_log"), F.lit(APPLY_FLOOR))
-    return joined.select(*df.columns, ((X.signed_log1p(F.col("amount")) - median) / iqr).alias("y_norm"))
+    joined, (median, iqr) = with_fallback(df, stats, fallback, ["median_log", "iqr_log"], keys, stored)
+    return joined.select(*df.columns, amount_norm(F.col("amount"), median, iqr).alias("y_norm"))
 
 
 def add_count_norm(df: DataFrame, stats: DataFrame, fallback: DataFrame, keys: list[str] = S.KEYS,
@@ -106,32 +130,25 @@ def add_count_norm(df: DataFrame, stats: DataFrame, fallback: DataFrame, keys: l
     """Add the daily count of each row's combination in robust units, clipped."""
     if "trans_count_day" not in df.columns:
         df = group_context(df, [*keys, day], {"trans_count_day": F.count(F.lit(1))})
-    joined = attach(df, stats.select(*keys, "count_median_log", "count_iqr_log"), keys, stored)
-    joined = with_scalars(joined, fallback.select("count_median_log", "count_iqr_log"))
-    median = F.coalesce("count_median_log", "__g.count_median_log")
-    iqr = F.greatest(F.coalesce("count_iqr_log", "__g.count_iqr_log"), F.lit(iqr_floor))
-    norm = (F.log1p(F.col("trans_count_day").cast("double")) - median) / iqr
-    return joined.select(*df.columns,
-                         F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), norm)).alias("count_norm"))
+    joined, (median, iqr) = with_fallback(df, stats, fallback, ["count_median_log", "count_iqr_log"], keys, stored)
+    norm = count_norm(F.col("trans_count_day"), median, iqr, iqr_floor, clip)
+    return joined.select(*df.columns, norm.alias("count_norm"))
 
 
 def invert_amount(df: DataFrame, stats: DataFrame, pred: str = "y_norm_pred", out: str = "amount_pred",
                   keys: list[str] = S.KEYS, stored: bool = False) -> DataFrame:
-    """Amount that a predicted ``y_norm`` stands for; unseen combinations use median 0 and IQR 1."""
+    """Amount that a predicted ``y_norm`` stands for."""
     joined = attach(df, stats.select(*keys, "median_log", "iqr_log"), keys, stored)
-    level = F.col(pred) * F.coalesce("iqr_log", F.lit(1.0)) + F.coalesce("median_log", F.lit(0.0))
-    return joined.select(*df.columns, X.inv_signed_log1p(level).alias(out))
+    value = amount_from_norm(F.col(pred), F.col("median_log"), F.col("iqr_log"))
+    return joined.select(*df.columns, value.alias(out))
 
 
 def invert_count(df: DataFrame, stats: DataFrame, fallback: DataFrame, pred: str = "count_norm_pred",
                  out: str = "trans_count_day_pred", keys: list[str] = S.KEYS, iqr_floor: float = COUNT_FLOOR,
                  stored: bool = False) -> DataFrame:
     """Daily count that a predicted ``count_norm`` stands for, never negative."""
-    joined = attach(df, stats.select(*keys, "count_median_log", "count_iqr_log"), keys, stored)
-    joined = with_scalars(joined, fallback.select("count_median_log", "count_iqr_log"))
-    iqr = F.greatest(F.coalesce("count_iqr_log", "__g.count_iqr_log"), F.lit(iqr_floor))
-    level = F.col(pred) * iqr + F.coalesce("count_median_log", "__g.count_median_log")
-    return joined.select(*df.columns, F.greatest(F.lit(0.0), F.expm1(level)).alias(out))
+    joined, (median, iqr) = with_fallback(df, stats, fallback, ["count_median_log", "count_iqr_log"], keys, stored)
+    return joined.select(*df.columns, count_from_norm(F.col(pred), median, iqr, iqr_floor).alias(out))
 
 
 def row_weights(df: DataFrame, stats: DataFrame, keys: list[str] = S.KEYS, stored: bool = False) -> DataFrame:

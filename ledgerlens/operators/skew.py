@@ -4,6 +4,9 @@ A group counts as *hot* when it holds more than ``1 / hot_share`` of all rows, s
 ``hot_share`` hot groups and their statistics can be broadcast whatever the size of the data. Ordinary groups use a
 plain shuffle; hot groups are spread over many tasks and corrected with the broadcast statistics. Each function reads
 its input more than once: give it a stored table, not a long lazy plan.
+
+Inputs that the planner knows to be at most ``ledgerlens.smallBytes`` (64 MB) fit one task whatever their keys, so they
+take the plain window or join; setting it to 0 always takes the balanced way. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,14 @@ def bucket_count(spark: SparkSession) -> int:
     return n
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the size the planner expects, from the stored size of the inputs, is within the limit."""
+    limit = int(df.sparkSession.conf.get("ledgerlens.smallBytes", str(64 << 20)))
+    if limit <= 0:
+        return False
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
            null_safe: bool = False, hint: bool = False) -> DataFrame:
     """Join a one-row-per-key table to ``df`` without repeating the key columns.
@@ -78,6 +89,8 @@ def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], counts: Data
     Hot keys are answered by a broadcast join and their rows are salted; other keys meet the table in a shuffle.
     ``counts`` (keys, ``__n`` rows of ``df``) avoids counting again.
     """
+    if is_small(df):
+        return lookup(df, table, keys, null_safe=null_safe)
     names = [c for c in table.columns if c not in keys]
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -154,6 +167,8 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     when ``group`` is empty) are cut into order buckets, so that no task holds more than a bucket of a hot group.
     """
     cols, first, ascending = _order(order)
+    if is_small(df):
+        return _running_small(df, group, cols, aggs, totals)
     partial = [AGG[op](c).alias(f"__t_{n}") for n, (op, c) in aggs.items()]
     valued = df
     for n, (_, c) in aggs.items():
@@ -192,6 +207,19 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     return out.select(*df.columns, *result)
 
 
+def _running_small(df: DataFrame, group: list[str], order: list[Column], aggs: dict[str, tuple[str, Column]],
+                   totals: bool) -> DataFrame:
+    part = Window.partitionBy(*group)
+    before = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for n, (op, c) in aggs.items():
+        run = AGG[op](c).over(before)
+        out.append((F.coalesce(run, F.lit(0)) if op == "sum" else run).alias(n))
+    if totals:
+        out += [AGG[op](c).over(part).alias(f"{n}_total") for n, (op, c) in aggs.items()]
+    return df.select("*", *out)
+
+
 def positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """Add the 1-based position of each row in its group and the group size ``<out>_n``."""
     ranked = running(df, group, order, {out: ("sum", F.lit(1).cast("long"))}, totals=True)
@@ -202,15 +230,17 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
                    weight: str | None = None) -> DataFrame:
     """Distinct values per group with ``n`` copies, ``below`` rows before them, ``total`` rows and the ``prev`` value.
 
-    Rows are counted before anything is ordered, so copies of one value never travel together, and the counts are
+    Rows are counted before anything is ordered, so copies of one value never travel together, and large counts are
     stored, so the rows are read once. ``weight`` names a column of row counts when ``df`` is already counted. Extra
     ``sums`` are carried as ``<name>``, ``<name>_below`` and ``<name>_total``.
     """
     sums = sums or {}
     clean = df.filter(F.col(value).isNotNull())
-    counted = stage(clean.groupBy(*keys, value).agg(
+    counted = clean.groupBy(*keys, value).agg(
         F.sum(weight).alias("n") if weight else F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).alias(s) for s, c in sums.items()]), "counted")
+        *[F.sum(c).alias(s) for s, c in sums.items()])
+    if not is_small(counted):
+        counted = stage(counted, "counted")
     aggs = {"below": ("sum", F.col("n")), "prev": ("max", F.col(value))}
     aggs.update({f"{s}_below": ("sum", F.col(s)) for s in sums})
     ranked = running(counted, keys, [value], aggs, totals=True)

@@ -214,8 +214,8 @@ def sql(body: str, *needs: str, extra: dict[str, tuple[str, list[str]]] | None =
     for n in needs:
         add(n)
     body = body.strip()
-    if body.lower().startswith("with "):
-        body = body[5:]
+    if body.lower().startswith("with"):
+        body = body[4:].lstrip()
         return "with " + ", ".join(known[n][0].strip() for n in ordered) + (", " if ordered else "") + body
     head = "with " + ", ".join(known[n][0].strip() for n in ordered) + "\n" if ordered else ""
     return head + body
