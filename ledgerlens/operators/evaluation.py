@@ -123,10 +123,12 @@ def flag_budget(df: DataFrame, score: str, budget: float, tie: tuple[str, ...] =
 
 def recall_per_type(df: DataFrame, scores: list[str], budget: float = 0.03, tie: tuple[str, ...] = ()) -> DataFrame:
     """(anomaly_type, one recall column per score): share of each type among the flagged rows of each detector."""
-    out = df
-    for s in scores:
-        out = flag_budget(out, s, budget, tie, f"__flag_{s}")
-    return out.filter("is_anomaly = 1").groupBy("anomaly_type").agg(*[F.avg(f"__flag_{s}").alias(s) for s in scores])
+    rows = F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])
+    long = df.select("is_anomaly", "anomaly_type", *tie, F.inline(rows))
+    ranked = positions(long, ["model"], ["-score", *tie], "__pos")
+    flag = (F.col("__pos") <= F.floor(F.lit(budget) * F.col("__pos_n"))).cast("int")
+    return ranked.filter("is_anomaly = 1").groupBy("anomaly_type").agg(
+        *[F.avg(F.when(F.col("model") == s, flag)).alias(s) for s in scores])
 
 
 def evaluate_detectors(train: DataFrame, clean_test: DataFrame, detectors: Callable[[int], list], id_col: str,

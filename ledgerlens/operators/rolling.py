@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .skew import running, spread_lookup
+from .skew import running, spread_lookup, stage_large
 
 BASELINE_COLUMNS = [
     "txn_count_7d", "txn_count_30d", "mean_amount_30d", "std_amount_30d", "avg_posting_lag_30d",
@@ -76,7 +76,7 @@ def rolling_baselines(df: DataFrame, keys: list[str] = S.KEYS, mode: str = "row"
     framed = framed.drop("__d")
     inside = running(dated, [*keys, ts], tie,
                      {f"i_{p}": (op, f(F.col(amount), F.col(lag))) for p, (op, f) in PARTS.items()})
-    joined = spread_lookup(inside, framed, [*keys, ts])
+    joined = spread_lookup(stage_large(inside, "inside"), framed, [*keys, ts])
     first = F.col("i_n") == 0
 
     def get(part: str, n: int) -> Column:

@@ -52,6 +52,11 @@ def is_small(df: DataFrame) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
+def stage_large(df: DataFrame, name: str) -> DataFrame:
+    """Store an intermediate result that later steps read several times, unless it is small."""
+    return df if is_small(df) else stage(df, name)
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
            null_safe: bool = False, hint: bool = False) -> DataFrame:
     """Join a one-row-per-key table to ``df`` without repeating the key columns.
@@ -239,8 +244,7 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
     counted = clean.groupBy(*keys, value).agg(
         F.sum(weight).alias("n") if weight else F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(s) for s, c in sums.items()])
-    if not is_small(counted):
-        counted = stage(counted, "counted")
+    counted = stage_large(counted, "counted")
     aggs = {"below": ("sum", F.col("n")), "prev": ("max", F.col(value))}
     aggs.update({f"{s}_below": ("sum", F.col(s)) for s in sums})
     ranked = running(counted, keys, [value], aggs, totals=True)
