@@ -227,7 +227,8 @@ def context_score(test: DataFrame, history: DataFrame, features: list[str], cap:
         n.alias("context_rows"), *[(F.sum(f"x_{c}") / n).alias(f"m_{c}") for c in features],
         *[F.sqrt(F.greatest(F.lit(0.0), (F.sum(f"y_{c}") - F.sum(f"x_{c}") * F.sum(f"x_{c}") / n) / (n - 1))).alias(f"s_{c}")
           for c in features])
-    scored = lookup(test, stats.filter(F.col("context_rows") >= min_context), [date])
+    # One row per calendar day, so the statistics are broadcast.
+    scored = lookup(test, stats.filter(F.col("context_rows") >= min_context), [date], hint=True)
     return scored.select(*test.columns, "context_rows", gaussian_score(features).alias("context_score"))
 
 

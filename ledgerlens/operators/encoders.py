@@ -26,9 +26,9 @@ def apply_id_map(df: DataFrame, col: str, id_map: DataFrame, out: str, oov: str
     keyed = df.withColumn("__value", F.col(col).cast("string"))
     joined = lookup(keyed, table, ["__value"]) if stored else spread_lookup(keyed, table, ["__value"])
     reserve = id_map.filter(F.col("value") == oov).select("id").scalar()
-    reserve = F.coalesce(reserve, F.raise_error(F.lit(f"id map has no {oov}")).cast("long"))
+    missing = F.raise_error(F.lit(f"id map has no {oov}")).cast("long")
     return joined.drop("__value").withColumn("__oov", reserve).withColumn(
-        out, F.coalesce(out, "__oov")).drop("__oov")
+        out, F.when(F.col("__oov").isNull(), missing).otherwise(F.coalesce(out, "__oov"))).drop("__oov")
 
 
 def fit_combo_map(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:

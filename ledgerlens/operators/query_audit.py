@@ -140,8 +140,8 @@ def audit_queries(df: DataFrame, col: str = "query", cfg: AuditConfig = AuditCon
         width = F.coalesce("width_factor", F.lit(1.0))
         cost += F.when(~has_top, F.least(F.lit(50.0), 30 * width)).when(
             n.isNotNull(), F.least(F.lit(40.0), n.cast("double") / F.when(F.col("__warn") > 0, F.col("__warn")).otherwise(500) * 20 * width)).otherwise(0.0)
-    cost += F.coalesce(F.col("expand_depth") * 15, F.lit(0)) + F.coalesce(
-        F.least(F.lit(25.0), F.col("filter_complexity") / 4), F.lit(0.0))
+    cost += F.coalesce(F.col("expand_depth") * 15, F.lit(0))
+    cost += F.when(F.col("__filter").isNotNull(), F.least(F.lit(25.0), F.col("filter_complexity") / 4)).otherwise(0.0)
     cost += F.when(F.col("__orderby").isNotNull(), 10).otherwise(0) + F.when(F.lower("__count") == "true", 5).otherwise(0)
     empty = F.col("__text") == ""
     out = out.withColumn("cost_score", F.when(empty | F.lit(not cfg.estimate_cost), None).otherwise(F.least(F.lit(100.0), cost)))

@@ -130,8 +130,8 @@ def sort_key(df: DataFrame, name: str) -> Column:
         key = F.conv(head, 16, 10).cast("double")
     elif isinstance(kind, T.DateType):
         key = F.unix_date(col).cast("double")
-    elif isinstance(kind, T.TimestampType):
-        key = F.unix_micros(col).cast("double")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = F.unix_micros(col.cast("timestamp")).cast("double")
     else:
         key = col.cast("double")
     return F.coalesce(key, F.lit(float("-inf")))

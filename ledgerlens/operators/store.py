@@ -82,6 +82,15 @@ class DailyCountStore:
         return DailyCountStore(self.spark, path, self.keys)
 
 
+def densify(counts: DataFrame, keys: list[str], end, days: int = 30) -> DataFrame:
+    """Counts of the ``days`` days before ``end`` for every key, 0 where nothing was stored."""
+    last = F.lit(end).cast("date")
+    grid = counts.select(*keys).distinct().withColumn(
+        "day", F.explode(F.sequence(F.date_sub(last, days), F.date_sub(last, 1))))
+    return lookup(grid, counts.select(*keys, "day", "count"), [*keys, "day"]).withColumn(
+        "count", F.coalesce("count", F.lit(0)))
+
+
 def flag_spikes_from_store(df: DataFrame, store: DailyCountStore, posting_col: str = S.POSTING_DATE,
                            before: int | None = None, horizon_days: int = 30, **cfg) -> DataFrame:
     history = store.load_history(df, horizon_days, posting_col, before)

@@ -273,7 +273,7 @@ n as (select *, try_cast(top as bigint) as t, 1+(length(expd)-length(replace(exp
   {_words('lower(flt)', COMPLEX)} + (length(flt)-length(replace(flt,'(','')))*2 as cx,
   length(replace(flt,'(',''))<>length(replace(flt,')','')) as unbalanced, not regexp_matches(head,'^[A-Za-z_$]') as bad from v),
 c as (select *, least(100, case when top is null then 30 when t is not null then least(40,t/{{warn}}.0*20) else 0 end
-  + coalesce(depth*15,0) + coalesce(least(25,cx/4.0),0) + case when ord then 10 else 0 end + case when cnt then 5 else 0 end) as cost from n),
+  + coalesce(depth*15,0) + case when flt is null then 0 else least(25,cx/4.0) end + case when ord then 10 else 0 end + case when cnt then 5 else 0 end) as cost from n),
 s as (select *, case when query='' then 1 else case when bad then 1 else coalesce(unbalanced,false)::int+unknown+blanks end
    + (regexp_matches(query,'(?i)union\\s+select'))::int + (top is not null and (t is null or t<=0 or t>{{max}}))::int
    + coalesce(depth>{{depth}},false)::int + (cost>80)::int end as crit,

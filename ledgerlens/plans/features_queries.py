@@ -337,3 +337,23 @@ def split_quantile(spark, sf_dir):
     train, test = P.split_quantile(event_rows(spark, sf_dir).select("event_id", "ts"), "ts")
     return present(train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))),
                    "event_id", "part")
+
+
+@query("scalar_functions", sql("""select event_id, round(sign(amount)*ln(1+abs(amount)),6) as slog,
+  cast(greatest(-9,least(9,case when abs(amount)<1e-9 then -9 else floor(log10(abs(amount)+1e-9)) end)) as bigint) as bucket,
+  cast(day(ts) as bigint) as day_of_month, strftime(ts,'%b') as month_name, strftime(ts,'%a') as weekday,
+  strftime(ts,'%Y-%m-%d')||'|'||combo_str||'|'||cast(cast(amount as decimal(38,2)) as varchar) as match_key,
+  BusinessUnitCode as unit, cast(trim(BankTransactionId) not in ('','0') as bigint) as has_ref,
+  cast(isodow(ts)<6 as bigint) as business_day, cast(amount not between 10 and 90 as bigint) as out_of_range,
+  round(abs(amount-50)/(abs(amount)+1e-9),6) as diff_pct from ev""", "ev"))
+def scalar_functions(spark, sf_dir):
+    rows = event_rows(spark, sf_dir)
+    amount, ts = F.col("amount"), F.col("ts")
+    return present(rows.select(
+        "event_id", X.signed_log1p(X.inv_signed_log1p(X.signed_log1p(amount))).alias("slog"),
+        X.magnitude_bucket(amount).alias("bucket"), X.calendar(ts)["day_of_month"].alias("day_of_month"),
+        X.month_name(F.month(ts)).alias("month_name"), X.weekday_name(F.weekday(ts)).alias("weekday"),
+        X.match_key(ts, F.col("combo_str"), amount).alias("match_key"), X.split_combo(F.col("combo_str"))[1].alias("unit"),
+        X.matched_ref_flag(F.col(S.TXN_ID)).alias("has_ref"), X.is_business_day(ts).cast("int").alias("business_day"),
+        X.range_flag(amount, F.lit(10), F.lit(90)).alias("out_of_range"),
+        X.difference(F.lit(50.0), amount)[1].alias("diff_pct")))

@@ -22,6 +22,7 @@ from ..storage import stage
 DEFAULTS = {
     "features": S.MODEL_FEATURES, "weight_y_norm": 5.0, "weight_tabular": 1.0, "threshold_percentile": 0.99,
     "min_rows_per_combo": 20, "abs_tol": 1.0, "pct_tol": 0.05, "mad_mult": 0.8, "valid_frac": 0.10,
+    "exact": True,
 }
 TABLES = ("combo_stats", "overall", "model", "combo_map")
 NORMS = ["median_log", "iqr_log", "count_median_log", "count_iqr_log"]
@@ -91,7 +92,7 @@ def train_and_detect(raw: DataFrame, test: DataFrame | None = None, order_by: li
                      **settings) -> tuple[DataFrame, Artifacts]:
     """Fit on the older rows, set thresholds on the newest training rows, and return the anomalies of the test rows.
 
-    Without ``test`` the newest two months are scored. Row-level tables are stored once and every fitted table is
+    Without ``test`` the newest two months are scored. ``exact=False`` fits with bounded-memory sketches. Row-level tables are stored once and every fitted table is
     small, so each later pass reads only the columns it needs.
     """
     cfg = {**DEFAULTS, **settings}
@@ -99,21 +100,22 @@ def train_and_detect(raw: DataFrame, test: DataFrame | None = None, order_by: li
     held = None if test is None else _features(test, order_by)
     rows = stage(_mark_parts(feats, held, cfg["valid_frac"], [S.TXN_ID]), "parts")
     train = rows.filter("part = 'train'")
-    stats = stage(B.fit_combo_stats(train), "combo-stats")
-    overall = stage(B.fit_global_stats(train), "global-stats")
+    exact = cfg["exact"]
+    stats = stage(B.fit_combo_stats(train, exact=exact), "combo-stats")
+    overall = stage(B.fit_global_stats(train, exact=exact), "global-stats")
     combo_map = stage(fit_combo_map(train), "combo-map")
     model = stage(_normalised(_counted(rows, ["part"]), stats, overall), "model-rows")
 
     columns = [*cfg["features"], "y_norm"]
     fitted = model.filter("part = 'train'")
-    profile = stage(H.fit_profile(fitted, columns), "profile")
-    typical = stage(H.fit_profile(fitted, columns, keys=[]), "typical")
+    profile = stage(H.fit_profile(fitted, columns, approx=not exact), "profile")
+    typical = stage(H.fit_profile(fitted, columns, [], not exact), "typical")
     valid = H.apply_profile(model.filter("part = 'valid'"), profile, typical, columns, stored=True)
     valid = stage(valid.select(*S.KEYS, H.recon_error(columns, _weights(cfg)).alias("recon_error")), "valid-errors")
     p = cfg["threshold_percentile"]
-    own = T.fit_threshold(valid, "recon_error", p, S.KEYS, cfg["min_rows_per_combo"])
+    own = T.fit_threshold(valid, "recon_error", p, S.KEYS, cfg["min_rows_per_combo"], not exact)
     bundle = lookup(lookup(stats, profile, S.KEYS), own, S.KEYS)
-    whole = with_scalars(with_scalars(overall, typical, "__p"), T.fit_threshold(valid, "recon_error", p), "__t")
+    whole = with_scalars(with_scalars(overall, typical, "__p"), T.fit_threshold(valid, "recon_error", p, approx=not exact), "__t")
     art = Artifacts({
         "combo_stats": stats, "combo_map": combo_map, "model": stage(bundle, "model"),
         "overall": stage(whole.select(*overall.columns, "__p.*", "__t.*"), "overall"),

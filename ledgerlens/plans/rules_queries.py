@@ -8,6 +8,7 @@ from .. import schema as S
 from ..operators import baselines as B
 from ..operators import rules as G
 from ..operators import skew
+from ..operators.store import densify
 from ..storage import stage
 from .features_queries import KEY_SQL, MORE, cleaned
 from .fixtures import event_txn, sql
@@ -185,3 +186,35 @@ from (select *, AmountInBankAccountCurrency as value_ from event_txn)""", "event
 def key_positions(spark, sf_dir):
     rows = event_txn(spark, sf_dir).select(*S.KEYS, "event_id", S.AMOUNT)
     return present(skew.positions(rows, S.KEYS, [f"-{S.AMOUNT}", "-event_id"]), "event_id", "pos", "pos_n")
+
+
+@query("densify", sql(f"""with daily as (select {KEY_SQL}, pday, count(*) as c from event_txn group by all),
+g as (select distinct {KEY_SQL} from daily), d as (select unnest(generate_series(1,30)) as b)
+select g.*, strftime(date '2024-01-20' - to_days(cast(b as int)),'%Y-%m-%d') as day, cast(coalesce(c,0) as bigint) as count
+from g cross join d left join daily on daily.BankAccountCode=g.BankAccountCode and daily.BusinessUnitCode=g.BusinessUnitCode
+  and daily.BankTransactionCode=g.BankTransactionCode and daily.pday=date '2024-01-20' - to_days(cast(b as int))""", "event_txn"))
+def densify_counts(spark, sf_dir):
+    counts = B.daily_counts(G.with_day(event_txn(spark, sf_dir), S.POSTING_DATE, "day"), S.KEYS, "day")
+    return present(densify(counts.withColumnRenamed("count_day", "count"), S.KEYS, "2024-01-20"))
+
+
+@query("mark_anomalies", sql("""with a as (select pday, BankAccountCode, max(AmountInBankAccountCurrency) as e from event_txn
+  where AmountInBankAccountCurrency > 150 group by all)
+select event_id, cast(e is not null as bigint) as is_anomaly, round(coalesce(e,0),4) as recon_error
+from event_txn left join a using (pday, BankAccountCode)""", "event_txn"))
+def mark_anomalies(spark, sf_dir):
+    rows = G.with_day(event_txn(spark, sf_dir), S.POSTING_DATE, "day")
+    found = rows.filter(F.col(S.AMOUNT) > 150).select("day", S.ACCOUNT, F.col(S.AMOUNT).alias("recon_error"))
+    out = B.mark_anomalies(rows, found, ["day", S.ACCOUNT])
+    out = out.withColumn("recon_error", F.coalesce("recon_error", F.lit(0.0)))
+    return present(out, "event_id", "is_anomaly", "recon_error", recon_error=4)
+
+
+@query("one_match", sql("""with t as (select BankAccountCode, event_id as last_id, AmountInBankAccountCurrency as v,
+  row_number() over (partition by BankAccountCode order by event_id desc) as rn from event_txn where event_id%3=0)
+select e.event_id, last_id, round(v,4) as last_amount from event_txn e left join t on t.BankAccountCode=e.BankAccountCode and rn=1""", "event_txn"))
+def one_match(spark, sf_dir):
+    rows = event_txn(spark, sf_dir)
+    table = rows.filter(F.col("event_id") % 3 == 0).select(
+        S.ACCOUNT, F.col("event_id").alias("last_id"), F.col(S.AMOUNT).alias("last_amount"))
+    return present(B.one_match(rows, table, [S.ACCOUNT], ["last_id"]), "event_id", "last_id", "last_amount", last_amount=4)

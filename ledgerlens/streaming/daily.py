@@ -15,14 +15,15 @@ from ..operators.store import DailyCountStore, run_rules
 
 def daily_counts_stream(stream: DataFrame, ts: str = "ts", keys: list[str] = S.KEYS, delay: str = "1 day") -> DataFrame:
     """Transactions per combination and day, emitted once the watermark has passed the day."""
-    day = F.window(ts, "1 day")
-    counts = stream.withWatermark(ts, delay).groupBy(day, *keys).agg(F.count(F.lit(1)).alias("count"))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = timed.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), *keys).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(*keys, F.to_date("window.start").alias("day"), "count")
 
 
 def dedupe_stream(stream: DataFrame, id_col: str = S.TXN_ID, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Drop repeated transaction ids that arrive within the delay of each other."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
 def first_seen(batch: DataFrame, seen: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
@@ -31,9 +32,9 @@ def first_seen(batch: DataFrame, seen: DataFrame, keys: list[str] = S.KEYS) -> D
     return spread_lookup(batch, known, keys).filter("__hit is null").drop("__hit")
 
 
-def first_seen_stream(stream: DataFrame, ts: str = "ts", keys: list[str] = S.KEYS, delay: str = "1 day") -> DataFrame:
-    """First event time of each combination; state holds one row per combination, not the rows themselves."""
-    return stream.groupBy(*keys).agg(F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))
+def first_seen_stream(stream: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
+    """First row of each combination; the state holds one entry per combination."""
+    return stream.dropDuplicates(keys)
 
 
 def score_then_update(store: DailyCountStore, sink: str, holidays=None, posting_col: str = S.POSTING_DATE,
