@@ -29,7 +29,13 @@ def median_iqr(df: DataFrame, keys: list[str], value: str, approx: bool = False)
                     F.greatest(F.col("q75") - F.col("q25"), F.lit(FIT_FLOOR)).alias("iqr"))
 
 
-def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True) -> DataFrame:
+def count_amounts(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
+    """Stored (keys, amount, c) counts, which all exact amount statistics can share."""
+    return stage(df.groupBy(*keys, "amount").agg(F.count(F.lit(1)).alias("c")), "amounts")
+
+
+def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True,
+                     amounts: DataFrame | None = None) -> DataFrame:
     """Median and IQR of the signed log amount, median absolute deviation of the amount, and the row count.
 
     The log is increasing, so its quartiles and the raw median come from one ordering of the counted amounts.
@@ -37,7 +43,7 @@ def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True
     logs = {name: X.signed_log1p for name in QUARTILES}
     wanted = {**QUARTILES, "median": 0.5}
     if exact:
-        amounts = stage(df.groupBy(*keys, "amount").agg(F.count(F.lit(1)).alias("c")), "amounts")
+        amounts = count_amounts(df, keys) if amounts is None else amounts
         q = stage(percentiles(amounts, keys, "amount", wanted, maps=logs, weight="c"), "quartiles")
     else:
         amounts = df
@@ -63,13 +69,17 @@ def fit_count_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_
                     F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(COUNT_FLOOR)).alias("count_iqr_log"))
 
 
-def fit_global_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True) -> DataFrame:
+def fit_global_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True,
+                     amounts: DataFrame | None = None) -> DataFrame:
     """One row: the fallbacks for combinations that were not seen in training."""
     logs = {name: X.signed_log1p for name in QUARTILES}
-    amounts = percentiles(df, [], "amount", QUARTILES, not exact, maps=logs)
+    if amounts is not None and exact:
+        levels = percentiles(amounts, [], "amount", QUARTILES, maps=logs, weight="c")
+    else:
+        levels = percentiles(df, [], "amount", QUARTILES, not exact, maps=logs)
     daily = daily_counts(df, keys, day)
     counts = percentiles(daily, [], "count_day", QUARTILES, maps={name: F.log1p for name in QUARTILES})
-    both = with_scalars(amounts, counts, "c")
+    both = with_scalars(levels, counts, "c")
     return both.select(
         F.col("q50").alias("median_log"),
         F.greatest(F.col("q75") - F.col("q25"), F.lit(FIT_FLOOR)).alias("iqr_log"),
@@ -77,9 +87,10 @@ def fit_global_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE
         F.greatest(F.col("c.q75") - F.col("c.q25"), F.lit(COUNT_FLOOR)).alias("count_iqr_log"))
 
 
-def fit_combo_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True) -> DataFrame:
+def fit_combo_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True,
+                    amounts: DataFrame | None = None) -> DataFrame:
     """Amount and daily-count statistics per combination in one table."""
-    return lookup(fit_amount_stats(df, keys, exact), fit_count_stats(df, keys, day), keys)
+    return lookup(fit_amount_stats(df, keys, exact, amounts), fit_count_stats(df, keys, day), keys)
 
 
 def amount_norm(amount: Column, median: Column, iqr: Column) -> Column:

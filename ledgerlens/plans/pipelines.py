@@ -101,15 +101,16 @@ def train_and_detect(raw: DataFrame, test: DataFrame | None = None, order_by: li
     rows = stage(_mark_parts(feats, held, cfg["valid_frac"], [S.TXN_ID]), "parts")
     train = rows.filter("part = 'train'")
     exact = cfg["exact"]
-    stats = stage(B.fit_combo_stats(train, exact=exact), "combo-stats")
-    overall = stage(B.fit_global_stats(train, exact=exact), "global-stats")
+    amounts = B.count_amounts(train) if exact else None
+    stats = stage(B.fit_combo_stats(train, exact=exact, amounts=amounts), "combo-stats")
+    overall = stage(B.fit_global_stats(train, exact=exact, amounts=amounts), "global-stats")
     combo_map = stage(fit_combo_map(train), "combo-map")
     model = stage(_normalised(_counted(rows, ["part"]), stats, overall), "model-rows")
 
     columns = [*cfg["features"], "y_norm"]
     fitted = model.filter("part = 'train'")
-    profile = stage(H.fit_profile(fitted, columns, approx=not exact), "profile")
-    typical = stage(H.fit_profile(fitted, columns, [], not exact), "typical")
+    profile, typical = H.fit_profiles(fitted, columns, approx=not exact)
+    profile, typical = stage(profile, "profile"), stage(typical, "typical")
     valid = H.apply_profile(model.filter("part = 'valid'"), profile, typical, columns, stored=True)
     valid = stage(valid.select(*S.KEYS, H.recon_error(columns, _weights(cfg)).alias("recon_error")), "valid-errors")
     p = cfg["threshold_percentile"]
