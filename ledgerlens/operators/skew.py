@@ -189,7 +189,9 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
         base = base.withColumn("__hot", whole)
 
     part = group + ["__b"]
-    sums = base.filter("__b >= 0").groupBy(*part).agg(
+    # A filter on the bucket itself would be pushed into the search above it and repeat it.
+    cut = base.filter(F.col("__hot").isNotNull()) if group else base
+    sums = cut.groupBy(*part).agg(
         *[AGG[op](f"__v_{n}").alias(f"__p_{n}") for n, (op, _) in aggs.items()])
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
