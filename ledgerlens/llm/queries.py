@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality_rules, sentencepieces, sharding, toxicity
+from ..storage import shared_folder, stage
+from . import chat, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding, toxicity, warc
 from .text import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,35 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_hnsw_shards")
+def op1_hnsw_shards(spark, sf_dir):
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op2_warc_salvage")
+def op2_warc_salvage(spark, sf_dir):
+    folder = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, sf_dir, "pages"), folder, least_bytes=0)
+    found = warc.resolve(stage(warc.read_archives(spark, folder), "records"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_license_compression")
+def op3_license_compression(spark, sf_dir):
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op4_snapshot_collapse", """with t as (select distinct conv_id, turn, role, text from conversations),
+c as (select conv_id, list({'r': role, 'x': text} order by turn nulls first, role nulls first, text nulls first) as ts,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+    order by turn nulls first, role nulls first, text nulls first) as chat from t group by conv_id),
+u as (select min(conv_id) as conv_id, ts, count(*) as copies, any_value(chat) as chat from c group by ts),
+k as (select * from u where not exists (select 1 from u v where v.ts[1] = u.ts[1] and len(v.ts) > len(u.ts) and v.ts[:len(u.ts)] = u.ts))
+select conv_id, cast(len(ts) as bigint) as n_turns, cast(copies as bigint) as copies, chat from k""")
+def op4_snapshot_collapse(spark, sf_dir):
+    return chat.collapse_and_render(read(spark, sf_dir, "conversations"))
+
+
 @query("op5_automaton_toxicity")
 def op5_automaton_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
