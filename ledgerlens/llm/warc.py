@@ -21,6 +21,7 @@ RECORDS_PER_FILE = 4000
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")  # of a member, or a version line
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 LONGEST_HEADER = 1 << 16
 PIECE = 1 << 16
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
@@ -115,6 +116,8 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     stop = data.find(END, at, at + LONGEST_HEADER)
     if stop < 0:
         raise ValueError("header has no end")
+    if CONTROL.search(data, at, stop):
+        raise ValueError("control byte in header")
     headers = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
