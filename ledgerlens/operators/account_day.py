@@ -182,10 +182,12 @@ def water_fill(sizes: DataFrame, cap: int, by: list[str], account: str = S.ACCOU
     return out.select(*sizes.columns, alloc.cast("long").alias("alloc"))
 
 
-def build_context(day: DataFrame, history: DataFrame, cap: int = 9800, policy: str = "newest",
+def build_context(day: DataFrame, history: DataFrame, cap: int | None = None, policy: str = "newest",
                   account: str = S.ACCOUNT, date: str = "txn_date", tie: tuple[str, ...] = ()) -> DataFrame:
-    """History of the accounts in ``day``: the newest ``cap`` rows, or a fair share per account."""
+    """History of the accounts in ``day``: all of it, or under a cap the newest rows or a fair share per account."""
     present = lookup(history, day.select(account).distinct(), [account], how="left_semi")
+    if cap is None:
+        return present
     if policy == "newest":
         return present.orderBy(F.desc(date), *tie).limit(cap)
     sizes = present.groupBy(account).agg(F.count(F.lit(1)).alias("n"))
@@ -205,9 +207,9 @@ def gaussian_score(features: list[str], mean: str = "m_{}", std: str = "s_{}", f
     return sum(parts[1:], parts[0])
 
 
-def context_score(test: DataFrame, history: DataFrame, features: list[str], cap: int = 9800, min_context: int = 50,
+def context_score(test: DataFrame, history: DataFrame, features: list[str], cap: int | None = None, min_context: int = 50,
                   account: str = S.ACCOUNT, date: str = "txn_date", tie: tuple[str, ...] = (S.CURRENCY,)) -> DataFrame:
-    """Score each row against the capped history of the accounts active on its day; thin days get no score.
+    """Score each row against the history of the accounts active on its day, capped if asked; thin days get no score.
 
     The newest k rows of an account enter a day's mean and variance, so running sums per account answer every
     (day, account, k) with one lookup instead of copying history rows to each day.
@@ -220,7 +222,10 @@ def context_score(test: DataFrame, history: DataFrame, features: list[str], cap:
         *[F.sum(F.col(c) * F.col(c)).over(upto).alias(f"y_{c}") for c in features])
     sizes = history.groupBy(account).agg(F.count(F.lit(1)).alias("n"))
     pairs = lookup(test.select(date, account).distinct(), sizes, [account], how="inner")
-    shares = water_fill(stage(pairs, "pairs"), cap, [date], account).filter("alloc > 0")
+    if cap is None:
+        shares = pairs.select(*pairs.columns, F.col("n").cast("long").alias("alloc"))
+    else:
+        shares = water_fill(stage(pairs, "pairs"), cap, [date], account).filter("alloc > 0")
     joined = lookup(shares, sums, [account, "alloc"])
     n = F.sum("alloc")
     stats = joined.groupBy(date).agg(
@@ -232,9 +237,9 @@ def context_score(test: DataFrame, history: DataFrame, features: list[str], cap:
     return scored.select(*test.columns, "context_rows", gaussian_score(features).alias("context_score"))
 
 
-def calibrate_context(test: DataFrame, history: DataFrame, features: list[str], rows: int = 3000, p: float = 0.975,
+def calibrate_context(test: DataFrame, history: DataFrame, features: list[str], rows: int | None = None, p: float = 0.975,
                       account: str = S.ACCOUNT, date: str = "txn_date", tie: tuple[str, ...] = ()) -> DataFrame:
-    """Threshold: percentile of the scores of the newest history rows of the test accounts under themselves."""
+    """Threshold: percentile of the scores of the test accounts' history rows (the newest ``rows`` if given) under themselves."""
     sample = stage(build_context(test, history, rows, "newest", account, date, tie), "calibration")
     stats = sample.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_samp(c).alias(f"s_{c}") for c in features])
     scored = with_scalars(sample, stats).select(

@@ -18,8 +18,8 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def attach(df: DataFrame, table: DataFrame, keys: list[str], stored: bool) -> DataFrame:
-    """Left join fitted statistics; a stored table has a known size, so the planner may broadcast it."""
-    return lookup(df, table, keys) if stored else spread_lookup(df, table, keys)
+    """Left join fitted statistics to rows of which a key may hold many; stored rows are not stored again to be counted."""
+    return spread_lookup(df if stored else stage(df, "rows"), table, keys)
 
 
 def median_iqr(df: DataFrame, keys: list[str], value: str, approx: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True
     else:
         amounts = df
         q = stage(percentiles(df, keys, "amount", wanted, approx=True, maps=logs), "quartiles")
-    gaps = lookup(amounts, q.select(*keys, "median"), keys)
+    gaps = spread_lookup(amounts, q.select(*keys, "median"), keys)
     gaps = gaps.withColumn("gap", F.abs(F.col("amount") - F.col("median")))
     mad = percentiles(gaps, keys, "gap", {"mad": 0.5}, not exact, weight="c" if exact else None).drop("n")
     return lookup(q, mad, keys).select(

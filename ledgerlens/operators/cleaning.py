@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -75,18 +75,21 @@ def dedupe_by_id(df: DataFrame, id_col: str = S.TXN_ID, order_by: list[str] | No
                  keep: str = "first") -> DataFrame:
     """One row per id: the first (or last) in the given order, other columns breaking ties.
 
-    An aggregate rather than a ranked window, so copies of one id are merged before they are shuffled.
+    A ranked window of which only the first row is kept: each task drops its own repeats before the one shuffle, so rows
+    that share an id, or have none, do not travel together.
     """
-    order = order_by or []
-    rest = [c for c in df.columns if c not in order and c != id_col]
-    pick = F.min if keep == "first" else F.max
-    row = F.struct(*order, *rest)
-    kept = df.groupBy(id_col).agg(pick(row).alias("__row"))
-    return kept.select(*[F.col(id_col) if c == id_col else F.col(f"__row.{c}").alias(c) for c in df.columns])
-
-
-def dedupe_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    return df.dropDuplicates(cols or df.columns)
+    return dedupe_rows(df, [id_col], order_by, keep)
+
+
+def dedupe_rows(df: DataFrame, cols: list[str] | None = None, order_by: list[str] | None = None,
+                keep: str = "last") -> DataFrame:
+    """One row for each value of ``cols``: the last (or first) in the given order, other columns breaking ties."""
+    if cols is None:
+        return df.distinct()
+    order = [*(order_by or []), *[c for c in df.columns if c not in (order_by or []) and c not in cols]]
+    sides = [F.col(c).asc() if keep == "first" else F.col(c).desc() for c in order] or [F.lit(1)]
+    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*cols).orderBy(*sides)))
+    return ranked.filter("__rn = 1").drop("__rn")
 
 
 def drop_incomplete(df: DataFrame, cols: list[str], date_cols: tuple[str, ...] = (S.VALUE_DATE, S.POSTING_DATE)

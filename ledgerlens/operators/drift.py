@@ -42,7 +42,7 @@ def psi(ref: DataFrame, new: DataFrame, cols: list[str], keys: list[str] = (), c
                            F.array_distinct(F.array(*[F.col(p) for p in probs])).alias("edges")), "edges")
 
     def binned(long: DataFrame, ids: list[str], name: str) -> DataFrame:
-        placed = lookup(long, edges.select(*keys, "feature", "edges"), [*keys, "feature"])
+        placed = spread_lookup(long, edges.select(*keys, "feature", "edges"), [*keys, "feature"])
         placed = placed.withColumn("bin", _bin(F.col("edges"), F.col("value")))
         return placed.groupBy(*ids, "feature", "bin").agg(F.count(F.lit(1)).alias(name))
 
@@ -158,7 +158,7 @@ def cell_inflation(history: DataFrame, cells: DataFrame, cfg: RecommendConfig) -
     cohort = stage(matched_cohort(cells, typed, pair, cfg.match), "cohorts")
     names = [f"__m{i}" for i in range(len(cfg.match))]
     cohort = cohort.select(*pair, *[F.col(c).alias(n) for c, n in zip(cfg.match, names)])
-    rows = stage(lookup(cells.select(*pair, *cfg.numeric), cohort, pair), "cells")
+    rows = stage(spread_lookup(cells.select(*pair, *cfg.numeric), cohort, pair), "cells")
     first = F.col(names[0])
     wanted = cohort.filter(first != "*").select(*names).distinct()
     ref = typed.select(*[F.col(c).alias(n) for c, n in zip(cfg.match, names)], *cfg.numeric)

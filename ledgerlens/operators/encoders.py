@@ -24,7 +24,7 @@ def apply_id_map(df: DataFrame, col: str, id_map: DataFrame, out: str, oov: str
     """Id of each value, the reserved id for unseen ones; fails when the map reserves none."""
     table = id_map.select(F.col("value").alias("__value"), F.col("id").alias(out))
     keyed = df.withColumn("__value", F.col(col).cast("string"))
-    joined = lookup(keyed, table, ["__value"]) if stored else spread_lookup(keyed, table, ["__value"])
+    joined = spread_lookup(keyed if stored else stage(keyed, "keyed"), table, ["__value"])
     reserve = id_map.filter(F.col("value") == oov).select("id").scalar()
     missing = F.raise_error(F.lit(f"id map has no {oov}")).cast("long")
     return joined.drop("__value").withColumn("__oov", reserve).withColumn(
@@ -132,7 +132,7 @@ class CategoryEncoder:
             else:
                 seen = self.maps[c].filter(F.col("value") != S.OOV)
                 seen = seen.select(F.col("value").alias("__value"), F.col("id").alias(f"__id_{c}"))
-                out = lookup(out.withColumn("__value", F.col(c).cast("string")), seen, ["__value"]).drop("__value")
+                out = spread_lookup(out.withColumn("__value", F.col(c).cast("string")), seen, ["__value"]).drop("__value")
                 code = F.coalesce(F.col(f"__id_{c}"), F.lit(-1))
                 if self.kind == "ordinal":
                     added.append(code.alias(f"{c}_code"))
@@ -153,8 +153,8 @@ class Standardizer:
         return F.log1p(c) if self.log else F.col(c).cast("double")
 
     def fit(self, df: DataFrame) -> "Standardizer":
-        self.stats = df.agg(*[F.avg(self._in(c)).alias(f"m_{c}") for c in self.cols],
-                            *[F.stddev_pop(self._in(c)).alias(f"s_{c}") for c in self.cols])
+        self.stats = stage(df.agg(*[F.avg(self._in(c)).alias(f"m_{c}") for c in self.cols],
+                                  *[F.stddev_pop(self._in(c)).alias(f"s_{c}") for c in self.cols]), "scale")
         return self
 
     def _scale(self, c: str) -> Column:
@@ -181,7 +181,8 @@ class MinMax:
         self.cols = cols
 
     def fit(self, df: DataFrame) -> "MinMax":
-        self.stats = df.agg(*[F.min(c).alias(f"a_{c}") for c in self.cols], *[F.max(c).alias(f"b_{c}") for c in self.cols])
+        self.stats = stage(df.agg(*[F.min(c).alias(f"a_{c}") for c in self.cols],
+                                  *[F.max(c).alias(f"b_{c}") for c in self.cols]), "range")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -204,13 +205,13 @@ def fit_group_bounds(df: DataFrame, keys: list[str], col: str, lo: float = 0.01,
 
 def clip_by_group(df: DataFrame, keys: list[str], col: str, bounds: DataFrame) -> DataFrame:
     """Hold the column within its group's bounds; the bounds stay on the rows as ``lower`` and ``upper``."""
-    joined = lookup(df, bounds.select(*keys, "lower", "upper"), keys)
+    joined = spread_lookup(df, bounds.select(*keys, "lower", "upper"), keys)
     return joined.withColumn(col, F.greatest(F.col("lower"), F.least(F.col("upper"), F.col(col).cast("double"))))
 
 
 def clip_counts(df: DataFrame, keys: list[str], col: str, bounds: DataFrame) -> DataFrame:
     """One row: how many values lie outside, below and above their group's bounds."""
-    joined = lookup(df, bounds.select(*keys, "lower", "upper"), keys)
+    joined = spread_lookup(df, bounds.select(*keys, "lower", "upper"), keys)
     below, above = F.count_if(F.col(col) < F.col("lower")), F.count_if(F.col(col) > F.col("upper"))
     return joined.agg((below + above).alias("outside"), below.alias("below"), above.alias("above"))
 

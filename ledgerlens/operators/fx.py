@@ -54,7 +54,7 @@ def range_flags(deals: DataFrame, face: DataFrame, tenor: DataFrame) -> DataFram
     """Replace face value and tenor by 0 inside and 1 outside the learned range of their group."""
     out = deals
     for keys, col, b in ((GROUP, "FaceValue", face), (KIND, "TDays", tenor)):
-        out = lookup(out, b.select(*keys, F.col("lower").alias("__a"), F.col("upper").alias("__b")), keys)
+        out = spread_lookup(out, b.select(*keys, F.col("lower").alias("__a"), F.col("upper").alias("__b")), keys)
         out = out.withColumn(col, X.range_flag(F.col(col), F.col("__a"), F.col("__b"))).drop("__a", "__b")
     return out
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .skew import running, spread_lookup, stage_large
+from ..storage import stage
+from .skew import running, spread_lookup
 
 BASELINE_COLUMNS = [
     "txn_count_7d", "txn_count_30d", "mean_amount_30d", "std_amount_30d", "avg_posting_lag_30d",
@@ -76,7 +77,7 @@ def rolling_baselines(df: DataFrame, keys: list[str] = S.KEYS, mode: str = "row"
     framed = framed.drop("__d")
     inside = running(dated, [*keys, ts], tie,
                      {f"i_{p}": (op, f(F.col(amount), F.col(lag))) for p, (op, f) in PARTS.items()})
-    joined = spread_lookup(stage_large(inside, "inside"), framed, [*keys, ts])
+    joined = spread_lookup(stage(inside, "inside"), framed, [*keys, ts])
     first = F.col("i_n") == 0
 
     def get(part: str, n: int) -> Column:
@@ -104,11 +105,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, cols:
               known: str | None = None) -> DataFrame:
     """Newest ``right`` row with the same keys and ``right.ts <= left.ts``; one row per (keys, ts) on the right.
 
-    Both sides are laid in one order and the newest value so far is carried as a running maximum of (ts, values),
-    which splits hot keys. ``known`` names a flag telling whether the key exists on the right at all.
+    The answer depends on (keys, ts) alone: the distinct points of the left side and the right side are laid in one
+    order, the newest value so far is carried as a running maximum of (ts, values), and rows look their point up, so a
+    hot key or day is one point. ``known`` names a flag telling whether the key exists on the right at all.
     """
     carried = F.struct(F.col(ts).alias("__ts"), *cols)
-    kind = left.withColumns({"__side": F.lit(1), "__base": F.lit(None)})
+    kind = left.select(*keys, ts).distinct().withColumn("__side", F.lit(1))
     base = right.select(*keys, ts, carried.alias("__base")).withColumn("__side", F.lit(0))
     kind = kind.withColumn("__base", F.lit(None).cast(base.schema["__base"].dataType))
     both = kind.unionByName(base, allowMissingColumns=True)
@@ -117,7 +119,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, cols:
                    totals=True)
     out = seen.filter("__side = 1")
     extra = [] if known is None else [(F.col("__rows_total") > 0).cast("int").alias(known)]
-    return out.select(*left.columns, *[F.col(f"__last.{c}").alias(c) for c in cols], *extra)
+    points = stage(out.select(*keys, ts, *[F.col(f"__last.{c}").alias(c) for c in cols], *extra), "points")
+    return spread_lookup(left, points, [*keys, ts], null_safe=True)
 
 
 def zscore_30d(df: DataFrame, amount: str = "amount", known: str = "has_baseline", eps: float = 1e-6) -> DataFrame:

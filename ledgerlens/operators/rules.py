@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalars as X
 from .baselines import daily_counts, lookup_checked, volume_baseline
-from .skew import lookup, positions, spread_lookup, stage_large
+from ..storage import stage
+from .skew import lookup, positions, spread_lookup
 
 # The three wordings of the non-business-day reason (posting label, value label, sentence).
 WORDINGS = {
@@ -213,7 +214,7 @@ def flag_extra_transactions(df: DataFrame, baseline: DataFrame, order_by: list[s
                    F.greatest(F.lit(0).cast("long"), F.col("group_count_today") - whole)).otherwise(0)
     over = filled.withColumns({"threshold_int": whole, "extra_txn": extra}).filter("extra_txn > 0")
     names = ["group_count_today", "mean_daily_count", "std_daily_count", "active_days", "threshold_int", "extra_txn"]
-    rows = stage_large(spread_lookup(dated, over.select(*keys, "__day", *names), [*keys, "__day"]), "extra")
+    rows = stage(spread_lookup(dated, over.select(*keys, "__day", *names), [*keys, "__day"]), "extra")
 
     # Only groups with extra rows are ordered.
     busy = positions(rows.filter("extra_txn is not null"), [*keys, "__day"], [f"-{c}" for c in order_by], "__pos")

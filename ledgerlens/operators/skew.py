@@ -2,11 +2,8 @@
 
 A group counts as *hot* when it holds more than ``1 / hot_share`` of all rows, so there are never more than
 ``hot_share`` hot groups and their statistics can be broadcast whatever the size of the data. Ordinary groups use a
-plain shuffle; hot groups are spread over many tasks and corrected with the broadcast statistics. Each function reads
-its input more than once: give it a stored table, not a long lazy plan.
-
-Inputs that the planner knows to be at most ``ledgerlens.smallBytes`` (64 MB) fit one task whatever their keys, so they
-take the plain window or join; setting it to 0 always takes the balanced way. Both ways give the same rows.
+plain shuffle; hot groups are spread over many tasks and corrected with the broadcast statistics. There is one way for
+all sizes. What reads its input several times stores it first, unless ``stored`` says that it is a stored table.
 """
 
 from __future__ import annotations
@@ -44,19 +41,6 @@ def bucket_count(spark: SparkSession) -> int:
     return n
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the size the planner expects, from the stored size of the inputs, is within the limit."""
-    limit = int(df.sparkSession.conf.get("ledgerlens.smallBytes", str(64 << 20)))
-    if limit <= 0:
-        return False
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
-
-
-def stage_large(df: DataFrame, name: str) -> DataFrame:
-    """Store an intermediate result that later steps read several times, unless it is small."""
-    return df if is_small(df) else stage(df, name)
-
-
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
            null_safe: bool = False, hint: bool = False) -> DataFrame:
     """Join a one-row-per-key table to ``df`` without repeating the key columns.
@@ -91,19 +75,22 @@ def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], counts: Data
                   null_safe: bool = False) -> DataFrame:
     """Left join a one-row-per-key table whose hot keys would overload a task.
 
-    Hot keys are answered by a broadcast join and their rows are salted; other keys meet the table in a shuffle.
-    ``counts`` (keys, ``__n`` rows of ``df``) avoids counting again.
+    Hot keys, whether the table has them or not, are answered by a broadcast join and their rows are salted; so are rows
+    with a null key where nulls match nothing. Other keys meet the table in a shuffle. ``counts`` (keys, ``__n`` rows of
+    ``df``) avoids counting again.
     """
-    if is_small(df):
-        return lookup(df, table, keys, null_safe=null_safe)
     names = [c for c in table.columns if c not in keys]
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot_keys = _hot(counts, "__n").select(*keys)
     hot = lookup(table, hot_keys, keys, how="left_semi", null_safe=null_safe, hint=True)
     hot = hot.select(*keys, F.struct(*names).alias("__hot"))
+    hot = lookup(hot_keys.withColumn("__is_hot", F.lit(True)), hot, keys, null_safe=null_safe)
     rows = lookup(df, hot, keys, null_safe=null_safe, hint=True)
-    rows = rows.withColumn("__s", F.when(F.col("__hot").isNotNull(), spread(df)).otherwise(F.lit(0)))
+    apart = F.col("__is_hot").isNotNull()
+    if not null_safe:
+        apart = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], apart)
+    rows = rows.withColumn("__s", F.when(apart, spread(df)).otherwise(F.lit(0)))
     cold = table.select(*keys, F.lit(0).cast("long").alias("__s"), F.struct(*names).alias("__cold"))
     out = lookup(rows, cold, keys + ["__s"], null_safe=null_safe)
     picked = out.withColumn("__v", F.coalesce("__hot", "__cold"))
@@ -122,13 +109,12 @@ def with_scalars(df: DataFrame, row: DataFrame, name: str = "__g") -> DataFrame:
 
 
 def sort_key(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the order of the column; used only to cut the order into buckets."""
+    """A value that never decreases along the order of the column; used only to cut the order into buckets."""
     kind = df.schema[name].dataType
     col = F.col(name)
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.substring(F.hex(col), 1, 14), 14, "0")
-        key = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, T.DateType):
+        return F.coalesce(col, F.lit(""))
+    if isinstance(kind, T.DateType):
         key = F.unix_date(col).cast("double")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         key = F.unix_micros(col.cast("timestamp")).cast("double")
@@ -137,6 +123,19 @@ def sort_key(df: DataFrame, name: str) -> Column:
     return F.coalesce(key, F.lit(float("-inf")))
 
 
+def _edges(keyed: DataFrame, n: int) -> Column:
+    """n - 1 rising values of ``__k`` that cut the rows into about equal parts, as a scalar subquery.
+
+    Numbers have a quantile sketch. Strings have none, so a random sample of 32 values for each bucket is ordered.
+    """
+    if not isinstance(keyed.schema["__k"].dataType, T.StringType):
+        return keyed.agg(F.percentile_approx("__k", [i / n for i in range(1, n)], F.lit(8 * n))).scalar()
+    sample = keyed.select("__k", F.rand(17).alias("__r")).orderBy("__r").limit(32 * n)
+    values = sample.agg(F.sort_array(F.collect_list("__k")).alias("v"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("v"), F.floor(i * F.size("v") / n).cast("int")))
+    return values.select(at).scalar()
+
+
 def with_bucket(df: DataFrame, name: str, ascending: bool = True, out: str = "__b") -> DataFrame:
     """Add the order bucket of a column: equal values share a bucket and buckets follow the order of the values.
 
@@ -145,9 +144,7 @@ def with_bucket(df: DataFrame, name: str, ascending: bool = True, out: str = "__
     """
     n = bucket_count(df.sparkSession)
     keyed = df.withColumn("__k", sort_key(df, name))
-    probs = [i / n for i in range(1, n)]
-    edges = keyed.agg(F.percentile_approx("__k", probs, F.lit(8 * n))).scalar()
-    cut = keyed.withColumn("__e", edges).withColumn(out, F.lit(0))
+    cut = keyed.withColumn("__e", _edges(keyed, n)).withColumn(out, F.lit(0))
     step = n // 2
     while step:
         beyond = F.col("__k") > F.get(F.col("__e"), F.col(out) + F.lit(step - 1))
@@ -164,25 +161,27 @@ def _order(order: list[str]) -> tuple[list[Column], str, bool]:
 
 
 def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, tuple[str, Column]],
-            totals: bool = False) -> DataFrame:
+            totals: bool = False, stored: bool = False) -> DataFrame:
     """Running aggregates over the rows *before* each row of its group, in a total order.
 
     ``aggs`` maps a name to (``sum`` | ``min`` | ``max``, column); ``order`` takes names, ``-name`` for descending.
-    With ``totals`` the aggregate over the whole group is added as ``<name>_total``. Hot groups (or the whole table
-    when ``group`` is empty) are cut into order buckets, so that no task holds more than a bucket of a hot group.
+    With ``totals`` the aggregate over the whole group is added as ``<name>_total``. Hot groups, the null group among
+    them (or the whole table when ``group`` is empty), are cut into order buckets, so that no task holds more than a
+    bucket of a hot group. The edges of the buckets are drawn once, before the rows are stored.
     """
     cols, first, ascending = _order(order)
-    if is_small(df):
-        return _running_small(df, group, cols, aggs, totals)
+    df = df if stored else stage(df, "running")
     partial = [AGG[op](c).alias(f"__t_{n}") for n, (op, c) in aggs.items()]
     valued = df
     for n, (_, c) in aggs.items():
         valued = valued.withColumn(f"__v_{n}", c)
     base = with_bucket(valued, first, ascending)
+    if isinstance(df.schema[first].dataType, T.StringType):
+        base = stage(base, "bucketed")  # the sampled edges must be the same in every pass
     if group:
         stats = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *partial)
         hot = _hot(stats, "__n").select(*group, F.struct(*[f"__t_{n}" for n in aggs]).alias("__hot"))
-        base = lookup(base, hot, group, hint=True)
+        base = lookup(base, hot, group, null_safe=True, hint=True)
         base = base.withColumn("__b", F.when(F.col("__hot").isNotNull(), F.col("__b")).otherwise(-1))
     else:
         whole = df.agg(*partial).select(F.struct(*[f"__t_{n}" for n in aggs])).scalar()
@@ -205,7 +204,7 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
         everything = Window.partitionBy(*part)
         for n, (op, _) in aggs.items():
             rows = rows.withColumn(f"__a_{n}", AGG[op](f"__v_{n}").over(everything))
-    out = lookup(rows, offsets, part)
+    out = lookup(rows, offsets, part, null_safe=bool(group))
     result = [COMBINE[op](F.col(f"__o_{n}"), F.col(f"__w_{n}")).alias(n) for n, (op, _) in aggs.items()]
     if totals:
         result += [
@@ -214,22 +213,9 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     return out.select(*df.columns, *result)
 
 
-def _running_small(df: DataFrame, group: list[str], order: list[Column], aggs: dict[str, tuple[str, Column]],
-                   totals: bool) -> DataFrame:
-    part = Window.partitionBy(*group)
-    before = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = []
-    for n, (op, c) in aggs.items():
-        run = AGG[op](c).over(before)
-        out.append((F.coalesce(run, F.lit(0)) if op == "sum" else run).alias(n))
-    if totals:
-        out += [AGG[op](c).over(part).alias(f"{n}_total") for n, (op, c) in aggs.items()]
-    return df.select("*", *out)
-
-
-def positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos") -> DataFrame:
+def positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos", stored: bool = False) -> DataFrame:
     """Add the 1-based position of each row in its group and the group size ``<out>_n``."""
-    ranked = running(df, group, order, {out: ("sum", F.lit(1).cast("long"))}, totals=True)
+    ranked = running(df, group, order, {out: ("sum", F.lit(1).cast("long"))}, totals=True, stored=stored)
     return ranked.withColumn(out, F.col(out) + 1).withColumnRenamed(f"{out}_total", f"{out}_n")
 
 
@@ -237,7 +223,7 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
                    weight: str | None = None) -> DataFrame:
     """Distinct values per group with ``n`` copies, ``below`` rows before them, ``total`` rows and the ``prev`` value.
 
-    Rows are counted before anything is ordered, so copies of one value never travel together, and large counts are
+    Rows are counted before anything is ordered, so copies of one value never travel together, and the counts are
     stored, so the rows are read once. ``weight`` names a column of row counts when ``df`` is already counted. Extra
     ``sums`` are carried as ``<name>``, ``<name>_below`` and ``<name>_total``.
     """
@@ -246,10 +232,10 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
     counted = clean.groupBy(*keys, value).agg(
         F.sum(weight).alias("n") if weight else F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(s) for s, c in sums.items()])
-    counted = stage_large(counted, "counted")
+    counted = stage(counted, "counted")
     aggs = {"below": ("sum", F.col("n")), "prev": ("max", F.col(value))}
     aggs.update({f"{s}_below": ("sum", F.col(s)) for s in sums})
-    ranked = running(counted, keys, [value], aggs, totals=True)
+    ranked = running(counted, keys, [value], aggs, totals=True, stored=True)
     ranked = ranked.withColumnRenamed("below_total", "total").drop("prev_total")
     for s in sums:
         ranked = ranked.withColumnRenamed(f"{s}_below_total", f"{s}_total")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .skew import percentiles, positions, with_scalars
 
@@ -21,20 +22,23 @@ def mark_newest(df: DataFrame, ts: str, tie: list[str], size: Callable[[Column],
                 out: str = "is_newest") -> DataFrame:
     """Flag the newest ``size(n)`` of the n rows in (ts, tie) order.
 
-    Counting per day finds the day the cut falls on; only the rows of that day are ordered.
+    Counting per day finds the day the cut falls on; only the rows of that day are ordered, by the tie columns alone
+    where ``ts`` holds whole days. A size of 0 flags no row; rows without a date count as the newest.
     """
     dated = df.withColumn("__day", F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date")))
     per_day = dated.groupBy("__day").agg(F.count(F.lit(1)).alias("c"))
     newer = Window.orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
     days = per_day.withColumn("newer", F.coalesce(F.sum("c").over(newer), F.lit(0)))
     days = with_scalars(days, per_day.agg(F.sum("c").alias("n"))).withColumn("want", size(F.col("__g.n")))
+    days = days.withColumn("want", F.least("want", "__g.n"))
     cut = days.filter((F.col("newer") < F.col("want")) & (F.col("want") <= F.col("newer") + F.col("c")))
     cut = cut.select("__day", (F.col("want") - F.col("newer")).alias("need"))
     placed = with_scalars(dated, cut)
-    rest = placed.filter(F.col("__day") != F.col("__g.__day"))
-    rest = rest.withColumn(out, (F.col("__day") > F.col("__g.__day")).cast("int"))
+    rest = placed.filter(F.col("__g.__day").isNull() | (F.col("__day") != F.col("__g.__day")))
+    rest = rest.withColumn(out, F.coalesce(F.col("__day") > F.col("__g.__day"), F.lit(False)).cast("int"))
+    order = [*tie] if tie and isinstance(df.schema[ts].dataType, T.DateType) else [ts, *tie]
     border = positions(placed.filter(F.col("__day") == F.col("__g.__day")).withColumn("__need", F.col("__g.need"))
-                       .drop("__g"), [], [f"-{c}" for c in (ts, *tie)], "__pos")
+                       .drop("__g"), [], [f"-{c}" for c in order], "__pos")
     border = border.withColumn(out, (F.col("__pos") <= F.col("__need")).cast("int"))
     return rest.select(*df.columns, out).unionByName(border.select(*df.columns, out))
 

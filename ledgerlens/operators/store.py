@@ -63,7 +63,7 @@ class DailyCountStore:
         """Add or replace the counts of the (keys, day) pairs in the batch."""
         version = self.latest_version() + 1 if version is None else version
         counts = self.batch_counts(df, posting_col)
-        counts.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/version={version}")
+        counts.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/version={version}")
         return version
 
     def load_history(self, df: DataFrame, days_back: int = 30, posting_col: str = S.POSTING_DATE,

@@ -231,7 +231,7 @@ from t left join st on t.txn_date=st.txn_date and st.c>=50""", "ad", extra={
                      "from (select distinct txn_date, BankAccountCode from t) d join h on d.BankAccountCode=h.BankAccountCode"))
 def context_score(spark, sf_dir):
     train, test = split_days(spark, sf_dir)
-    out = A.context_score(test.filter(F.dayofmonth("txn_date") <= 10), train, CTX, cap=1_000_000)
+    out = A.context_score(test.filter(F.dayofmonth("txn_date") <= 10), train, CTX)
     return present(out, "row_id", "context_rows", "context_score", context_score=4)
 
 

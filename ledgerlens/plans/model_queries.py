@@ -31,18 +31,24 @@ def id_map(spark, sf_dir):
     return present(D.apply_combo_map(rows, mapped), S.TXN_ID, "combo_id")
 
 
-@query("vocab_sizes", sql("""select cast(count(distinct BankAccountCode)+1 as bigint) as account_id,
-  cast(count(distinct BankTransactionCode)+1 as bigint) as code_id from event_txn where day(pday)<5""", "event_txn"))
+def _size_sql(col: str) -> str:
+    old = f"select {col} from event_txn where day(pday)<5"
+    return (f"cast(greatest(1, (select count(distinct {col}) from event_txn where day(pday)<5) + "
+            f"(select cast(count(*)>0 as int) from event_txn where {col} not in ({old}))) as bigint)")
+
+
+@query("vocab_sizes", sql(f"select {_size_sql('BankAccountCode')} as account_id, {_size_sql('BankTransactionCode')} as code_id",
+                          "event_txn"))
 def vocab_sizes(spark, sf_dir):
     rows = event_rows(spark, sf_dir)
     old = rows.filter(F.dayofmonth("ts") < 5)
-    out = rows
+    ids = ["account_id", "code_id"]
     for col, name in ((S.ACCOUNT, "account_id"), (S.CODE, "code_id")):
-        table = stage(D.fit_id_map(old, col), "map")
-        out = D.apply_id_map(out, col, table, name, stored=True)
-    sizes = D.vocab_sizes([out.withColumn("account_id", F.lit(10)).withColumn("code_id", F.lit(5))], ["account_id", "code_id"])
-    return present(D.vocab_sizes([D.check_ids(out, sizes, ["account_id", "code_id"]), sizes.select(
-        (F.col("account_id") - 1).alias("account_id"), (F.col("code_id") - 1).alias("code_id"))], ["account_id", "code_id"]))
+        rows = D.apply_id_map(rows, col, stage(D.fit_id_map(old, col), "map"), name)
+    rows = stage(rows.select("ts", *ids), "mapped")
+    train, rest = rows.filter(F.dayofmonth("ts") < 5), rows.filter(F.dayofmonth("ts") >= 5)
+    sizes = D.vocab_sizes([train, rest], ids)
+    return present(D.vocab_sizes([D.check_ids(rows, sizes, ids, "in the event table")], ids))
 
 
 @query("hash_bins", sql(f"""select BankTransactionId, cast(('0x'||right(md5('combo||'||{COMBO_SQL}),2))::bigint % 32 as bigint) as bin

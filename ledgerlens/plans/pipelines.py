@@ -15,7 +15,7 @@ from ..operators import scoring as H
 from ..operators import splits as P
 from ..operators import thresholds as T
 from ..operators.encoders import apply_combo_map, fit_combo_map
-from ..operators.skew import group_context, lookup, with_scalars
+from ..operators.skew import group_context, lookup, spread_lookup, with_scalars
 from ..sources.io import Artifacts
 from ..storage import stage
 
@@ -48,7 +48,7 @@ def _weights(cfg: dict) -> dict[str, float]:
 def _decide(df: DataFrame, art: Artifacts) -> DataFrame:
     """Expected values, error, threshold and tolerance gate from one join with the fitted table per combination."""
     cfg, columns = art.meta, [*art.meta["features"], "y_norm"]
-    joined = with_scalars(lookup(df, art["model"], S.KEYS), art["overall"])
+    joined = with_scalars(spread_lookup(df, art["model"], S.KEYS), art["overall"])
     out = joined.withColumns({f"p_{c}": F.coalesce(f"p_{c}", f"__g.p_{c}") for c in columns})
     out = out.withColumns({
         "recon_error": H.recon_error(columns, _weights(cfg)),

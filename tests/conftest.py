@@ -20,11 +20,3 @@ def spark():
     yield session
     session.stop()
 
-
-@pytest.fixture(params=["small", "balanced"])
-def path(spark, request):
-    """Run a test on the plain way and on the way for large inputs."""
-    if request.param == "balanced":
-        spark.conf.set("ledgerlens.smallBytes", "0")
-    yield request.param
-    spark.conf.unset("ledgerlens.smallBytes")

@@ -22,7 +22,7 @@ def fill(sizes, cap):
 
 
 @pytest.mark.parametrize("cap", [7, 50, 101, 10_000])
-def test_water_fill_equals_the_loop(spark, path, cap):
+def test_water_fill_equals_the_loop(spark, cap):
     rng = random.Random(cap)
     days = {d: {f"a{i}": rng.randrange(1, 30) for i in range(rng.randrange(2, 9))} for d in range(4)}
     rows = [(d, a, n) for d, sizes in days.items() for a, n in sizes.items()]
@@ -31,7 +31,7 @@ def test_water_fill_equals_the_loop(spark, path, cap):
     assert got == {(d, a): n for d, sizes in days.items() for a, n in fill(sizes, cap).items()}
 
 
-def test_capped_context_equals_a_loop_over_days(spark, path):
+def test_capped_context_equals_a_loop_over_days(spark):
     rng = random.Random(2)
     start = dt.date(2024, 1, 1)
     hist = [(f"a{i % 5}", start + dt.timedelta(days=i // 5), "USD", rng.gauss(0, 1)) for i in range(200)]
@@ -88,7 +88,7 @@ def test_injection_hits_the_wanted_share_and_stays_consistent(day_table):
         r.row_id for r in rows if r.is_anomaly}
 
 
-def test_ranking_metrics_with_ties(spark, path):
+def test_ranking_metrics_with_ties(spark):
     data = [(0, 0.9, 1), (1, 0.9, 0), (2, 0.8, 1), (3, 0.4, 0), (4, 0.4, 1), (5, 0.1, 0)]
     row = evaluation.ranking_metrics(spark.createDataFrame(data, "id int, s double, y int"), "s", "y", 2, ("id",)).first()
     pos, neg = [s for _, s, y in data if y], [s for _, s, y in data if not y]
@@ -143,7 +143,7 @@ def brute_psi(ref, new):
     return abs(np.sum((q - p) * np.log((q + 1e-6) / (p + 1e-6))))
 
 
-def test_psi_equals_numpy(spark, path):
+def test_psi_equals_numpy(spark):
     rng = np.random.default_rng(1)
     ref = np.concatenate([rng.normal(0, 1, 200), np.zeros(60)])
     cells = {"x": rng.normal(1, 2, 50), "y": ref[:40], "z": np.array([0.5])}
@@ -175,7 +175,7 @@ def test_recommendation_for_new_pairs(spark):
     assert r.shortfall == max(r.recommended_n - 40, 0)
 
 
-def test_tail_split_rounds_half_to_even(spark, path):
+def test_tail_split_rounds_half_to_even(spark):
     rows = [(i, dt.date(2024, 1, 1 + i % 3)) for i in range(25)]
     train, valid = splits.split_tail(spark.createDataFrame(rows, "id int, ts date"), "ts", 0.1, ["id"])
     assert sorted(r.id for r in valid.collect()) == [20, 23]
@@ -183,7 +183,26 @@ def test_tail_split_rounds_half_to_even(spark, path):
     assert splits.split_tail(spark.createDataFrame(rows[:3], "id int, ts date"), "ts", 0.1, ["id"])[1].count() == 1
 
 
-def test_fold_sizes_are_even_in_each_stratum(spark, path):
+def test_splits_lose_no_rows_at_the_ends(spark):
+    rows = [(i, None if i == 4 else dt.date(2024, 1, 1 + i % 2)) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, ts date")
+    sizes = [tuple(part.count() for part in parts) for parts in (
+        splits.split_tail(df, "ts", 0.1, ["id"], skip_below=10), splits.split_time(df, "ts", frac=0.0, tie=["id"]),
+        splits.split_time(df, "ts", frac=1.0, tie=["id"]), splits.split_tail(df, "ts", 0.4, ["id"]),
+        splits.split_tail(df, "ts", 3.0, ["id"]))]
+    assert sizes == [(5, 0), (5, 0), (0, 5), (3, 2), (0, 5)]
+
+
+def test_the_last_of_repeated_rows_stays(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 5, "u"), (None, 1, "v"), (None, 2, "w")]
+    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(3)
+    last = {tuple(r) for r in cleaning.dedupe_rows(df, ["k"], ["o"]).collect()}
+    assert last == {("a", 3, "y"), ("b", 5, "u"), (None, 2, "w")}
+    assert {r.v for r in cleaning.dedupe_rows(df, ["k"], ["o"], "first").collect()} == {"x", "u", "v"}
+    assert cleaning.dedupe_rows(df.union(df)).count() == 6
+
+
+def test_fold_sizes_are_even_in_each_stratum(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(60)]
     out = splits.stratified_folds(spark.createDataFrame(rows, "id int, k string"), ["k"], "id").groupBy("k", "fold").count()
     assert {(r.k, r["count"]) for r in out.collect()} == {("a", 8), ("b", 4)}

@@ -40,7 +40,7 @@ def test_tiny_means_keep_the_ratio_finite(spark):
     assert all(abs(r.amount_ratio_loo_slog) < 20 for r in daily_group_features(df).collect())
 
 
-def test_id_map_has_a_place_for_the_unknown(spark, path):
+def test_id_map_has_a_place_for_the_unknown(spark):
     train = spark.createDataFrame([("b",), ("a",), ("b",)], "c string")
     mapped = encoders.fit_id_map(train, "c")
     got = {r.c: r.id for r in encoders.apply_id_map(spark.createDataFrame([("a",), ("z",), (None,)], "c string"), "c", mapped, "id").collect()}

@@ -36,7 +36,7 @@ def expected(rows):
     return pd.concat(parts).set_index("id")
 
 
-def test_row_baselines_equal_pandas(spark, rows, path):
+def test_row_baselines_equal_pandas(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     got = rolling.rolling_baselines(df, ["k"], tie=["id"]).toPandas().set_index("id").sort_index()
     want = expected(rows).sort_index()
@@ -50,7 +50,7 @@ def test_equal_amounts_have_no_spread(spark):
     assert std == [None, None, 0.0, 0.0, 0.0]
 
 
-def test_asof_join_equals_pandas(spark, rows, path):
+def test_asof_join_equals_pandas(spark, rows):
     right = [(k, START + dt.timedelta(days=d), float(d)) for k in ("hot", "a", "b") for d in range(5, 70, 9)]
     left = spark.createDataFrame(rows, SCHEMA)
     out = rolling.asof_join(left, spark.createDataFrame(right, "k string, ts date, x double"), ["k"], "ts", ["x"], "known")

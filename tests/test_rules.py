@@ -39,7 +39,7 @@ def test_reasons_are_numbered_without_gaps(spark):
     assert got == ["1) a 2) b", "", "1) c"]
 
 
-def test_extra_rows_are_the_last_of_the_day(spark, path):
+def test_extra_rows_are_the_last_of_the_day(spark):
     rows = [("A", "20240101", "20240101")] * 6 + [("B", "20240101", "20240101")] * 2
     df = txn(spark, rows)
     base = spark.createDataFrame([("A", "B", "C", 2.5, 0.0, 9), ("B", "B", "C", 1.0, 0.0, 4)],

@@ -33,7 +33,7 @@ def groups(data):
     return out
 
 
-def test_percentiles_per_key(frame, data, path):
+def test_percentiles_per_key(frame, data):
     got = {r.k: (r.n, r.p10, r.p50, r.p99) for r in skew.percentiles(
         frame, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
     for k, rows in groups(data).items():
@@ -42,12 +42,12 @@ def test_percentiles_per_key(frame, data, path):
         np.testing.assert_allclose(got[k][1:], np.percentile(values, [10, 50, 99]), atol=1e-9)
 
 
-def test_percentile_of_the_whole_table(frame, data, path):
+def test_percentile_of_the_whole_table(frame, data):
     row = skew.percentiles(frame, [], "v", {"p": 0.3}).first()
     assert row.p == pytest.approx(np.percentile([v for _, _, v in data], 30))
 
 
-def test_running_sums_and_totals(frame, data, path):
+def test_running_sums_and_totals(frame, data):
     out = skew.running(frame, ["k"], ["-v", "id"], {"s": ("sum", F.col("v")), "lo": ("min", F.col("v"))}, totals=True)
     got = {r.id: r for r in out.collect()}
     for rows in groups(data).values():
@@ -61,7 +61,7 @@ def test_running_sums_and_totals(frame, data, path):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_positions(frame, data, path, keys):
+def test_positions(frame, data, keys):
     got = {r.id: (r.pos, r.pos_n) for r in skew.positions(frame, keys, ["v", "id"]).collect()}
     whole = groups(data).values() if keys else [[(v, i) for i, _, v in data]]
     for rows in whole:
@@ -69,21 +69,21 @@ def test_positions(frame, data, path, keys):
             assert got[i] == (n + 1, len(rows))
 
 
-def test_positions_by_text(spark, path):
+def test_positions_by_text(spark):
     words = ["b", "", "aa", "Z", "é", "aaa", "zebra"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r.w for r in skew.positions(df, [], ["w"]).orderBy("pos").collect()]
     assert got == sorted(words, key=lambda w: w.encode())
 
 
-def test_group_context_keeps_every_row(frame, data, path):
+def test_group_context_keeps_every_row(frame, data):
     out = skew.group_context(frame, ["k"], {"n": F.count("*"), "top": F.max("v")}).collect()
     by_key = groups(data)
     assert len(out) == len(data)
     assert all(r.n == len(by_key[r.k]) and r.top == max(v for v, _ in by_key[r.k]) for r in out)
 
 
-def test_identical_copies_of_a_hot_row_are_spread(spark, path):
+def test_identical_copies_of_a_hot_row_are_spread(spark):
     copies = spark.range(0, 900, 1, 6).select(F.lit("x").alias("k"), F.lit(1.0).alias("v"))
     rest = spark.range(900).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("k"), F.lit(2.0).alias("v"))
     out = skew.group_context(copies.union(rest), ["k"], {"n": F.count("*")})
@@ -92,7 +92,7 @@ def test_identical_copies_of_a_hot_row_are_spread(spark, path):
     assert salts == 6
 
 
-def test_ordered_values_carry_previous_and_sums(frame, data, path):
+def test_ordered_values_carry_previous_and_sums(frame, data):
     out = skew.ordered_values(frame, [], "v", {"odd": F.col("id") % 2}).orderBy("v").collect()
     values = sorted({v for _, _, v in data})
     assert [r.v for r in out] == values
@@ -101,7 +101,7 @@ def test_ordered_values_carry_previous_and_sums(frame, data, path):
     assert out[-1].odd_below + out[-1].odd == sum(i % 2 for i, _, _ in data)
 
 
-def test_missing_key_matches_missing_key(spark, path):
+def test_missing_key_matches_missing_key(spark):
     left = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
     table = spark.createDataFrame([("a", 1), (None, 2)], "k string, x int")
     got = {r.k: r.x for r in skew.spread_lookup(left, table, ["k"], null_safe=True).collect()}
@@ -109,13 +109,34 @@ def test_missing_key_matches_missing_key(spark, path):
 
 
 def test_large_inputs_never_meet_in_one_window(spark, frame):
-    spark.conf.set("ledgerlens.smallBytes", "0")
-    try:
-        plan = skew.positions(frame, [], ["v", "id"])._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("ledgerlens.smallBytes")
+    plan = skew.positions(frame, [], ["v", "id"])._jdf.queryExecution().executedPlan().toString()
     rows = [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition" in line]
     assert any("__b" in line for line in rows)
     # The only unpartitioned window orders the bucket offsets, at most one row per bucket.
     assert all("__b" in line for line in rows)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_ids_with_a_common_start_spread_over_the_buckets(spark):
+    df = spark.range(100_000).select(F.format_string("TXN-2024-%08d", "id").alias("t"))
+    sizes = [r["count"] for r in skew.with_bucket(df, "t").groupBy("__b").count().collect()]
+    assert len(sizes) == skew.bucket_count(spark) and max(sizes) < 3 * 100_000 / len(sizes)
+    ranked = skew.positions(df, [], ["t"]).agg(F.sum("pos"), F.min("pos"), F.max("pos_n")).first()
+    assert tuple(ranked) == (100_000 * 100_001 // 2, 1, 100_000)
+
+
+def test_a_hot_key_that_the_table_lacks_is_salted(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, "hot").when(F.col("id") < 2500, None).otherwise(
+        F.col("id").cast("string")).alias("k"), "id")
+    table = spark.createDataFrame([(str(i), i) for i in range(2500, 2600)], "k string, x int")
+    out = skew.spread_lookup(rows, table, ["k"])
+    assert out.count() == 3000 and out.filter("x is not null").count() == 100
+    joins = [p for p in out.repartition(4)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in p]
+    assert any("__s" in p for p in joins)
+
+
+def test_running_sums_cut_a_hot_null_group(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id").cast("string")).alias("g"), "id")
+    out = skew.running(rows, ["g"], ["id"], {"before": ("sum", F.lit(1).cast("long"))}, totals=True)
+    got = out.filter("g is null").agg(F.count(F.lit(1)), F.max("before"), F.min("before_total")).first()
+    assert tuple(got) == (3000, 2999, 3000)
