@@ -13,21 +13,24 @@ from .. import schema as S
 from ..operators.cleaning import clean_transactions, normalize_headers
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Read by extension (parquet, csv, json, orc) or by the given format."""
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None,
+               infer: bool = True) -> DataFrame:
+    """Read by extension (parquet, csv, json, orc) or by the given format; ``infer=False`` reads CSV as text."""
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".") or "parquet"
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
         if schema is None:
-            reader = reader.option("inferSchema", True)
+            reader = reader.option("inferSchema", infer)
     return reader.format(fmt).load(path)
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str | None = None, drop_dupes: bool = True,
                       order_by: list[str] | None = None) -> DataFrame:
-    """Read only the columns the library needs and clean them."""
-    raw = normalize_headers(read_table(spark, path, fmt))
+    """Read only the columns the library needs and clean them. Ids, codes and dates stay text, as written."""
+    raw = normalize_headers(read_table(spark, path, fmt, infer=False))
+    if dict(raw.dtypes).get(S.AMOUNT) == "string":
+        raw = raw.withColumn(S.AMOUNT, F.col(S.AMOUNT).try_cast("double"))
     wanted = [c for c in (S.TXN_ID, *S.REQUIRED, S.CURRENCY) if c in raw.columns]
     order = order_by if order_by is not None else [c for c in (S.POSTING_DATE, S.VALUE_DATE) if c in wanted]
     return clean_transactions(raw.select(*wanted), drop_dupes, order)
@@ -35,7 +38,7 @@ def read_transactions(spark: SparkSession, path: str, fmt: str | None = None, dr
 
 def read_clients(spark: SparkSession, root: str) -> DataFrame:
     """Every parquet file below the client folders; the client is the last ``_`` part of the folder name."""
-    files = spark.read.parquet(os.path.join(root, "*"))
+    files = spark.read.parquet(os.path.join(root, "[!_.]*"))
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
     return files.withColumn("Client", F.upper(F.element_at(F.split(F.url_decode(folder), "_"), -1)))
 

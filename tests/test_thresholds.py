@@ -45,7 +45,7 @@ def rolling(values):
 
 @pytest.mark.parametrize("method, brute", [("slope", slope), ("tail", tail), ("rolling", rolling)])
 @pytest.mark.parametrize("which", range(3))
-def test_elbow_equals_brute_force(spark, path, method, brute, which):
+def test_elbow_equals_brute_force(spark, method, brute, which):
     values = list(samples())[which]
     df = spark.createDataFrame([(v,) for v in values], "e double")
     row = thresholds.elbow_threshold(df, "e", method).first()
@@ -55,7 +55,7 @@ def test_elbow_equals_brute_force(spark, path, method, brute, which):
     assert (row.n_flagged, row.n) == (len(over), len(values))
 
 
-def test_per_key_threshold_needs_enough_rows(spark, path):
+def test_per_key_threshold_needs_enough_rows(spark):
     rows = [(k, float(i)) for k, n in (("a", 19), ("b", 20), ("c", 21)) for i in range(n)]
     df = spark.createDataFrame(rows, "k string, e double")
     got = {r.k: r.threshold for r in thresholds.fit_threshold(df, "e", 0.99, ["k"], 20).collect()}
@@ -63,7 +63,7 @@ def test_per_key_threshold_needs_enough_rows(spark, path):
     assert got["b"] == pytest.approx(np.percentile(range(20), 99))
 
 
-def test_five_thresholds(spark, path):
+def test_five_thresholds(spark):
     values = [round(random.Random(5).gauss(10, 2), 3) for _ in range(1)] + [float(v) for v in range(200)] + [999.0]
     df = spark.createDataFrame([(v,) for v in values], "e double")
     got = {r.method: r for r in thresholds.five_thresholds(df, "e").collect()}
