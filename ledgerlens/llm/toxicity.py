@@ -24,7 +24,8 @@ STEMS = range(4, 9)  # lengths of word beginnings that may be terms
 LONGEST_TERM = 24
 MOST_TERMS = 1000
 LEAST_G2, LEAST_ODDS = 28.0, 12.0  # significance and strength of a term
-FUZZY_FROM = 5  # terms from this length on may differ by one edit
+LEAST_SHARE = 0.015  # of the toxic documents of the sample that a term is in
+FUZZY_FROM = 5  # words from this length on (stems from the next) may differ by one edit
 WINDOW = 10  # words on both sides of a hit
 DENSE = 50  # words of a window whose hits are counted
 MOST_CACHED = 300_000
@@ -39,6 +40,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(False))
 
 
+def allowed(term: str, stem: bool) -> int:
+    """Edits that a word may be away from a term."""
+    return int(len(term) >= FUZZY_FROM + stem)
+
+
 class Lexicon:
     """Trie of terms; a term is (text, is it a stem, weight)."""
 
@@ -53,13 +59,13 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = (text, stem, weight)
             half = len(text) // 2
-            heads.add(text[:half] if len(text) >= FUZZY_FROM else text)
-            if len(text) >= FUZZY_FROM and not stem:
+            heads.add(text[:half] if allowed(text, stem) else text)
+            if allowed(text, stem) and not stem:
                 tails.add(text[half:])
         # One edit leaves one half of a term as it is, at the start or the end of the word (or within it, for stems).
         parts = [f"^(?:{'|'.join(map(re.escape, sorted(heads)))})"] if heads else []
         parts += [f"(?:{'|'.join(map(re.escape, sorted(tails)))})$"] if tails else []
-        within = sorted({t[len(t) // 2:] for t, stem, _ in terms if stem and len(t) >= FUZZY_FROM})
+        within = sorted({t[len(t) // 2:] for t, stem, _ in terms if stem and allowed(t, stem)})
         parts += [f"^.{{1,{LONGEST_TERM}}}(?:{'|'.join(map(re.escape, within))})"] if within else []
         self.may = re.compile("|".join(parts)).search if parts else (lambda w: None)
 
@@ -74,24 +80,28 @@ class Lexicon:
         return found
 
     def search(self, word: str) -> tuple[float, bool, str] | None:
-        """Walk the trie with the automaton's states: edits to each position of the word, beyond one cut off."""
-        best = None
-        stack = [(self.trie, list(range(min(len(word), 1) + 1)) + [2] * (len(word) - 1))]
+        """Walk the trie with the states of the word's automaton; states beyond one edit end a branch.
+
+        Under a node at depth i only the word's first i - 1, i and i + 1 letters can be within one edit, so a state is
+        the three edit counts to these.
+        """
+        n, far, best = len(word), 9, None
+        stack = [(self.trie, 0, far, 0, 1 if n else far)]
         while stack:
-            node, row = stack.pop()
+            node, i, p, q, r = stack.pop()
             for c, below in node.items():
                 if c == "":
                     term, stem, weight = below
-                    edits = min(row) if stem else row[-1]
-                    if edits <= (1 if len(term) >= FUZZY_FROM else 0):
+                    edits = min(p, q, r) if stem else (p, q, r)[n - i + 1] if -1 <= n - i <= 1 else far
+                    if edits <= allowed(term, stem):
                         rank = (edits == 0, weight, len(term), term)
                         best = max(best, rank) if best else rank
                     continue
-                step = [row[0] + 1]
-                for j, w in enumerate(word):
-                    step.append(min(row[j] + (w != c), row[j + 1] + 1, step[j] + 1))
-                if min(step) <= 1:
-                    stack.append((below, step))
+                a = min(p + (word[i - 1] != c) if 1 <= i <= n else far, q + 1)
+                b = min(q + (word[i] != c), r + 1, a + 1) if i < n else far
+                d = min(r + (word[i + 1] != c), b + 1) if i + 1 < n else far
+                if a <= 1 or b <= 1 or d <= 1:
+                    stack.append((below, i + 1, a, b, d))
         return (best[1], best[0], best[3]) if best else None
 
 
@@ -181,7 +191,7 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     expected = (a + b) * (na / (na + nb))
     g2 = 2 * (a * F.log(a / expected) + b * F.log(b / ((a + b) * (nb / (na + nb)))))
     odds = (a / na) / (b / nb)
-    strong = summed.filter((F.col("term") != "") & (F.col("a") > 0)).filter((g2 >= LEAST_G2) & (odds >= LEAST_ODDS))
+    strong = summed.filter((F.col("term") != "") & (F.col("a") >= LEAST_SHARE * size.a)).filter((g2 >= LEAST_G2) & (odds >= LEAST_ODDS))
     rows = strong.select("term", "a", F.log(odds).alias("w")).orderBy(F.desc("a"), "term").limit(8 * MOST_TERMS).collect()
     summed.unpersist()
     return choose_terms([(r.term, r.a, r.w) for r in rows])
