@@ -30,7 +30,7 @@ MOST_LIGHT = 16  # sizes beyond this are never light
 SCAN_COST = 16  # work of an inverted-list entry, in subset entries
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 24  # of the shingle count sketch
 LIST_BLOCK = 100_000  # entries of an inverted list that one task scans
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000  # of a block of compared classes
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_500_000  # of a block of compared classes
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,12 +38,15 @@ class WordHashes(dict):
     """Hash of each word, computed once in a task; the table starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
+HASHES = WordHashes()  # of this worker
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every bit of the input over the output (a 64-bit finalizer)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -260,7 +263,7 @@ def _forest(sets: list[np.ndarray], new: int, percent: int) -> list[tuple[int, i
     """
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    rows = np.repeat(np.arange(len(sets)), n)
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), n)
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
     keep = count[column] > 1
@@ -295,40 +298,34 @@ def _forest(sets: list[np.ndarray], new: int, percent: int) -> list[tuple[int, i
     return forest
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes: a spanning forest of the exact links of each pair of blocks."""
-    left = pairs.select("grp", "x", "y", F.col("x").alias("block"))
-    right = pairs.filter("x <> y").select("grp", "x", "y", F.col("y").alias("block"))
-    dealt = left.union(right).withColumnsRenamed({"grp": "g", "block": "at"})
-    rows = sets.join(dealt, (F.col("grp") == F.col("g")) & (F.col("block") == F.col("at"))).select(
-        "grp", "x", "y", "block", "class", "shingles")
+def _compare(docs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes: a spanning forest of the exact links of each pair of blocks.
+
+    The texts of one document of each class are dealt to the pairs of blocks that need them; texts take half the room
+    of their sets, which the task makes again.
+    """
+    pairs = _block_pairs(blocks, percent)
+    left = pairs.select("grp", "x", "y", F.col("x").alias("at"))
+    right = pairs.filter("x <> y").select("grp", "x", "y", F.col("y").alias("at"))
+    dealt = left.union(right).withColumnRenamed("grp", "g")
+    needed = blocks.join(dealt, (F.col("grp") == F.col("g")) & (F.col("block") == F.col("at"))).select(
+        "grp", "x", "y", "block", "class", F.col("first.doc_id").alias("d"), F.col("first.text_key").alias("k"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("key"))
+    again = Window.partitionBy("doc", "key").orderBy("key")
+    one = keyed.withColumn("n", F.row_number().over(again)).filter("n = 1")  # of repeated rows
+    rows = one.join(needed, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k"))).select(
+        "grp", "x", "y", "block", "class", "text")
 
     def run(key, df):
-        df = df.drop_duplicates("class").sort_values(["block", "class"])
+        df = df.sort_values(["block", "class"])
         owners = df["class"].to_numpy()
         new = int((df["block"] == key[1]).sum())
-        held = [np.frombuffer(s, np.uint64) for s in df["shingles"]]
+        held = [shingles(t, HASHES) for t in df["text"]]
         return pd.DataFrame([(owners[i], owners[j]) for i, j in _forest(held, new, percent)], columns=["a", "b"], dtype=np.int64)
 
     return rows.groupBy("grp", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted classes (grp, block, doc_id, text_key, class), from their texts."""
-    def run(frames):
-        hashes, last = WordHashes(), None
-        for df in frames:
-            again = df["class"].shift(fill_value=-1 if last is None else last) == df["class"]
-            last = df["class"].iloc[-1] if len(df) else last
-            df = df[~again]  # repeated rows lie together
-            yield pd.DataFrame({"grp": df["grp"], "block": df["block"], "class": df["class"],
-                                "shingles": [shingles(t, hashes).tobytes() for t in df["text"]]})
-
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("k"))
-    met = keyed.join(wanted, (F.col("d") == F.col("doc_id")) & (F.col("k") == F.col("text_key")))
-    return met.select("grp", "block", "class", "text").mapInPandas(run, "grp long, block long, class long, shingles binary")
-
-
 def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, text_key (hash of its text), n_shingles, class and component_id.
 
@@ -351,10 +348,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stage(groups.join(classes, F.col("node") == F.col("class")).select(
         F.col("label").alias("grp"), "class", "n", "first"), "members")
     blocks = stage(_blocks(members), "blocks")
-    wanted = blocks.select("grp", "block", "class", "first.doc_id", "first.text_key")
-    sets = stage(_sets(named, wanted), "sets")
-    links = _compare(_block_pairs(blocks, percent), sets, percent)
-    labels = stage(components(links), "labels")
+    labels = stage(components(_compare(named, blocks, percent)), "labels")
     marked = per_doc.filter(own).join(labels, F.col("class") == F.col("node"), "left").withColumn(
         "__c", F.coalesce("label", "class"))
     marked = stage(marked.select("doc_id", "text_key", "n", "class", "__c"), "marked")
