@@ -30,7 +30,8 @@ MOST_LIGHT = 16  # sizes beyond this are never light
 SCAN_COST = 16  # work of an inverted-list entry, in subset entries
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 24  # of the shingle count sketch
 LIST_BLOCK = 100_000  # entries of an inverted list that one task scans
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_500_000  # of a block of compared classes
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_500_000  # of a block of compared classes
+RARE = 16  # sets of a block that hold a shingle, up to which its pairs are counted one by one
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,42 +260,47 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 def _forest(sets: list[np.ndarray], new: int, percent: int) -> list[tuple[int, int]]:
     """Links that join the sets, pairs of the first ``new`` among themselves left out when there are others.
 
-    Overlaps are exact: shared shingles become columns of a 0/1 matrix, multiplied in slices.
+    Overlaps are exact: pairs of rare shingles are counted one by one, others become columns of a 0/1 matrix that is
+    multiplied in slices.
     """
-    n = np.array([len(s) for s in sets])
+    n, size = np.array([len(s) for s in sets]), len(sets)
     flat = np.concatenate(sets)
-    rows = np.repeat(np.arange(len(sets), dtype=np.int32), n)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = count[column] > 1
-    rows, columns = rows[keep], shared[column[keep]]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    for start in range(0, int((count > 1).sum()), 4096):
-        lo, hi = np.searchsorted(columns, [start, start + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[rows[lo:hi], columns[lo:hi] - start] = 1
-        overlap += part @ part.T  # whole numbers far below 2^24 per slice
-    both = overlap.astype(np.int64)
-    linked = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
+    order = np.argsort(flat, kind="stable")
+    rows = np.repeat(np.arange(size, dtype=np.int32), n)[order]
+    flat = flat[order]
+    heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    count = np.repeat(np.diff(np.r_[heads, len(flat)]), np.diff(np.r_[heads, len(flat)]))
+    overlap = np.zeros((size, size), np.int64)
+    few = (count > 1) & (count <= RARE)
+    r, t = rows[few], flat[few]
+    for d in range(1, RARE):  # of a rare shingle, every pair of its sets
+        same = t[d:] == t[:-d]
+        if not same.any():
+            break
+        overlap += np.bincount(r[:-d][same].astype(np.int64) * size + r[d:][same], minlength=size * size).reshape(size, size)
+    overlap += overlap.T
+    many = count > RARE
+    r, columns = rows[many], np.unique(flat[many], return_inverse=True)[1]
+    for start in range(0, int(columns.max(initial=-1)) + 1, 2048):
+        lo, hi = np.searchsorted(columns, [start, start + 2048])
+        part = np.zeros((size, 2048), np.float32)
+        part[r[lo:hi], columns[lo:hi] - start] = 1
+        overlap += (part @ part.T).astype(np.int64)
+    linked = np.triu((100 + percent) * overlap >= percent * (n[:, None] + n[None, :]), 1)
     if new < len(sets):
         linked[:new, :new] = False
         linked[new:, new:] = False
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    forest = []
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[b] = a
-            forest.append((i, j))
+    near = linked | linked.T
+    seen, forest = np.zeros(len(sets), bool), []
+    for start in range(len(sets)):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            i = stack.pop()
+            new_ones = np.flatnonzero(near[i] & ~seen)
+            seen[new_ones] = True
+            forest += [(i, int(j)) for j in new_ones]
+            stack += new_ones.tolist()
     return forest
 
 
