@@ -38,7 +38,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     tagged = rolled.join(last.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
     tagged = stage(tagged, "tagged")
     whole = tagged.filter("place = n_turns").groupBy("prefix", "n_turns").agg(
-        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"), F.bool_or(F.col("conv_id").isNull()).alias("none"))
+        F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     proper = tagged.filter("place < n_turns").select("prefix", F.col("place").alias("n_turns")).distinct()
     kept = whole.join(proper, ["prefix", "n_turns"], "left_anti")
     return kept.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.col("copies").cast("long").alias("copies"))
