@@ -11,24 +11,21 @@ from pyspark.sql import DataFrame
 
 from .license_templates import TEMPLATES
 
-# Fixed words that make a line a candidate.
+# Fixed words, of which every template has some; a line with one is a candidate.
 CUE = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|public domain|creative commons|spdx|"
                  r"\bcc(?:0| by)|liab(?:le|ility)|unencumbered", re.I)
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 NEAR_LINES = 2  # cue lines with no more lines than this between them are one block
-LONG_LINE, AROUND = 2000, 400  # of a longer line only the surroundings of its cues enter a block
-FINALISTS = 4
 LEVEL = 6
-LEAST_GAIN = 0.15  # of the compressed size, below which a block resembles no template
+LEAST_GAIN = 0.15  # of the template's own compressed size, below which a window does not resemble it
 MOST_DIFFERENT = 0.15  # of the template's words may be missing or changed
-MOST_CACHED = 20_000
+SHORT = 12  # words of a template up to which two words in a row make a place worth a look, else three
 
 
-def blocks(text: str | None) -> list[tuple[int, str]]:
-    """(line number, block) of the candidate blocks of a text, in order: neighbouring cue lines and what lies between."""
+def blocks(text: str | None) -> list[tuple[int, int]]:
+    """(first, last line number) of the blocks of a text, in order: neighbouring cue lines and what lies between."""
     found, at, last = [], None, 0
-    lines = (text or "").split("\n")
-    for i, line in enumerate(lines):
+    for i, line in enumerate((text or "").split("\n")):
         if CUE.search(line):
             if at is not None and i - last > NEAR_LINES + 1:
                 found.append((at, last))
@@ -36,24 +33,12 @@ def blocks(text: str | None) -> list[tuple[int, str]]:
             at, last = (i if at is None else at), i
     if at is not None:
         found.append((at, last))
-    return [(a, "\n".join(clip(line) for line in lines[a:b + 1])) for a, b in found]
+    return found
 
 
-def clip(line: str) -> str:
-    if len(line) <= LONG_LINE:
-        return line
-    spans: list[list[int]] = []
-    for m in CUE.finditer(line):
-        lo, hi = max(0, m.start() - AROUND), m.end() + AROUND
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = hi
-        else:
-            spans.append([lo, hi])
-    return "\n".join(line[a:b] for a, b in spans)
-
-
-def wording(block: list[str], template: list[str]) -> tuple[int, int, int]:
-    """Words of the template that are missing, changed, and words put in between; text around the match is free."""
+def wording(block: list[str], template: list[str]) -> tuple[int, int, int, int, int]:
+    """Words of the template that are missing, changed, and words put in between, and the place of the first word that
+    matches and of the one behind the last; text around the match is free."""
     steps = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
     missing = changed = added = 0
     inner = [s for i, s in enumerate(steps) if not (s[0] == "insert" and i in (0, len(steps) - 1))]
@@ -66,55 +51,90 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int]:
             added += 0 if edge else max(0, (d - c) - (b - a))
         elif kind == "insert":
             added += d - c
-    return missing, changed, added
+    same = [s for s in steps if s[0] == "equal"]
+    return missing, changed, added, same[0][3] if same else 0, same[-1][4] if same else 0
 
 
 class Scanner:
-    """Ranks templates for a block by how much each helps to compress it; equal blocks are ranked once."""
+    """Finds templates in texts: at places that share words in a row with a template, a window of up to three times its
+    length is compared, first by how much the template helps to compress it, then word by word."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
-        self.templates = [(name, text, WORD.findall(text.lower())) for name, text in templates]
+        self.templates = [(name, WORD.findall(text.lower())) for name, text in templates]
+        self.needs = [set(words) for _, words in self.templates]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+        texts = [" ".join(words).encode() for _, words in self.templates]
         self.primed = [zstandard.ZstdCompressor(
             level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
-            dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for _, text, _ in self.templates]
-        self.cache: dict[str, tuple | None] = {}
-
-    def gains(self, block: str) -> list[float]:
-        """Share of the compressed size that each template saves as a raw dictionary."""
-        data = block.encode()
-        alone = len(self.plain.compress(data))
-        return [1 - len(p.compress(data)) / alone for p in self.primed]
-
-    def best(self, block: str) -> tuple[str, float, int, int, int] | None:
-        """(licence, gain, missing, changed, added) of the confirmed template with the fewest differences, if any."""
-        if block in self.cache:
-            return self.cache[block]
-        if len(self.cache) >= MOST_CACHED:
-            self.cache.clear()
-        ranked = sorted(enumerate(self.gains(block)), key=lambda x: (-x[1], x[0]))[:FINALISTS]
-        words, found = WORD.findall(block.lower()), []
-        for i, gain in ranked:
-            name, _, template = self.templates[i]
-            if gain >= LEAST_GAIN:
-                missing, changed, added = wording(words, template)
-                if missing + changed <= MOST_DIFFERENT * len(template) and added <= len(template):
-                    found.append(((missing + changed + added) / len(template), -len(template), -gain, i, missing, changed, added))
-        out = None
-        if found:
-            _, _, gain, i, *differences = min(found)
-            out = (self.templates[i][0], -gain, *differences)
-        self.cache[block] = out
+            dict_data=zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for text in texts]
+        self.own = [len(self.plain.compress(text)) for text in texts]
+        self.pairs: dict[tuple, list[tuple[int, int]]] = {}  # two words: (template, place in it)
+        self.triples: dict[tuple, list[tuple[int, int]]] = {}
+        for i, (_, words) in enumerate(self.templates):
+            n, table = (2, self.pairs) if len(words) <= SHORT else (3, self.triples)
+            for k in range(len(words) - n + 1):
+                table.setdefault(tuple(words[k:k + n]), []).append((i, k))
+
+    def gain(self, window: list[str], i: int) -> float:
+        """Bytes that a template saves as a raw dictionary, as a share of its own compressed size."""
+        data = " ".join(window).encode()
+        return (len(self.plain.compress(data)) - len(self.primed[i].compress(data))) / self.own[i]
+
+    def match(self, words: list[str], i: int, shift: int) -> tuple | None:
+        """(missing, changed, added, start, end, gain) of a template that is to begin near a place, if it is confirmed."""
+        template = self.templates[i][1]
+        n, best = len(template), None
+        lo, hi = max(0, shift - n), shift + 2 * n
+        if len(self.needs[i].difference(words[lo:hi])) > MOST_DIFFERENT * n:
+            return None
+        gain = self.gain(words[lo:hi], i)
+        if gain < LEAST_GAIN:
+            return None
+        # The narrow window keeps equal words of the surroundings out, the wide one leaves room for words put in between.
+        for lo, hi in ((max(0, shift), shift + n), (lo, hi)):
+            missing, changed, added, start, end = wording(words[lo:hi], template)
+            if missing + changed <= MOST_DIFFERENT * n and added <= n:
+                one = (missing, changed, added, lo + start, lo + end, gain)
+                best = one if best is None or sum(one[:3]) < sum(best[:3]) else best
+        return best
+
+    def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
+        """(licence, gain, missing, changed, added) of every confirmed template of a text whose words do not overlap
+        those of one with fewer differences."""
+        words = WORD.findall(text.lower())
+        seeds: dict[int, list[tuple[int, int]]] = {}  # template: (place, place where the template would begin)
+        for table, keys in ((self.pairs, zip(words, words[1:])), (self.triples, zip(words, words[1:], words[2:]))):
+            for at, key in enumerate(keys):
+                for i, k in table.get(key, ()):
+                    seeds.setdefault(i, []).append((at, at - k))
+        found = []
+        for i, places in seeds.items():
+            taken = bytearray(len(words))
+            shifts: dict[int, list[int]] = {}
+            for at, shift in places:
+                shifts.setdefault(shift, []).append(at)
+            for shift in sorted(shifts, key=lambda s: (-len(shifts[s]), s)):
+                if all(taken[at] for at in shifts[shift]):
+                    continue
+                one = self.match(words, i, shift)
+                if one:
+                    taken[one[3]:one[4]] = b"\x01" * (one[4] - one[3])
+                    n = len(self.templates[i][1])
+                    found.append((sum(one[:3]) / n, -n, -one[5], i, one))
+        out, taken = [], bytearray(len(words))
+        for *_, i, (missing, changed, added, start, end, gain) in sorted(found):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\x01" * (end - start)
+                out.append((self.templates[i][0], gain, missing, changed, added))
         return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_blocks, n_licenses, licenses (names, sorted, joined by commas; null if none), gain,
-    n_missing, n_changed, n_added (of the block with the largest gain).
+    n_missing, n_changed, n_added (of the match with the largest gain).
 
-    Each document is read whole and judged alone, in its own row, so nothing is shuffled; a task ranks a repeated block
-    once. Null and empty texts have no blocks. Repeated rows give repeated rows.
+    Each document is read whole and judged alone, in its own row, so nothing is shuffled. A text with a cue is searched
+    from end to end, whatever its lines; gain is the share of the template's own compressed size. Null and empty texts have no blocks. Repeated rows give repeated rows.
     """
     schema = ("doc_id long, n_blocks long, n_licenses long, licenses string, gain double, n_missing long, n_changed long, "
               "n_added long")
@@ -126,8 +146,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                found = [scanner.best(b) for _, b in blocks(text)]
-                hits = [f for f in found if f]
+                found = blocks(text)
+                hits = scanner.find(text) if found else []
                 top = max(hits, key=lambda f: (f[1], f[0])) if hits else (None,) * 5
                 licences = sorted({f[0] for f in hits})
                 rows.append((len(found), len(licences), ",".join(licences) or None, *top[1:]))

@@ -267,6 +267,21 @@ def test_licences(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_inside_prose(spark):
+    """Exact notices inside long lines, and several of them in neighbouring lines, are all found."""
+    from ledgerlens.llm.license_templates import GPL_NOTICE, MIT_GRANT
+    gpl = "This work is licensed under the GNU General Public License, version 2."
+    prose = "some words about nothing in particular and a little more of them, " * 60
+    rows = [(n, f"{prose[:n]} Licensed under CC BY-NC 4.0. {prose[:n]} {gpl} {prose[:n]}") for n in (100, 200, 400, 3000)]
+    rows += [(1, "Licensed under CC BY 4.0.\nReleased under the MIT License.\n\nLicensed under CC BY-ND 4.0."),
+             (2, prose + MIT_GRANT.replace("\n", " ") + prose + GPL_NOTICE.format(3).replace("\n", " ") + prose),
+             (3, "To the extent possible under law, the author\nhas waived all copyright and related rights to this work.")]
+    out = {r.doc_id: r for r in license_scan.scan(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert all(out[n].licenses == "CC-BY-NC-4.0,GPL-2.0" and out[n].n_changed == 0 for n in (100, 200, 400, 3000))
+    assert out[1].licenses == "CC-BY-4.0,CC-BY-ND-4.0,MIT" and out[2].licenses == "GPL-3.0,MIT"
+    assert out[3].licenses == "CC0-1.0" and (out[3].n_missing, out[3].n_changed, out[3].n_added) == (0, 0, 0)
+
+
 def test_snapshots_collapse(spark):
     rng = random.Random(9)
     logs, base = {}, [[("user", f"q{g}{k}") if k % 2 == 0 else ("assistant", f"a{g}{k}") for k in range(6)] for g in range(5)]
