@@ -24,7 +24,6 @@ STEMS = range(4, 9)  # lengths of word beginnings that may be terms
 LONGEST_TERM = 24
 MOST_TERMS = 1000
 LEAST_G2, LEAST_ODDS = 28.0, 12.0  # significance and strength of a term
-LEAST_SHARE = 0.015  # of the toxic documents of the sample that a term is in
 FUZZY_FROM = 5  # words from this length on (stems from the next) may differ by one edit
 WINDOW = 10  # words on both sides of a hit
 DENSE = 50  # words of a window whose hits are counted
@@ -52,22 +51,33 @@ class Lexicon:
         self.terms = terms
         self.trie: dict = {}
         self.cache: dict[str, tuple[float, bool, str] | None] = {}
-        heads, tails = set(), set()
+        self.near: set[str] = set()  # terms, and those that may be one edit away without each of their letters
+        wholes, starts = set(), set()
         for text, stem, weight in terms:
             node = self.trie
             for c in text:
                 node = node.setdefault(c, {})
             node[""] = (text, stem, weight)
-            half = len(text) // 2
-            heads.add(text[:half] if allowed(text, stem) else text)
-            if allowed(text, stem) and not stem:
-                tails.add(text[half:])
-        # One edit leaves one half of a term as it is, at the start or the end of the word (or within it, for stems).
-        parts = [f"^(?:{'|'.join(map(re.escape, sorted(heads)))})"] if heads else []
-        parts += [f"(?:{'|'.join(map(re.escape, sorted(tails)))})$"] if tails else []
-        within = sorted({t[len(t) // 2:] for t, stem, _ in terms if stem and allowed(t, stem)})
-        parts += [f"^.{{1,{LONGEST_TERM}}}(?:{'|'.join(map(re.escape, within))})"] if within else []
-        self.may = re.compile("|".join(parts)).search if parts else (lambda w: None)
+            self.near.add(text)
+            edits = allowed(text, stem)
+            if edits:
+                self.near.update(text[:k] + text[k + 1:] for k in range(len(text)))
+            (starts if stem else wholes).update(range(len(text) - edits, len(text) + edits + 1))
+        self.wholes, self.starts = frozenset(wholes), sorted(starts)
+
+    def may(self, word: str) -> bool:
+        """Whether the word, or a beginning of it, is near a term: without one letter each at most, both are equal."""
+        n = len(word)
+        return n in self.wholes and self.touches(word) or any(self.touches(word[:m]) for m in self.starts if m <= n)
+
+    def touches(self, part: str) -> bool:
+        near = self.near
+        if part in near:
+            return True
+        for k in range(len(part)):
+            if part[:k] + part[k + 1:] in near:
+                return True
+        return False
 
     def match(self, word: str) -> tuple[float, bool, str] | None:
         """(weight, exact, term) of the best term within the allowed edits of the word, if any."""
@@ -159,7 +169,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """Terms of the lexicon from (text, toxic), by document frequency; ``MOST_TERMS`` at most.
+    """Terms of the lexicon from (text, toxic), most significant first; ``MOST_TERMS`` at most.
 
     Each task counts the words and word beginnings of its documents, Spark adds the counts up, and only strong terms
     come to the driver. A beginning replaces its longer forms if it covers clearly more toxic documents.
@@ -191,8 +201,8 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     expected = (a + b) * (na / (na + nb))
     g2 = 2 * (a * F.log(a / expected) + b * F.log(b / ((a + b) * (nb / (na + nb)))))
     odds = (a / na) / (b / nb)
-    strong = summed.filter((F.col("term") != "") & (F.col("a") >= LEAST_SHARE * size.a)).filter((g2 >= LEAST_G2) & (odds >= LEAST_ODDS))
-    rows = strong.select("term", "a", F.log(odds).alias("w")).orderBy(F.desc("a"), "term").limit(8 * MOST_TERMS).collect()
+    strong = summed.filter((F.col("term") != "") & (F.col("a") > 0)).filter((g2 >= LEAST_G2) & (odds >= LEAST_ODDS))
+    rows = strong.select("term", "a", F.log(odds).alias("w")).orderBy(g2.desc(), "term").limit(8 * MOST_TERMS).collect()
     summed.unpersist()
     return choose_terms([(r.term, r.a, r.w) for r in rows])
 

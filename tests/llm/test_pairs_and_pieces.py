@@ -176,6 +176,26 @@ def test_quotation_lowers_the_abuse_score():
     assert toxicity.features(None, lexicon) == toxicity.features("", lexicon) == [0.0] * 6
 
 
+def test_rare_terms_of_toxic_documents_are_learned(spark):
+    """A term of 1 % of the toxic documents and of no other is learned, however many toxic documents there are."""
+    rows = [("plain words " + ("zwumpf " if i < 1188 else "quorbit ") + f"n{i}", 1) for i in range(1200)]
+    rows += [(f"plain words m{i}", 0) for i in range(4800)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert [t for t, _, _ in terms if t in ("zwumpf", "quorbit")] == ["zwumpf", "quorbit"]
+    assert not any(t in ("plain", "words") for t, _, _ in terms)
+
+
+def test_prefilter_lets_every_near_word_pass():
+    rng = random.Random(12)
+    terms = [("".join(rng.choice("abc") for _ in range(n)), stem, 1.0) for n in range(3, 12) for stem in (False, True)]
+    lexicon = toxicity.Lexicon(terms)
+    for _ in range(20_000):
+        text, _, _ = rng.choice(terms)
+        k = rng.randrange(len(text) + 1)
+        word = text[:k] + rng.choice(["", "a", "b", "x"]) + text[k + rng.choice([0, 1]):] + rng.choice(["", "a", "xyz"])
+        assert lexicon.may(word) or lexicon.search(word) is None
+
+
 def test_toxicity_learns_from_the_training_fold_only(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
