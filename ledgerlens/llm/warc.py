@@ -21,8 +21,8 @@ RECORDS_PER_FILE = 4000
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")  # of a member, or a version line
+HEADER_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")  # the blank line, or the version line of another record
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-LONGEST_HEADER = 1 << 16
 PIECE = 1 << 16
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pages")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -113,9 +113,10 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers (lower-case names), block and end of the record at a place; ValueError if a check fails."""
     if not VERSION.match(data, at):
         raise ValueError("no version line")
-    stop = data.find(END, at, at + LONGEST_HEADER)
-    if stop < 0:
+    found = HEADER_END.search(data, at)
+    if not found or found.group() != END:
         raise ValueError("header has no end")
+    stop = found.start()
     if CONTROL.search(data, at, stop):
         raise ValueError("control byte in header")
     headers = {}

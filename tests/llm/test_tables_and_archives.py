@@ -211,6 +211,22 @@ def test_archives_round_trip(spark, tmp_path):
     assert roles == {1: False, 2: False, 3: True, 4: False}
 
 
+def test_archives_with_long_urls(spark, tmp_path):
+    """Pages with urls of any length come back, also as the response that others refer to; headers without an end do not."""
+    long, wide = "data:text/html," + "u" * 100_000, "http://h/" + "é" * 30_000
+    rows = [(1, "http://h/WARC/1.0", "same"), (2, "http://h/2", "same"), (3, long, "same"), (4, wide, "other")]
+    frame = spark.createDataFrame([(*r, -1) for r in rows], "page_id long, url string, html string, payload int")
+    warc.write_archives(frame, str(tmp_path / "a"))
+    read = warc.read_archives(spark, str(tmp_path / "a"))
+    assert read.filter("kind = 'gap'").count() == 0
+    got = sorted(map(tuple, warc.resolve(read).select("page_id", "payload_bytes", "record_type", "refers_to").collect()))
+    assert got == [(1, 4, "revisit", 3), (2, 4, "revisit", 3), (3, 4, "response", None), (4, 5, "response", None)]
+    assert {r.page_id: r.target_uri for r in read.collect()}[3] == long
+    cut = warc.record(5, long, b"x", None, False)[:70_000] + b"\r\n"
+    out = list(warc.salvage(cut + warc.record(6, None, b"y", None, False) + warc.END))
+    assert [(x[0], x[1]) for x in out] == [("gap", 0), ("record", len(cut))] and out[0][3] == "header has no end"
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_recovers_what_follows_damage(packed):
     rng = random.Random(8)
