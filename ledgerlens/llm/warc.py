@@ -225,7 +225,7 @@ def fields(headers: dict, block: bytes, with_payload: bool) -> list:
     body = payload_of(headers, block) if kind != "revisit" else None
     said = headers.get("warc-payload-digest", "")
     return [kind, headers["warc-record-id"], headers.get("warc-refers-to"),
-            int(page) if re.fullmatch("-?[0-9]{1,18}", page) else None, headers.get("warc-target-uri"),
+            int(page) if re.fullmatch("-?[0-9]{1,19}", page) and -1 << 63 <= int(page) < 1 << 63 else None, headers.get("warc-target-uri"),
             None if body is None else len(body), digest(body) if body is not None else said[5:].upper() or None,
             body if with_payload else None]
 

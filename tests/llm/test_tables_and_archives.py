@@ -254,6 +254,12 @@ def test_salvage_of_odd_archives():
     assert [x[0] for x in warc.salvage(gzip.compress(b"no record"))] == ["gap"]
 
 
+def test_page_ids_of_a_whole_long():
+    for i in (9_200_000_000_000_000_000, (1 << 63) - 1, -1 << 63, 10 ** 17, 1 << 63):
+        [(_, _, _, headers, block)] = warc.salvage(warc.record(i, None, b"x", None, False) + warc.END)
+        assert warc.fields(headers, block, False)[3] == (i if i < 1 << 63 else None)
+
+
 def test_damaged_archive_through_spark(spark, tmp_path):
     warc.write_archives(pages(spark, [(i, f"page {i} " * 20) for i in range(40)]).coalesce(1), str(tmp_path / "a"))
     file = next(p for p in os.scandir(tmp_path / "a") if p.name.startswith("part"))
