@@ -156,6 +156,15 @@ def newest_rows(df: DataFrame, date: str, n: int, tie: list[str]) -> DataFrame:
     return mark_newest(df, date, tie, lambda c: F.least(F.lit(n).cast("long"), c), "__new").filter("__new = 1").drop("__new")
 
 
+def context_sizes(n_rows: int, first: int = 500) -> list[int]:
+    """``first``, doubled while it is below all rows, and all rows."""
+    sizes = []
+    while first < n_rows:
+        sizes.append(first)
+        first *= 2
+    return [*sizes, n_rows]
+
+
 def context_ablation(train: DataFrame, test: DataFrame, detector, sizes: list[int], date: str, tie: list[str],
                      id_col: str, k: int = 50) -> DataFrame:
     """(context_rows, model, metrics): the detector fitted on the newest n training rows for several n."""

@@ -343,8 +343,8 @@ def detector_benchmark(spark, sf_dir):
     train, test = (stage(d, "part") for d in P.split_quantile(bank_days(spark, sf_dir)))
     features = C.drop_zero_variance(prepared(train), S.DAY_FEATURES)
     results = V.evaluate_detectors(
-        train, test, lambda seed: [M.PcaDetector(features, 3), M.ForestDetector(features, "row_id", 50, seed=seed)],
-        "row_id", prepared, seeds=(0, 1))
+        train, test, lambda seed: [M.PcaDetector(features, 3), M.ForestDetector(features, "row_id", seed=seed)],
+        "row_id", prepared)
     return V.summarize_seeds(results)
 
 
@@ -353,5 +353,5 @@ def context_ablation(spark, sf_dir):
     train, test = (stage(d, "part") for d in P.split_quantile(event_days(spark, sf_dir)))
     injected = stage(V.inject_anomalies(test, "row_id", 0.2), "injected")
     features = C.drop_zero_variance(prepared(train), S.DAY_FEATURES)
-    return V.context_ablation(prepared(train), prepared(injected), M.PcaDetector(features, 3), [50, 100, 200],
+    return V.context_ablation(prepared(train), prepared(injected), M.PcaDetector(features, 3), V.context_sizes(train.count()),
                               "txn_date", ["row_id"], "row_id")

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -206,3 +207,27 @@ def test_fold_sizes_are_even_in_each_stratum(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(60)]
     out = splits.stratified_folds(spark.createDataFrame(rows, "id int, k string"), ["k"], "id").groupBy("k", "fold").count()
     assert {(r.k, r["count"]) for r in out.collect()} == {("a", 8), ("b", 4)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_benchmark_and_ablation_run_whole(spark, monkeypatch):
+    """Five seeds with whole forests, and contexts of 500 rows, doubled, up to all rows."""
+    import inspect
+
+    from ledgerlens.operators import evaluation
+    from ledgerlens.plans import day_queries
+    assert evaluation.context_sizes(2100) == [500, 1000, 2000, 2100] and evaluation.context_sizes(300) == [300]
+    assert evaluation.context_sizes(1000) == [500, 1000]
+    sizes, seeds, bound = [], [], inspect.signature(evaluation.evaluate_detectors)
+
+    def caught(*args, **more):
+        found = bound.bind(*args, **more)
+        found.apply_defaults()
+        seeds.extend(found.arguments["seeds"])
+        return spark.createDataFrame([("a", 0.0, 0.0, 0.0)], "model string, roc_auc double, pr_auc double, p_at_k double")
+
+    monkeypatch.setattr(evaluation, "evaluate_detectors", caught)
+    day_queries.detector_benchmark(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(evaluation, "context_ablation", lambda train, *a: sizes.extend([train.count(), *a[2]]))
+    day_queries.context_ablation(spark, "/root/testdata/sf0.001")
+    assert seeds == [0, 1, 2, 3, 4] and sizes[1:] == evaluation.context_sizes(sizes[0])
