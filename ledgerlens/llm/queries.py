@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stage
-from . import chat, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding, toxicity, warc
+from . import (chat, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding, toxicity,
+               vector_cells, warc)
 from .text import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,30 @@ def op10_weighted_fair_queueing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     mix = mixing.queue(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def clustering_sql(rounds: int = 10) -> str:
+    """The rounds of op13 as one query: a{r} assigns, c{r} holds the centroids after round r."""
+    parts = ["""kept as materialized (select row_number() over () as r, vec_id, v from (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)),
+c0 as materialized (select row_number() over (order by sha256('3:' || vec_id), v) - 1 as c, v as m
+  from (select * from kept order by sha256('3:' || vec_id), v limit 8))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as materialized (select r, min_by(c, (d, c)) as c, min(d) as d from (
+  select r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) as d from kept, c{r}) group by r)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} as materialized (select o.c, coalesce(n.m, o.m) as m from c{r} o left join (
+  select c, list((s - ((s % n) + n) % n) // n order by i) as m from (
+    select c, i, sum(v[i]) as s, count(*) as n from (select a.c, k.v, unnest(range(1, 65)) as i from kept k join a{r} a using (r)) group by c, i)
+  group by c) n on n.c = o.c)""")
+    body = ",\n".join(parts)
+    return f"""with {body}
+select vec_id, cast(a.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from kept join a{rounds} a using (r) join c{rounds} c on c.c = a.c"""
+
+
+@query("op13_cell_clustering", clustering_sql())
+def op13_cell_clustering(spark, sf_dir):
+    return vector_cells.cluster(read(spark, sf_dir, "embeddings"))
