@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stage
-from . import (chat, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding, toxicity,
-               vector_cells, warc)
+from . import (chat, divergence, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding,
+               toxicity, vector_cells, warc)
 from .text import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +165,31 @@ def op10_weighted_fair_queueing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op12_skyband_audit", r"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as materialized (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(ts) as term from d) group by all),
+kept as materialized (select lang, term, sum(n) as n from t group by lang, term having count(*) >= 10),
+langs as (select lang, sum(n) as total, count(*) as v from kept group by lang),
+grp as materialized (select distinct lang, source from d),
+c as materialized (select g.lang, g.source, k.term, coalesce(sum(t.n), 0)::hugeint as n, any_value(k.n)::hugeint as lang_n
+  from grp g join kept k using (lang) left join t on t.lang = g.lang and t.source = g.source and t.term = k.term group by all),
+sizes as (select lang, source, sum(n) as total from c group by lang, source),
+s as materialized (select c.*, 1 + 1000000000 * (c.n + 2) // (z.total + 2 * v) as p, 1 + 1000000000 * (lang_n + 2) // (l.total + 2 * v) as q
+  from c join sizes z using (lang, source) join langs l using (lang)),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+both_parts as (select g.lang, g.source, 'pair' as part, o.source as item, coalesce(value, 0) as value
+  from grp g join grp o on o.lang = g.lang and o.source <> g.source
+  left join pairs p on p.lang = g.lang and p.source = g.source and p.item = o.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from s where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from both_parts)
+where part = 'pair' or rank <= 10""")
+def op12_skyband_audit(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def clustering_sql(rounds: int = 10) -> str:
     """The rounds of op13 as one query: a{r} assigns, c{r} holds the centroids after round r."""
     parts = ["""kept as materialized (select row_number() over () as r, vec_id, v from (
