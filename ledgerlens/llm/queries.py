@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stage
-from . import (chat, divergence, hnsw, jaccard_join, license_scan, mixing, quality_rules, sentencepieces, sharding,
-               toxicity, vector_cells, warc)
+from . import (chat, divergence, hnsw, jaccard_join, license_scan, mixing, personal_data, quality_rules, sentencepieces,
+               sharding, toxicity, vector_cells, warc)
 from .text import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +165,11 @@ def op10_weighted_fair_queueing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_vote_personal_data")
+def op11_vote_personal_data(spark, sf_dir):
+    return personal_data.report(read(spark, sf_dir, "documents"))
+
+
 @query("op12_skyband_audit", r"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
