@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..storage import stage
-from .skew import lookup, percentiles, running, with_scalars
+from .skew import column_medians, lookup, percentiles, running, with_scalars
 
 
 def account_day(df: DataFrame, day: str = "ts", amount: str = "amount", account: str = S.ACCOUNT,
@@ -101,12 +101,11 @@ class TypeAttributor:
         spreads = gaps.groupBy(account).agg(*[F.median(F.abs(F.col(c) - F.col(f"med_{c}"))).alias(f"mad_{c}") for c in names])
         accounts = lookup(medians, spreads, [account]).withColumn("known", (F.col("n") >= min_account_rows).cast("int"))
 
-        long = rows.unpivot([], names, "q", "v")
-        center = stage(percentiles(long, ["q"], "v", {"m": 0.5}).select("q", "m"), "centers")
-        around = lookup(long, center, ["q"]).withColumn("g", F.abs(F.col("v") - F.col("m")))
-        both = lookup(center, percentiles(around, ["q"], "g", {"s": 0.5}).select("q", "s"), ["q"])
-        overall = both.agg(*[F.max(F.when(F.col("q") == c, F.col(x))).alias(f"{p}_{c}")
-                             for c in names for p, x in (("med", "m"), ("mad", "s"))])
+        center = column_medians(rows, [], names)
+        around = with_scalars(rows, center).select(*[F.abs(F.col(c) - F.col(f"__g.{c}")).alias(c) for c in names])
+        spread = column_medians(stage(around, "gaps"), [], names)
+        overall = with_scalars(center, spread).select(
+            *[F.col(c).alias(f"med_{c}") for c in names], *[F.col(f"__g.{c}").alias(f"mad_{c}") for c in names])
         return cls(stage(accounts.drop("n"), "accounts"), stage(overall, "overall"), z_flag, account)
 
     def label(self, df: DataFrame) -> DataFrame:

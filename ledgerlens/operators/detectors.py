@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..storage import stage
 from .encoders import Standardizer
 from .scoring import apply_profile, fit_profile, recon_error
-from .skew import lookup, ordered_values, spread_lookup
+from .skew import lookup, ordered_values, running, spread_lookup
 
 
 class Model(Protocol):
@@ -82,38 +82,76 @@ class PcaDetector:
 
 
 class TailDetector:
-    """Sum over the features of -log tail probability, the larger of left, right and skew-chosen tails.
+    """Empirical tail probabilities by feature, left, right, and the tail that the skew of the feature points to.
 
-    Probabilities are the shares of the training and scored rows together that are at most / at least the value.
+    ``kind`` is ``ecod`` (the largest of the three sums of -log probability over the features) or ``copod`` (the sum of
+    the larger of the skew-chosen one and the mean of both). Probabilities are the shares of the training and scored rows
+    together that are at most / at least the value. The model is the counted distribution of each feature and its
+    moments; scoring orders the new values and looks their ranks up in it.
     """
 
-    name = "tail"
-
-    def __init__(self, features: list[str], id_col: str):
-        self.features, self.id_col = features, id_col
+    def __init__(self, features: list[str], id_col: str, kind: str = "ecod", values: DataFrame | None = None,
+                 moments: DataFrame | None = None):
+        if kind not in ("ecod", "copod"):
+            raise ValueError("kind must be ecod or copod")
+        self.features, self.id_col, self.values, self.moments = features, id_col, values, moments
+        self.kind = self.name = kind
+
+    def _long(self, df: DataFrame, ids: list[str] = ()) -> DataFrame:
+        rows = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in self.features])
+        return rows.unpivot(list(ids), self.features, "feature", "value").filter("value is not null")
+
+    def _distribution(self, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distinct values with n, below and total; and count, mean, squared and cubed deviations of each feature."""
+        ranked = ordered_values(long, ["feature"], "value").select("feature", "value", "n", "below", "total")
+        ranked = stage(ranked, "tail-values")
+        weight = F.col("n").cast("double")
+        means = ranked.groupBy("feature").agg(F.sum(weight).alias("c"), (F.sum(weight * F.col("value")) / F.sum(weight)).alias("m"))
+        off = lookup(ranked, stage(means, "means"), ["feature"], hint=True)  # one row for each feature
+        gap = F.col("value") - F.col("m")
+        moments = off.groupBy("feature", "c", "m").agg(F.sum(weight * gap * gap).alias("s2"), F.sum(weight * gap * gap * gap).alias("s3"))
+        return ranked, stage(moments, "moments")
 
     def fit(self, df: DataFrame) -> "TailDetector":
-        fitted = TailDetector(self.features, self.id_col)
-        fitted.train = df.select(*[F.col(c).cast("double").alias(c) for c in self.features])
-        return fitted
+        return TailDetector(self.features, self.id_col, self.kind, *self._distribution(self._long(df)))
+
+    def _with_model(self, own: DataFrame, moments: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The ranks of the new values among training and new rows, and the moments of both."""
+        mine = own.withColumn("side", F.lit(1))
+        theirs = self.values.select("feature", "value", F.struct("value", "below", "n").alias("seen")).withColumn("side", F.lit(0))
+        laid = theirs.unionByName(mine, allowMissingColumns=True)
+        met = running(laid, ["feature"], ["value", "side"], {"last": ("max", F.col("seen"))}).filter("side = 1")
+        met = lookup(met, self.moments.select("feature", F.col("c").cast("long").alias("known")), ["feature"], hint=True)
+        upto = F.coalesce(F.col("last.below") + F.col("last.n"), F.lit(0))
+        under = F.when(F.col("last.value") == F.col("value"), F.col("last.below")).otherwise(upto)
+        ranked = met.select("feature", "value", (F.col("below") + under).alias("below"),
+                            (F.col("below") + F.col("n") + upto).alias("upto"), (F.col("total") + F.coalesce("known", F.lit(0))).alias("total"))
+        a = moments.select("feature", F.struct("c", "m", "s2", "s3").alias("a"))
+        b = self.moments.select("feature", F.struct("c", "m", "s2", "s3").alias("b"))
+        both = lookup(a, b, ["feature"])
+        na, nb, d = F.col("a.c"), F.col("b.c"), F.col("b.m") - F.col("a.m")
+        n = na + nb
+        s2 = F.col("a.s2") + F.col("b.s2") + d * d * na * nb / n
+        s3 = (F.col("a.s3") + F.col("b.s3") + d * d * d * na * nb * (na - nb) / (n * n)
+              + 3 * d * (na * F.col("b.s2") - nb * F.col("a.s2")) / n)
+        known = F.col("b").isNotNull()
+        return ranked, both.select("feature", F.when(known, n).otherwise(na).alias("c"), F.when(known, s2).otherwise(F.col("a.s2")).alias("s2"),
+                                   F.when(known, s3).otherwise(F.col("a.s3")).alias("s3"))
 
     def score(self, df: DataFrame, out: str = "score", with_train: bool = True) -> DataFrame:
-        mine = df.select(self.id_col, *[F.col(c).cast("double").alias(c) for c in self.features])
-        every = mine.drop(self.id_col)
-        every = every.unionByName(self.train) if with_train else every
-        long = every.unpivot([], self.features, "feature", "value")
-        ranked = ordered_values(long, ["feature"], "value")
-        skew = every.agg(*[F.skewness(c).alias(c) for c in self.features]).unpivot([], self.features, "feature", "skew")
-        left = -F.log((F.col("below") + F.col("n")) / F.col("total"))
+        own, moments = self._distribution(self._long(df))
+        ranked = own.withColumn("upto", F.col("below") + F.col("n"))
+        if with_train and self.values is not None:
+            ranked, moments = self._with_model(own, moments)
+        left = -F.log(F.col("upto") / F.col("total"))
         right = -F.log((F.col("total") - F.col("below")) / F.col("total"))
-        tails = lookup(ranked, skew, ["feature"]).select(
-            "feature", "value", left.alias("left"), right.alias("right"),
-            F.when(F.col("skew") < 0, left).otherwise(right).alias("auto"))
-        rows = mine.unpivot([self.id_col], self.features, "feature", "value")
-        scored = spread_lookup(rows, stage(tails, "tails"), ["feature", "value"])
-        sums = scored.groupBy(self.id_col).agg(
-            F.greatest(F.sum("left"), F.sum("right"), F.sum("auto")).alias(out))
-        return lookup(df, sums, [self.id_col])
+        tails = lookup(ranked, moments.select("feature", (F.col("s3") < 0).alias("low")), ["feature"], hint=True).select(
+            "feature", "value", left.alias("left"), right.alias("right"), F.when(F.col("low"), left).otherwise(right).alias("auto"))
+        scored = spread_lookup(self._long(df, [self.id_col]), stage(tails, "tails"), ["feature", "value"])
+        total = F.greatest(F.sum("left"), F.sum("right"), F.sum("auto"))
+        if self.kind == "copod":
+            total = F.sum(F.greatest(F.col("auto"), (F.col("left") + F.col("right")) / 2))
+        return lookup(df, scored.groupBy(self.id_col).agg(total.alias(out)), [self.id_col])
 
 
 def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
@@ -146,21 +184,27 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 
 class ForestDetector:
-    """Isolation forest: each tree is grown in a task from about 256 hashed rows, and the small trees score all rows."""
+    """Isolation forest: each tree is grown in a task from about 256 hashed rows, and the small trees score all rows.
+
+    With ``seeds`` a forest is grown for each seed, all in one job, and a row is scored by the one of its ``seed``.
+    """
 
     name = "forest"
 
-    def __init__(self, features: list[str], id_col: str, trees: int = 100, sample: int = 256, seed: int = 0):
-        self.features, self.id_col, self.n_trees, self.sample, self.seed = features, id_col, trees, sample, seed
+    def __init__(self, features: list[str], id_col: str, trees: int = 100, sample: int = 256, seed: int = 0,
+                 seeds: tuple[int, ...] = ()):
+        self.features, self.id_col, self.n_trees, self.sample = features, id_col, trees, sample
+        self.seeds, self.by_row = tuple(seeds) or (seed,), bool(seeds)
 
     def fit(self, df: DataFrame) -> "ForestDetector":
-        features, trees, sample, seed = self.features, self.n_trees, self.sample, self.seed
+        features, trees, sample = self.features, self.n_trees, self.sample
         n = max(1, df.count())
         wanted = sample * trees
         copies = max(1, min(trees, -(-wanted // n)))
         keep = min(1.0, wanted / n)
-        rows = df.select(F.xxhash64(F.col(self.id_col), F.lit(seed)).alias("h"),
-                         *[F.col(c).cast("double").alias(c) for c in features])
+        rows = df.select(F.col(self.id_col).alias("__id"), *[F.col(c).cast("double").alias(c) for c in features])
+        rows = rows.withColumn("__seed", F.explode(F.array(*map(F.lit, self.seeds))))
+        rows = rows.withColumn("h", F.xxhash64("__id", "__seed"))
         rows = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.lit(int(keep * (1 << 30))))
         offset = F.pmod(F.xxhash64("h"), F.lit(trees))
         rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
@@ -168,32 +212,31 @@ class ForestDetector:
         limit = int(np.ceil(np.log2(max(2, sample))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(pdf["tree"].iloc[0])
+            tree, seed = int(pdf["tree"].iloc[0]), int(pdf["__seed"].iloc[0])
             x = pdf.sort_values("h")[features].to_numpy()
             nodes = _grow(x, limit, np.random.default_rng([seed, tree]))
             out = pd.DataFrame(nodes, columns=["f", "cut", "a", "b", "size"])
             out.insert(0, "node", range(len(out)))
             out.insert(0, "tree", tree)
+            out.insert(0, "seed", seed)
             return out
 
-        grown = rows.groupBy("tree").applyInPandas(
-            grow, "tree int, node int, f int, cut double, a int, b int, size int")
-        fitted = ForestDetector(features, self.id_col, trees, sample, seed)
-        # At most trees * 2^(depth + 1) nodes reach the driver.
-        table = grown.toPandas().sort_values(["tree", "node"])
-        fitted.nodes = [g[["f", "cut", "a", "b", "size"]].to_numpy(dtype=float) for _, g in table.groupby("tree")]
+        grown = rows.groupBy("__seed", "tree").applyInPandas(
+            grow, "seed int, tree int, node int, f int, cut double, a int, b int, size int")
+        fitted = ForestDetector(features, self.id_col, trees, sample, self.seeds[0], self.seeds if self.by_row else ())
+        # At most seeds * trees * 2^(depth + 1) nodes reach the driver.
+        table = grown.toPandas().sort_values(["seed", "tree", "node"])
+        fitted.nodes = {int(s): [g[["f", "cut", "a", "b", "size"]].to_numpy(dtype=float) for _, g in forest.groupby("tree")]
+                        for s, forest in table.groupby("seed")}
         return fitted
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
-        features = self.features
-        forest = df.sparkSession.sparkContext.broadcast(self.nodes)
+        forests = df.sparkSession.sparkContext.broadcast(self.nodes)
         norm = float(_average_path(np.array([self.sample]))[0])
 
-        @F.pandas_udf("double")
-        def path(cols: pd.DataFrame) -> pd.Series:
-            x = cols.to_numpy(dtype=float)
+        def depths(x: np.ndarray, trees: list) -> np.ndarray:
             total = np.zeros(len(x))
-            for nodes in forest.value:
+            for nodes in trees:
                 at, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
                 active = nodes[at, 0] >= 0
                 while active.any():
@@ -204,6 +247,15 @@ class ForestDetector:
                     depth[idx] += 1
                     active[idx] = nodes[at[idx], 0] >= 0
                 total += depth + _average_path(nodes[at, 4])
-            return pd.Series(np.power(2.0, -total / max(1, len(forest.value)) / norm))
+            return np.power(2.0, -total / max(1, len(trees)) / norm)
 
-        return df.withColumn(out, path(F.struct(*[F.col(c).cast("double").alias(c) for c in features])))
+        @F.pandas_udf("double")
+        def path(seed: pd.Series, cols: pd.DataFrame) -> pd.Series:
+            x, scores = cols.to_numpy(dtype=float), np.zeros(len(cols))
+            for s in np.unique(seed):
+                mine = (seed == s).to_numpy()
+                scores[mine] = depths(x[mine], forests.value.get(int(s), []))
+            return pd.Series(scores)
+
+        seed = F.col("seed").cast("int") if self.by_row else F.lit(self.seeds[0])
+        return df.withColumn(out, path(seed, F.struct(*[F.col(c).cast("double").alias(c) for c in self.features])))

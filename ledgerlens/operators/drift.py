@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..storage import stage
 from .baselines import normalize_amount
-from .skew import lookup, percentiles, positions, spread_lookup, with_scalars
+from .skew import lookup, percentiles, positions, running, spread_lookup, with_scalars
 
 EPS = 1e-6
 
@@ -140,7 +140,7 @@ class RecommendConfig:
     id_col: str = "UniqueId"
     features: list[str] = field(default_factory=lambda: ["BuyAmount"])
     step_k: int = 10
-    max_k: int = 200
+    prior_rows: int = 30
     bootstraps: int = 5
     probe: int = 8
     min_improvement: float = 0.05
@@ -171,39 +171,49 @@ def cell_inflation(history: DataFrame, cells: DataFrame, cfg: RecommendConfig) -
     return parts[0].unionByName(parts[1])
 
 
-def empirical_n(cells: DataFrame, cfg: RecommendConfig) -> DataFrame:
-    """Rows per pair after which one more step no longer improves a held-out probe.
+def learning_curve(history: DataFrame, cells: DataFrame, cfg: RecommendConfig) -> DataFrame:
+    """(pair, k, mean, std): error on a held-out probe after k = step, 2 step, ... rows of a new pair join the history.
 
-    The model is the median profile of the pair. Rows are ranked by hashes of their id: the first ones are the probe,
-    and each bootstrap ranks the rest anew and uses the first k. At most ``max_k`` rows per pair and bootstrap remain
-    before anything is grouped.
+    The model is a profile that merges: the pair's mean, with the history's mean standing for ``prior_rows`` rows. Rows are
+    ranked by hashes of their id; the first ones are the probe, and each bootstrap ranks the rest anew, so the models of
+    a bootstrap are prefixes of one order and their sums come from one running sum, up to all rows of the pair. The probe
+    enters by its count, sums and squares. Pairs below ``floor`` rows, or too small for a step, have no curve.
     """
     pair = [cfg.bu, cfg.cp]
+    values = {f"__x_{i}": F.col(c).cast("double") for i, c in enumerate(cfg.features)}
 
     def hashed(tag: Column | str) -> Column:
-        return F.md5(F.concat_ws(":", F.col(cfg.id_col).cast("string"), F.lit(str(cfg.seed)), tag))
+        return F.md5(F.concat_ws(":", F.col("__id"), F.lit(str(cfg.seed)), tag))
 
-    ranked = positions(cells.select(*pair, cfg.id_col, *cfg.features).withColumn("__h", hashed(F.lit("probe"))), pair,
-                       ["__h"], "__pos")
+    rows = cells.select(*pair, F.col(cfg.id_col).cast("string").alias("__id"), *[c.alias(x) for x, c in values.items()])
+    ranked = positions(rows.withColumn("__h", hashed(F.lit("probe"))), pair, ["__h", "__id"], "__pos")
     ranked = stage(ranked.filter(F.col("__pos_n") >= max(cfg.probe + cfg.step_k, cfg.floor)), "ranked")
-    probe = ranked.filter(F.col("__pos") <= cfg.probe).select(*pair, *[F.col(c).alias(f"x_{c}") for c in cfg.features])
-    pool = ranked.filter(F.col("__pos") > cfg.probe).withColumn("size", F.col("__pos_n") - cfg.probe)
-    tries = pool.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(cfg.bootstraps - 1))))
-    tries = tries.withColumn("__h", hashed(F.col("b").cast("string")))
-    order = Window.partitionBy(*pair, "b").orderBy("__h")
-    taken = tries.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cfg.max_k)
-    top = F.least(F.lit(cfg.max_k), (F.floor(F.col("size") / cfg.step_k) * cfg.step_k).cast("int"))
-    first = (F.ceil(F.col("r") / cfg.step_k) * cfg.step_k).cast("int")
-    taken = taken.filter(first <= top).withColumn("k", F.explode(F.sequence(first, top, F.lit(cfg.step_k))))
-    models = taken.groupBy(*pair, "b", "k").agg(*[F.median(c).alias(f"p_{c}") for c in cfg.features])
-    errors = lookup(probe.withColumn("__i", F.lit(1)), models.groupBy(*pair).agg(
-        F.collect_list(F.struct("b", "k", *[f"p_{c}" for c in cfg.features])).alias("fits")), pair, how="inner")
-    errors = errors.select(*pair, *[f"x_{c}" for c in cfg.features], F.inline("fits"))
-    mse = sum((F.pow(F.col(f"x_{c}") - F.col(f"p_{c}"), 2) for c in cfg.features), F.lit(0.0)) / float(len(cfg.features))
-    boots = errors.groupBy(*pair, "k", "b").agg(F.avg(mse).alias("e"))
-    curve = boots.groupBy(*pair, "k").agg(F.avg("e").alias("mean"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("std"))
-    steps = curve.withColumn("prev", F.lag("mean").over(Window.partitionBy(*pair).orderBy("k")))
-    settled = ((F.col("prev") - F.col("mean")) / F.greatest(F.col("prev"), F.lit(1e-12)) < cfg.min_improvement) & (
+    probe = ranked.filter(F.col("__pos") <= cfg.probe).groupBy(*pair).agg(F.count(F.lit(1)).alias("__c"), *[
+        agg.alias(f"{x}{name}") for x in values for name, agg in (("_s", F.sum(x)), ("_q", F.sum(F.col(x) * F.col(x))))])
+    pool = ranked.filter(F.col("__pos") > cfg.probe).select(
+        *pair, "__id", *values, F.explode(F.sequence(F.lit(0), F.lit(cfg.bootstraps - 1))).alias("b"))
+    pool = pool.withColumn("__h", hashed(F.col("b").cast("string")))
+    sums = running(pool, [*pair, "b"], ["__h", "__id"], {
+        "before": ("sum", F.lit(1).cast("long")), **{f"{x}_b": ("sum", F.col(x)) for x in values}})
+    k = F.col("before") + 1
+    models = sums.filter(k % cfg.step_k == 0).select(*pair, "b", k.alias("k"), *[(F.col(f"{x}_b") + F.col(x)).alias(x) for x in values])
+    prior = history.agg(*[F.avg(c).alias(x) for x, c in values.items()])
+    tried = with_scalars(lookup(models, probe, pair), prior)
+    parts = []
+    for x in values:
+        p = (cfg.prior_rows * F.col(f"__g.{x}") + F.col(x)) / (F.col("k") + cfg.prior_rows)
+        parts.append((F.col(f"{x}_q") - 2 * p * F.col(f"{x}_s") + F.col("__c") * p * p) / F.col("__c"))
+    errors = tried.select(*pair, "k", (sum(parts[1:], parts[0]) / float(len(parts))).alias("e"))
+    return errors.groupBy(*pair, "k").agg(F.avg("e").alias("mean"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("std"))
+
+
+def empirical_n(history: DataFrame, cells: DataFrame, cfg: RecommendConfig) -> DataFrame:
+    """Rows per pair after which one more step no longer improves the probe; all full steps if none settles."""
+    pair = [cfg.bu, cfg.cp]
+    curve = stage(learning_curve(history, cells, cfg), "curve")
+    steps = running(curve, pair, ["k"], {"last_k": ("max", F.struct("k", "mean"))}, stored=True)
+    prev = F.col("last_k.mean")
+    settled = ((prev - F.col("mean")) / F.greatest(prev, F.lit(1e-12)) < cfg.min_improvement) & (
         F.col("std") / F.greatest(F.col("mean"), F.lit(1e-12)) < cfg.max_cv)
     return steps.groupBy(*pair).agg(F.coalesce(F.min(F.when(settled, F.col("k"))), F.max("k")).cast("long").alias("empirical_n"))
 
@@ -226,7 +236,7 @@ def recommend(history: DataFrame, recent: DataFrame, cfg: RecommendConfig = Reco
     out = out.withColumn("vif", vif).withColumn("sigma_effective", F.col("sigma") * F.col("vif"))
     out = out.withColumn("analytical_n", required_n(F.col("sigma_effective"), cfg.precision, cfg.z, cfg.floor))
     if cfg.empirical:
-        out = lookup(out, empirical_n(cells, cfg), pair)
+        out = lookup(out, empirical_n(history, cells, cfg), pair)
     else:
         out = out.withColumn("empirical_n", F.lit(None).cast("long"))
     out = out.withColumn("recommended_n", F.greatest(F.col("analytical_n"), F.coalesce("empirical_n", F.lit(0).cast("long"))))

@@ -8,30 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .skew import ordered_values, positions, with_scalars
-from .splits import mark_newest
+from ..storage import stage
+from .scoring import top_n
+from .skew import lookup, ordered_values, positions, with_scalars
 
 # The eight corruption types.
 TYPES = ["volume_spike", "large_amount", "one_sided_flow", "bu_concentration", "bu_diversity", "code_diversity",
          "weekend_activity", "net_flow_extreme"]
 
 
-def _draw(id_col: str, seed: int, k: int) -> Column:
+def _draw(id_col: str, seed: Column, k: int) -> Column:
     """Uniform number in [0, 1) fixed by id, seed and draw."""
-    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(k))))
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), seed.cast("string"), F.lit(str(k))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def inject_seeds(df: DataFrame, id_col: str, rate: float = 0.02, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """The rows once for each seed, in column ``seed``, each copy corrupted on its own."""
+    copies = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    return _inject(copies, id_col, rate, F.col("seed"), ["seed"])
+
+
 def inject_anomalies(df: DataFrame, id_col: str, rate: float = 0.02, seed: int = 0) -> DataFrame:
     """Corrupt ``max(1, floor(n * rate))`` account-day rows, one of eight joint edits each, and label them.
 
     Which rows and what edits follow from hashes of the id, so every run and retry corrupts the same rows.
     """
-    chosen = df.withColumn("__h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit("pick"))))
-    ranked = ordered_values(chosen, [], "__h")
+    return _inject(df, id_col, rate, F.lit(seed), [])
+
+
+def _inject(df: DataFrame, id_col: str, rate: float, seed: Column, keys: list[str]) -> DataFrame:
+    chosen = df.withColumn("__h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), seed.cast("string"), F.lit("pick"))))
+    ranked = ordered_values(chosen, keys, "__h")
     at = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") * rate)) - 1
-    limit = ranked.filter((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select("__h").scalar()
-    drawn = chosen.withColumn("__limit", limit).withColumn("is_anomaly", (F.col("__h") <= F.col("__limit")).cast("int"))
+    limit = ranked.filter((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(*keys, F.col("__h").alias("__limit"))
+    drawn = lookup(chosen, limit, keys, hint=True) if keys else chosen.withColumn("__limit", limit.scalar())  # a row for each seed
+    drawn = drawn.withColumn("is_anomaly", F.coalesce(F.col("__h") <= F.col("__limit"), F.lit(False)).cast("int"))
     pick = F.floor(_draw(id_col, seed, 0) * len(TYPES)).cast("int")
     drawn = drawn.withColumns({
         "anomaly_type": F.when(F.col("is_anomaly") == 1, F.get(F.array(*[F.lit(t) for t in TYPES]), pick)).otherwise("none"),
@@ -100,17 +112,24 @@ def inject_anomalies(df: DataFrame, id_col: str, rate: float = 0.02, seed: int =
     })
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str, k: int = 50, tie: tuple[str, ...] = ()) -> DataFrame:
-    """One row: ROC-AUC, average precision (both exact with tied scores) and the precision of the k largest scores."""
-    o = ordered_values(df, [], score, {"pos": F.col(label).cast("long")})
+def ranking_metrics(df: DataFrame, score: str, label: str, k: int = 50, tie: tuple[str, ...] = (),
+                    keys: list[str] = ()) -> DataFrame:
+    """ROC-AUC, average precision (both exact with tied scores) and the precision of the k largest scores.
+
+    One row, or one for each value of ``keys`` (model, seed, context size): all groups are ordered in one pass.
+    """
+    keys = list(keys)
+    o = ordered_values(df, keys, score, {"pos": F.col(label).cast("long")})
     pos, p = F.col("pos"), F.col("pos_total")
     neg = F.col("n") - pos
     negatives = F.col("total") - p
-    area = pos * (F.col("below") - F.col("pos_below") + neg / 2.0) / (p * negatives)
+    area = F.try_divide(pos * (F.col("below") - F.col("pos_below") + neg / 2.0), p * negatives)
     hits = p - F.col("pos_below")
-    precision = pos / p * hits / (F.col("total") - F.col("below"))
-    areas = o.agg(F.sum(area).alias("roc_auc"), F.sum(precision).alias("pr_auc"))
-    top = df.orderBy(F.desc(score), *tie).limit(k).agg(F.avg(F.col(label).cast("double")).alias("p_at_k"))
+    precision = F.try_divide(pos, p) * hits / (F.col("total") - F.col("below"))
+    areas = o.groupBy(*keys).agg(F.sum(area).alias("roc_auc"), F.sum(precision).alias("pr_auc"))
+    top = top_n(df, score, k, keys, tie).groupBy(*keys).agg(F.avg(F.col(label).cast("double")).alias("p_at_k"))
+    if keys:
+        return lookup(areas, top, keys).select(*keys, "roc_auc", "pr_auc", "p_at_k")
     return with_scalars(areas, top).select("roc_auc", "pr_auc", F.col("__g.p_at_k").alias("p_at_k"))
 
 
@@ -131,19 +150,29 @@ def recall_per_type(df: DataFrame, scores: list[str], budget: float = 0.03, tie:
         *[F.avg(F.when(F.col("model") == s, flag)).alias(s) for s in scores])
 
 
-def evaluate_detectors(train: DataFrame, clean_test: DataFrame, detectors: Callable[[int], list], id_col: str,
+def scored_seeds(train: DataFrame, clean_test: DataFrame, detectors: list, id_col: str,
+                 prepare: Callable[[DataFrame], DataFrame], seeds: tuple[int, ...] = (0, 1, 2, 3, 4),
+                 rate: float = 0.02) -> DataFrame:
+    """(model, seed, id, is_anomaly, anomaly_type, score), stored: each detector is fitted once and scores all seeds.
+
+    A detector that draws at random takes its draws from the row's ``seed`` itself (``ForestDetector(seeds=...)``).
+    """
+    train = stage(prepare(train), "train")
+    test = stage(prepare(inject_seeds(clean_test, id_col, rate, seeds)), "corrupted")
+    rows = None
+    for det in detectors:
+        part = det.fit(train).score(test).select(
+            F.lit(det.name).alias("model"), "seed", id_col, "is_anomaly", "anomaly_type", "score")
+        rows = part if rows is None else rows.unionByName(part)
+    return stage(rows, "scores")
+
+
+def evaluate_detectors(train: DataFrame, clean_test: DataFrame, detectors: list, id_col: str,
                        prepare: Callable[[DataFrame], DataFrame], seeds: tuple[int, ...] = (0, 1, 2, 3, 4),
                        rate: float = 0.02, k: int = 50) -> DataFrame:
-    """(model, seed, roc_auc, pr_auc, p_at_k): inject, fit, score and measure once per seed and detector."""
-    rows = None
-    for seed in seeds:
-        test = inject_anomalies(clean_test, id_col, rate, seed)
-        for det in detectors(seed):
-            scored = det.fit(prepare(train)).score(prepare(test))
-            part = ranking_metrics(scored, "score", "is_anomaly", k, (id_col,)).select(
-                F.lit(det.name).alias("model"), F.lit(seed).alias("seed"), "*")
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """(model, seed, roc_auc, pr_auc, p_at_k) of all detectors and seeds, measured in one table of scores."""
+    scores = scored_seeds(train, clean_test, detectors, id_col, prepare, seeds, rate)
+    return ranking_metrics(scores, "score", "is_anomaly", k, (id_col,), ["model", "seed"])
 
 
 def summarize_seeds(results: DataFrame, metrics: tuple[str, ...] = ("roc_auc", "pr_auc", "p_at_k")) -> DataFrame:
@@ -152,10 +181,6 @@ def summarize_seeds(results: DataFrame, metrics: tuple[str, ...] = ("roc_auc", "
         *[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics])
 
 
-def newest_rows(df: DataFrame, date: str, n: int, tie: list[str]) -> DataFrame:
-    return mark_newest(df, date, tie, lambda c: F.least(F.lit(n).cast("long"), c), "__new").filter("__new = 1").drop("__new")
-
-
 def context_sizes(n_rows: int, first: int = 500) -> list[int]:
     """``first``, doubled while it is below all rows, and all rows."""
     sizes = []
@@ -167,11 +192,15 @@ def context_sizes(n_rows: int, first: int = 500) -> list[int]:
 
 def context_ablation(train: DataFrame, test: DataFrame, detector, sizes: list[int], date: str, tie: list[str],
                      id_col: str, k: int = 50) -> DataFrame:
-    """(context_rows, model, metrics): the detector fitted on the newest n training rows for several n."""
+    """(context_rows, model, metrics): the detector fitted on the newest n training rows for several n.
+
+    Contexts are prefixes of one order, so rows are ranked once; the scores of all contexts are measured in one table.
+    """
+    ranked = stage(positions(train, [], [f"-{c}" for c in (date, *tie)], "__pos"), "contexts")
     rows = None
     for n in sizes:
-        scored = detector.fit(newest_rows(train, date, n, tie)).score(test)
-        part = ranking_metrics(scored, "score", "is_anomaly", k, (id_col,)).select(
-            F.lit(n).alias("context_rows"), F.lit(detector.name).alias("model"), "*")
+        context = ranked.filter(F.col("__pos") <= n).drop("__pos", "__pos_n")
+        part = detector.fit(context).score(test).select(
+            F.lit(n).alias("context_rows"), F.lit(detector.name).alias("model"), id_col, "is_anomaly", "score")
         rows = part if rows is None else rows.unionByName(part)
-    return rows
+    return ranking_metrics(stage(rows, "scores"), "score", "is_anomaly", k, (id_col,), ["context_rows", "model"])

@@ -9,38 +9,24 @@ from .. import schema as S
 from ..functions import scalars as X
 from ..storage import stage
 from .baselines import attach
-from .skew import percentiles, spread_lookup, with_scalars
+from .skew import column_medians, percentiles, spread_lookup, with_scalars
 
 
-def _feature_rows(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
-        keys, features, "feature", "value")
-
-
-def _wide(medians: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    picked = [F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"p_{c}") for c in features]
-    return medians.groupBy(*keys).agg(*picked)
-
-
-def fit_profile(df: DataFrame, features: list[str], keys: list[str] = S.KEYS, approx: bool = False) -> DataFrame:
-    """Expected value per key and feature: the training median, as columns ``p_<feature>``.
-
-    Features become rows before counting, so equal values collapse on the map side; the result has one row per key.
-    """
-    long = _feature_rows(df, features, keys)
-    return _wide(percentiles(long, [*keys, "feature"], "value", {"m": 0.5}, approx), features, keys)
+def fit_profile(df: DataFrame, features: list[str], keys: list[str] = S.KEYS, approx: bool = False,
+                stored: bool = False) -> DataFrame:
+    """Expected value per key and feature: the training median, as columns ``p_<feature>``, one row per key."""
+    if approx:
+        sketches = [F.percentile_approx(F.col(c).cast("double"), 0.5, F.lit(10000)) for c in features]
+        return df.groupBy(*keys).agg(*[m.alias(f"p_{c}") for m, c in zip(sketches, features)])
+    rows = df.select(*keys, *features)
+    medians = column_medians(rows if stored else stage(rows, "features"), keys, features)
+    return medians.select(*keys, *[F.col(c).alias(f"p_{c}") for c in features])
 
 
 def fit_profiles(df: DataFrame, features: list[str], keys: list[str] = S.KEYS, approx: bool = False
                  ) -> tuple[DataFrame, DataFrame]:
-    """Profile per key and overall; the exact ones share one count of the values, so rows are read once."""
-    if approx:
-        return fit_profile(df, features, keys, True), fit_profile(df, features, [], True)
-    counted = stage(_feature_rows(df, features, keys).groupBy(*keys, "feature", "value").agg(
-        F.count(F.lit(1)).alias("c")), "feature-values")
-    own = percentiles(counted, [*keys, "feature"], "value", {"m": 0.5}, weight="c")
-    overall = percentiles(counted, ["feature"], "value", {"m": 0.5}, weight="c")
-    return _wide(own, features, keys), _wide(overall, features, [])
+    """Profile per key and overall of stored rows."""
+    return fit_profile(df, features, keys, approx, stored=True), fit_profile(df, features, [], approx, stored=True)
 
 
 def apply_profile(df: DataFrame, profile: DataFrame, overall: DataFrame, features: list[str],

@@ -2,8 +2,9 @@
 
 A group counts as *hot* when it holds more than ``1 / hot_share`` of all rows, so there are never more than
 ``hot_share`` hot groups and their statistics can be broadcast whatever the size of the data. Ordinary groups use a
-plain shuffle; hot groups are spread over many tasks and corrected with the broadcast statistics. There is one way for
-all sizes. What reads its input several times stores it first, unless ``stored`` says that it is a stored table.
+plain shuffle; hot groups are spread over many tasks and corrected with the broadcast statistics. Groups are counted
+first, and without a hot one the steps that only serve hot groups are left out of the plan; sizes decide nothing. What
+reads its input several times stores it first, unless ``stored`` says that it is a stored table.
 """
 
 from __future__ import annotations
@@ -60,15 +61,27 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _hot(stats: DataFrame, n: str) -> DataFrame:
+def _hot(stats: DataFrame, n: str) -> DataFrame | None:
+    """The groups that hold more than a fair share of all rows; None if there are none."""
     share = hot_share(stats.sparkSession)
-    total = stats.agg(F.sum(n)).scalar()
-    return stats.filter(F.col(n) * F.lit(share) > total)
+    top = stats.agg(F.max(n).alias("most"), F.sum(n).alias("total")).first()
+    if top.most is None or top.most * share <= top.total:
+        return None
+    return stats.filter(F.col(n) * F.lit(share) > F.lit(top.total))
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def spread(df: DataFrame) -> Column:
     """A salt that depends on the row and its input partition, so copies of one row spread too and retries agree."""
-    return F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(1 << 20)) + 1
+    values = [F.col(f"`{f.name}`") for f in df.schema if _hashable(f.dataType)]
+    return F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.lit(1 << 20)) + 1
 
 
 def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame | None = None,
@@ -82,7 +95,10 @@ def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], counts: Data
     names = [c for c in table.columns if c not in keys]
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot_keys = _hot(counts, "__n").select(*keys)
+    hot_keys = _hot(counts, "__n")
+    if hot_keys is None:
+        return lookup(df, table, keys, null_safe=null_safe).select(*df.columns, *names)
+    hot_keys = stage(hot_keys.select(*keys), "hot")  # a few keys; the plan refers to ``df`` once
     hot = lookup(table, hot_keys, keys, how="left_semi", null_safe=null_safe, hint=True)
     hot = hot.select(*keys, F.struct(*names).alias("__hot"))
     hot = lookup(hot_keys.withColumn("__is_hot", F.lit(True)), hot, keys, null_safe=null_safe)
@@ -123,36 +139,50 @@ def sort_key(df: DataFrame, name: str) -> Column:
     return F.coalesce(key, F.lit(float("-inf")))
 
 
-def _edges(keyed: DataFrame, n: int) -> Column:
-    """n - 1 rising values of ``__k`` that cut the rows into about equal parts, as a scalar subquery.
+def _edges(keyed: DataFrame, group: list[str], n: int) -> DataFrame:
+    """``__e`` for each group: at most n - 1 rising values of ``__k`` that cut the group into about equal parts.
 
-    Numbers have a quantile sketch. Strings have none, so a random sample of 32 values for each bucket is ordered.
+    Numbers have a quantile sketch. Strings have none, so a random sample of 32 values for each part is ordered; edges
+    are stored, so every pass sees the same ones.
     """
     if not isinstance(keyed.schema["__k"].dataType, T.StringType):
-        return keyed.agg(F.percentile_approx("__k", [i / n for i in range(1, n)], F.lit(8 * n))).scalar()
-    sample = keyed.select("__k", F.rand(17).alias("__r")).orderBy("__r").limit(32 * n)
-    values = sample.agg(F.sort_array(F.collect_list("__k")).alias("v"))
-    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get(F.col("v"), F.floor(i * F.size("v") / n).cast("int")))
-    return values.select(at).scalar()
+        cut = keyed.groupBy(*group).agg(
+            F.percentile_approx("__k", [i / n for i in range(1, n)], F.lit(8 * n)).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    else:
+        sampled = F.rand(17) * keyed.count() < 32 * n
+        values = keyed.filter(sampled).groupBy(*group).agg(
+            F.sort_array(F.collect_list("__k")).alias("v"), F.count(F.lit(1)).alias("__n"))
+        at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("v", F.floor(i * F.size("v") / n).cast("int")))
+        cut = values.select(*group, at.alias("__e"), "__n")
+    return stage(cut, "edges")
+
+
+def _thinned(edges: DataFrame, group: list[str]) -> DataFrame:
+    """As many edges for each group as its share of the rows asks for: some two for each bucket in all groups together."""
+    total = edges.agg(F.sum("__n")).first()[0] or 1
+    step = F.greatest(F.lit(1), F.floor(F.lit(total) / (F.lit(2) * F.col("__n"))).cast("int"))
+    return edges.select(*group, F.filter("__e", lambda _, i: (i + 1) % step == 0).alias("__e"))
 
 
-def with_bucket(df: DataFrame, name: str, ascending: bool = True, out: str = "__b") -> DataFrame:
-    """Add the order bucket of a column: equal values share a bucket and buckets follow the order of the values.
+def with_bucket(df: DataFrame, name: str, ascending: bool = True, group: list[str] = (),
+                hot: DataFrame | None = None) -> DataFrame:
+    """Add ``__b``, the order bucket of a column: equal values share a bucket and buckets follow the order of the values.
 
-    The edges are approximate quantiles of the whole column. They only balance the work; any edges give the same
-    results. A binary search over them is unrolled into a chain of projections.
+    Without ``group`` the whole table is cut. With it, only the groups in ``hot`` (rows of them) are, and other rows have
+    a null bucket. A binary search over the edges is unrolled into a chain of projections.
     """
-    n = bucket_count(df.sparkSession)
-    keyed = df.withColumn("__k", sort_key(df, name))
-    cut = keyed.withColumn("__e", _edges(keyed, n)).withColumn(out, F.lit(0))
+    n, group = bucket_count(df.sparkSession), list(group)
+    keyed = (df if hot is None else hot).withColumn("__k", sort_key(df, name))
+    edges = _thinned(_edges(keyed, group, n), group)
+    cut = df.withColumn("__k", sort_key(df, name))
+    cut = lookup(cut, edges, group, null_safe=True, hint=True) if group else cut.withColumn("__e", edges.scalar())
+    cut = cut.withColumn("__b", F.when(F.col("__e").isNotNull(), 0))
     step = n // 2
     while step:
-        beyond = F.col("__k") > F.get(F.col("__e"), F.col(out) + F.lit(step - 1))
-        cut = cut.withColumn(out, F.col(out) + F.when(beyond, step).otherwise(0))
+        beyond = F.col("__k") > F.get(F.col("__e"), F.col("__b") + F.lit(step - 1))
+        cut = cut.withColumn("__b", F.col("__b") + F.when(beyond, step).otherwise(0))
         step //= 2
-    if not ascending:
-        cut = cut.withColumn(out, F.lit(n - 1) - F.col(out))
-    return cut.drop("__k", "__e")
+    return cut.withColumn("__b", F.col("__b") * (1 if ascending else -1)).drop("__k", "__e")
 
 
 def _order(order: list[str]) -> tuple[list[Column], str, bool]:
@@ -165,51 +195,44 @@ def running(df: DataFrame, group: list[str], order: list[str], aggs: dict[str, t
     """Running aggregates over the rows *before* each row of its group, in a total order.
 
     ``aggs`` maps a name to (``sum`` | ``min`` | ``max``, column); ``order`` takes names, ``-name`` for descending.
-    With ``totals`` the aggregate over the whole group is added as ``<name>_total``. Hot groups, the null group among
-    them (or the whole table when ``group`` is empty), are cut into order buckets, so that no task holds more than a
-    bucket of a hot group. The edges of the buckets are drawn once, before the rows are stored.
+    With ``totals`` the aggregate over the whole group is added as ``<name>_total``. Rows are shuffled once. Hot groups,
+    the null group among them (or the whole table when ``group`` is empty), are cut into order buckets, more for larger
+    groups, so that no task holds more than a bucket of a hot group; the totals of the buckets, of which there are only a
+    few for each shuffle partition, are broadcast. Edges only balance the work; any edges give the same results.
     """
     cols, first, ascending = _order(order)
     df = df if stored else stage(df, "running")
-    partial = [AGG[op](c).alias(f"__t_{n}") for n, (op, c) in aggs.items()]
-    valued = df
-    for n, (_, c) in aggs.items():
-        valued = valued.withColumn(f"__v_{n}", c)
-    base = with_bucket(valued, first, ascending)
-    if isinstance(df.schema[first].dataType, T.StringType):
-        base = stage(base, "bucketed")  # the sampled edges must be the same in every pass
+    rows = df
+    for name, (_, c) in aggs.items():
+        rows = rows.withColumn(f"__v_{name}", c)
+    hot, part = rows, list(group)
     if group:
-        stats = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *partial)
-        hot = _hot(stats, "__n").select(*group, F.struct(*[f"__t_{n}" for n in aggs]).alias("__hot"))
-        base = lookup(base, hot, group, null_safe=True, hint=True)
-        base = base.withColumn("__b", F.when(F.col("__hot").isNotNull(), F.col("__b")).otherwise(-1))
-    else:
-        whole = df.agg(*partial).select(F.struct(*[f"__t_{n}" for n in aggs])).scalar()
-        base = base.withColumn("__hot", whole)
-
-    part = group + ["__b"]
-    # A filter on the bucket itself would be pushed into the search above it and repeat it.
-    cut = base.filter(F.col("__hot").isNotNull()) if group else base
-    sums = cut.groupBy(*part).agg(
-        *[AGG[op](f"__v_{n}").alias(f"__p_{n}") for n, (op, _) in aggs.items()])
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *part, *[AGG[op](f"__p_{n}").over(before).alias(f"__o_{n}") for n, (op, _) in aggs.items()])
+        hot_keys = _hot(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), "__n")
+        hot = None if hot_keys is None else lookup(rows, stage(hot_keys.select(*group), "hot"), group, "left_semi", True, True)
+    if hot is not None:
+        rows, part = with_bucket(rows, first, ascending, group, hot), [*group, "__b"]
 
     inside = Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    rows = base
-    for n, (op, _) in aggs.items():
-        rows = rows.withColumn(f"__w_{n}", AGG[op](f"__v_{n}").over(inside))
+    whole = Window.partitionBy(*part)
+    out = rows.withColumns({f"__w_{name}": AGG[op](f"__v_{name}").over(inside) for name, (op, _) in aggs.items()})
     if totals:
-        everything = Window.partitionBy(*part)
-        for n, (op, _) in aggs.items():
-            rows = rows.withColumn(f"__a_{n}", AGG[op](f"__v_{n}").over(everything))
-    out = lookup(rows, offsets, part, null_safe=bool(group))
-    result = [COMBINE[op](F.col(f"__o_{n}"), F.col(f"__w_{n}")).alias(n) for n, (op, _) in aggs.items()]
+        out = out.withColumns({f"__a_{name}": AGG[op](f"__v_{name}").over(whole) for name, (op, _) in aggs.items()})
+    value = {name: F.coalesce(f"__w_{name}", F.lit(0)) if op == "sum" else F.col(f"__w_{name}") for name, (op, _) in aggs.items()}
+    total = {name: F.col(f"__a_{name}") for name in aggs}
+    if hot is not None:
+        sums = rows.withColumn("__cut", F.monotonically_increasing_id() >= 0)  # keeps the filter above the search
+        sums = sums.filter(F.col("__cut") & F.col("__b").isNotNull()).groupBy(*part).agg(
+            *[AGG[op](f"__v_{name}").alias(f"__p_{name}") for name, (op, _) in aggs.items()])
+        before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offsets = sums.select(*part, *[AGG[op](f"__p_{name}").over(w).alias(f"__{side}_{name}")
+                                       for name, (op, _) in aggs.items() for side, w in (("o", before), ("t", every))])
+        out = lookup(out, offsets, part, null_safe=True, hint=True)
+        value = {name: COMBINE[op](F.col(f"__o_{name}"), F.col(f"__w_{name}")) for name, (op, _) in aggs.items()}
+        total = {name: F.when(F.col("__b").isNotNull(), F.col(f"__t_{name}")).otherwise(total[name]) for name in aggs}
+    result = [value[name].alias(name) for name in aggs]
     if totals:
-        result += [
-            F.coalesce(F.col(f"__hot.__t_{n}"), F.col(f"__a_{n}")).alias(f"{n}_total") for n in aggs
-        ]
+        result += [total[name].alias(f"{name}_total") for name in aggs]
     return out.select(*df.columns, *result)
 
 
@@ -242,6 +265,57 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
     return ranked
 
 
+def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 1000) -> DataFrame:
+    """Exact median of each column per group (linear between the middle two; nulls left out), one row per group.
+
+    ``df`` is read several times and should be stored. One aggregate sketches a narrow bracket around each median; a
+    second counts what lies below it; only values inside a bracket, under 1 % of a column that varies, become rows and
+    are ordered. Where a sketch missed, the bracket is opened and the step repeated for that group and column alone.
+    """
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(cols)])
+    at, probs = range(len(cols)), [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[
+        F.percentile_approx(f"__x_{i}", probs, F.lit(accuracy)).alias(f"__e_{i}") for i in at])
+    brackets = stage(sketch.select(*keys, "__n", *[
+        F.col(f"__e_{i}")[side].alias(f"__{name}_{i}") for i in at for side, name in enumerate(("lo", "hi"))]), "brackets")
+    found = None
+    while True:
+        table = brackets.drop("__n")
+        joined = spread_lookup(rows, table, keys, brackets.select(*keys, "__n"), null_safe=True) if keys else (
+            with_scalars(rows, table).select(*rows.columns, "__g.*"))
+        counts = joined.groupBy(*keys).agg(*[c for i in at for c in (
+            F.count(F.when(F.col(f"__lo_{i}").isNotNull(), F.col(f"__x_{i}"))).alias(f"__n_{i}"),
+            F.count_if(F.col(f"__x_{i}") < F.col(f"__lo_{i}")).alias(f"__below_{i}"),
+            F.count_if(F.col(f"__x_{i}") <= F.col(f"__hi_{i}")).alias(f"__upto_{i}"))])
+        placed = lookup(brackets, counts, keys, null_safe=True) if keys else with_scalars(brackets, counts).select("*", "__g.*").drop("__g")
+        placed = stage(placed, "placed")
+        parts = placed.select(*keys, F.explode(F.array(*[F.struct(
+            F.lit(i).alias("c"), *[F.col(f"__{name}_{i}").alias(name) for name in ("lo", "hi", "n", "below", "upto")]) for i in at])).alias("p")
+        ).select(*keys, "p.*").filter("n > 0")
+        ranks = parts.withColumn("first", F.floor((F.col("n") - 1) / 2)).withColumn("last", F.floor(F.col("n") / 2))
+        good = (F.col("below") <= F.col("first")) & (F.col("last") < F.col("upto"))
+        flat = ranks.filter(good & (F.col("lo") == F.col("hi"))).select(*keys, "c", F.col("lo").alias("m"))
+        values = joined.select(*keys, F.explode(F.filter(F.array(*[
+            F.when((F.col(f"__lo_{i}") < F.col(f"__hi_{i}")) & F.col(f"__x_{i}").between(F.col(f"__lo_{i}"), F.col(f"__hi_{i}")),
+                   F.struct(F.lit(i).alias("c"), F.col(f"__x_{i}").alias("v"))) for i in at]), lambda s: s.isNotNull())).alias("s"))
+        values = values.select(*keys, "s.*").groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("w"))
+        ordered = running(values, [*keys, "c"], ["v"], {"before": ("sum", F.col("w"))})
+        middle = lookup(ordered, ranks.filter(good), [*keys, "c"], null_safe=True)
+        start = F.col("below") + F.col("before")
+        hits = middle.filter((start <= F.col("last")) & (F.col("first") < start + F.col("w")))
+        varied = hits.groupBy(*keys, "c").agg(((F.min("v") + F.max("v")) / 2).alias("m"))
+        new = stage(flat.unionByName(varied), "medians")
+        found = new if found is None else found.unionByName(new)
+        missed = ranks.filter(~good)
+        if missed.isEmpty():
+            break
+        opened = missed.groupBy(*keys).agg(F.sum("n").alias("__n"), *[F.max(F.when(F.col("c") == i, F.lit(float(side)))).alias(f"__{name}_{i}")
+                                           for i in at for side, name in (("-inf", "lo"), ("nan", "hi"))])
+        brackets = stage(opened, "brackets")
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == i, F.col("m"))).alias(c) for i, c in enumerate(cols)])
+    return wide
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                 approx: bool = False, accuracy: int = 10000, maps: dict | None = None,
                 weight: str | None = None) -> DataFrame:

@@ -14,10 +14,11 @@ from .skew import lookup
 
 
 class DailyCountStore:
-    """Parquet table of (keys, day, count) under ``version=/day=`` folders.
+    """Parquet table of (keys, day, count) under ``version=/day=`` folders, and merged days under ``merged/version=/day=``.
 
     A version holds the counts of one batch and replaces earlier counts of the same keys and day. Writing a version
-    again overwrites only itself, so a repeated batch leaves the same state.
+    again overwrites only itself, so a repeated batch leaves the same state. Reads list the committed versions first and
+    open only those, so a half-written one is never seen, and finding the newest version reads no data.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str] = S.KEYS):
@@ -27,25 +28,56 @@ class DailyCountStore:
             + [T.StructField("count", T.LongType()), T.StructField("version", T.LongType()),
                T.StructField("day", T.DateType())])
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _folder(self, name: str = ""):
+        """The folder and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+    def _names(self, name: str = "") -> list[str]:
+        path, files = self._folder(name)
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+    def _committed(self, name: str = "") -> list[int]:
+        found = [int(n[8:]) for n in self._names(name) if n.startswith("version=") and n[8:].isdigit()]
+        prefix = f"{name}/" if name else ""
+        return sorted(v for v in found if "_SUCCESS" in self._names(f"{prefix}version={v}"))
 
     def latest_version(self) -> int:
-        row = self._versions().agg(F.max("version").alias("v")).first()
-        return -1 if row.v is None else row.v
+        return max([*self._committed(), *self._committed("merged")], default=-1)
+
+    def claim_version(self, source: str, batch: int) -> int:
+        """The version of a source's batch: the one it was given before, else the next.
+
+        An empty file keeps the claim, so a batch that runs again finds its version and a restarted source, whose
+        batches count from 0 again under another name, goes on after all versions there are.
+        """
+        claims = [n.split("-") for n in self._names("_claims") if n.count("-") == 2]
+        name = source.replace("-", "_")
+        for owner, number, version in claims:
+            if owner == name and int(number) == batch:
+                return int(version)
+        version = max([self.latest_version(), *(int(c[2]) for c in claims)], default=-1) + 1
+        path, files = self._folder(f"_claims/{name}-{batch}-{version}")
+        files.create(path, False).close()
+        return version
+
+    def _versions(self, before: int | None = None) -> DataFrame:
+        """Rows of the merged days and of the versions after them."""
+        limit = float("inf") if before is None else before
+        merged = [v for v in self._committed("merged") if v < limit]
+        after = max(merged, default=-1)
+        rows = None
+        for name, found in (("merged", merged), ("", [v for v in self._committed() if after < v < limit])):
+            if found:
+                root = f"{self.path}/{name}" if name else self.path
+                read = self.spark.read.schema(self.schema).option("basePath", root)
+                part = read.parquet(*[f"{root}/version={v}" for v in found]).select(*self.schema.names)
+                rows = part if rows is None else rows.unionByName(part)
+        return self.spark.createDataFrame([], self.schema) if rows is None else rows
 
     def counts(self, before: int | None = None, start=None, end=None) -> DataFrame:
         """Newest count per keys and day; the day range prunes the folders that are read."""
-        rows = self._versions()
-        if before is not None:
-            rows = rows.filter(F.col("version") < before)
+        rows = self._versions(before)
         if start is not None:
             rows = rows.filter(F.col("day") >= F.lit(start).cast("date"))
         if end is not None:
@@ -75,6 +107,25 @@ class DailyCountStore:
             return self.counts().limit(0)
         return lookup(self.counts(before, span.a, span.b), df.select(*self.keys).distinct(), self.keys, how="left_semi")
 
+    def merge(self) -> int:
+        """Merge the versions since the last merge into the days they touch; other days stay as they are."""
+        version, after = self.latest_version(), max(self._committed("merged"), default=-1)
+        if version > after:
+            days = self._versions().filter(F.col("version") > after).select("day").distinct()  # at most the calendar
+            touched = self._versions().join(F.broadcast(days), "day", "left_semi")
+            counts = touched.groupBy(*self.keys, "day").agg(F.max_by("count", "version").alias("count"))
+            counts.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
+                f"{self.path}/merged/version={version}")
+        return version
+
+    def vacuum(self) -> None:
+        """Delete the versions that are merged. Readers that listed them before must have finished."""
+        after = max(self._committed("merged"), default=-1)
+        for v in self._committed():
+            if v <= after:
+                path, files = self._folder(f"version={v}")
+                files.delete(path, True)
+
     def compact(self, path: str) -> "DailyCountStore":
         """Merge all versions into a new store."""
         merged = self.counts()

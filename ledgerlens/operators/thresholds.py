@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stage
 from .baselines import lookup_with_global
-from .skew import ordered_values, percentiles, with_scalars
+from .skew import lookup, ordered_values, percentiles, with_scalars
+from .sliding import window_medians
 
 
 def fit_threshold(df: DataFrame, err: str, p: float = 0.99, keys: list[str] | None = None, min_rows: int = 20,
@@ -123,48 +123,45 @@ def elbow_threshold(df: DataFrame, score: str, method: str = "slope", slope_frac
     return with_scalars(flagged, cut).select(F.col("__g.threshold").alias("threshold"), "n_flagged", "n")
 
 
-BLOCKS = 64
+BLOCK = 65_536  # positions that one row of a run is laid out to
 
 
-def _rolling_elbow(ranked: DataFrame, scores: DataFrame, window_frac: float, max_fraction: float,
-                   margin: float) -> DataFrame:
-    """Gaps are laid in blocks by rank; each block also receives the window before it and takes its own medians.
+def _sorted_gaps(ranked: DataFrame) -> DataFrame:
+    """(i, v, at): the gap after the i-th sorted score, and that score.
 
-    The window is a share of all rows, so a block with its window is about ``1 / BLOCKS + window_frac`` of them.
+    A value with n copies ends one real gap and n - 1 gaps of zero. Runs of copies are cut into blocks of positions, and
+    the blocks are dealt out before they are laid out.
     """
+    runs = ranked.select(
+        (F.col("below") - 1).alias("a"), (F.col("below") + F.col("n") - 2).alias("b"),
+        F.coalesce(F.col("score") - F.col("prev"), F.lit(0.0)).alias("gap"), F.coalesce("prev", "score").alias("before"),
+        "score").filter("b >= 0")
+    block = F.explode(F.sequence(F.floor(F.greatest("a", F.lit(0)) / BLOCK), F.floor(F.col("b") / BLOCK)))
+    n = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = runs.withColumn("block", block).repartition(n, "block", "a")
+    first = F.greatest(F.col("a"), F.col("block") * BLOCK, F.lit(0))
+    last = F.least(F.col("b"), (F.col("block") + 1) * BLOCK - 1)
+    rows = cut.withColumn("i", F.explode(F.sequence(first, last)))
+    return rows.select("i", F.when(F.col("i") == F.col("a"), F.col("gap")).otherwise(0.0).alias("v"),
+                       F.when(F.col("i") == F.col("a"), F.col("before")).otherwise(F.col("score")).alias("at"))
+
+
+def _rolling_elbow(ranked: DataFrame, scores: DataFrame, window_frac: float, max_fraction: float,
+                   margin: float) -> DataFrame:
+    """The score before the first gap that is large against the median of the gaps in the window before it."""
+    ranked = stage(ranked, "ranked")
     n = ranked.agg(F.max("total").alias("n"), F.max("score").alias("top")).first()
     gaps = (n.n or 0) - 1
     if gaps < 1:
         return scores.agg(F.max("score").alias("threshold"))
     window = max(1, int(gaps * window_frac))
-    size = max(1, -(-gaps // BLOCKS))
-    # A value with n copies ends one real gap and n - 1 gaps of zero; runs are cut at block borders before expanding.
-    runs = ranked.select(
-        (F.col("below") - 1).alias("a"), (F.col("below") + F.col("n") - 2).alias("b"),
-        F.coalesce(F.col("score") - F.col("prev"), F.lit(0.0)).alias("gap"), F.coalesce("prev", "score").alias("before"),
-        "score")
-    cut = runs.withColumn("blk", F.explode(F.sequence(
-        F.floor(F.greatest(F.col("a"), F.lit(0)) / size), F.floor(F.greatest(F.col("b"), F.lit(0)) / size))))
-    first = F.greatest(F.col("a"), F.col("blk") * size, F.lit(0))
-    last = F.least(F.col("b"), (F.col("blk") + 1) * size - 1)
-    rows = cut.filter(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
-    rows = rows.select("i", F.when(F.col("i") == F.col("a"), F.col("gap")).otherwise(0.0).alias("gap"),
-                       F.when(F.col("i") == F.col("a"), F.col("before")).otherwise(F.col("score")).alias("at"))
-    own = F.floor(F.col("i") / size)
-    reach = F.floor((F.col("i") + window) / size)
-    laid = rows.withColumn("block", F.explode(F.sequence(own, F.least(reach, F.lit((gaps - 1) // size)))))
-
-    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        median = pdf["gap"].rolling(window, min_periods=1).median().shift(1) + 1e-12
-        pdf = pdf.assign(ratio=pdf["gap"] / median)
-        mine = (pdf["i"] // size == pdf["block"]) & (pdf["i"] >= window)
-        return pdf.loc[mine, ["i", "at", "ratio"]]
-
-    scored = stage(laid.groupBy("block").applyInPandas(ratios, "i long, at double, ratio double"), "ratios")
+    laid = stage(_sorted_gaps(ranked), "gaps")
+    medians = window_medians(laid.select("i", "v"), window)
+    met = lookup(medians, laid, ["i"])
+    scored = stage(met.select("i", "at", (F.col("v") / (F.col("median") + 1e-12)).alias("ratio")), "ratios")
     counted = ordered_values(scored, [], "ratio")
-    limit = counted.filter((F.col("below") <= F.ceil((1 - max_fraction) * F.col("total")) - 1)
-                           & (F.ceil((1 - max_fraction) * F.col("total")) - 1 < F.col("below") + F.col("n")))
+    rank = F.ceil((1 - max_fraction) * F.col("total")) - 1
+    limit = counted.filter((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")))
     limit = limit.select((F.col("ratio") * (1 + margin)).alias("t"))
     hit = with_scalars(scored, limit).filter(F.col("ratio") >= F.col("__g.t"))
     return hit.agg(F.coalesce(F.min_by("at", "i"), F.lit(n.top)).alias("threshold"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -13,7 +15,8 @@ from ..operators import evaluation as V
 from ..operators import scoring as H
 from ..operators import splits as P
 from ..operators.features import row_features
-from ..storage import stage
+from ..storage import shared_folder, stage
+from .day_report import DayReport, read_review
 from .features_queries import MORE, cleaned, event_rows
 from .fixtures import sql
 from .registry import present, query
@@ -56,10 +59,10 @@ def event_days(spark, sf_dir):
 
 
 def split_days(spark, sf_dir):
-    """Account days before 2001 without three accounts, and the account days from 2001 on."""
+    """Account days before 2001 of all but three accounts, and all others."""
     days = stage(bank_days(spark, sf_dir), "days")
-    train = days.filter((F.col("txn_date") < FIRST_TEST_DAY) & ~F.col(S.ACCOUNT).isin("ACC0000", "ACC0001", "ACC0002"))
-    return train, days.filter(F.col("txn_date") >= FIRST_TEST_DAY)
+    known = (F.col("txn_date") < FIRST_TEST_DAY) & ~F.col(S.ACCOUNT).isin("ACC0000", "ACC0001", "ACC0002")
+    return days.filter(known), days.filter(~known)
 
 
 ROUNDED = ", ".join(f"round({c},{4 if 'amount' in c else 6}) as {c}" for c in S.DAY_FEATURES)
@@ -117,6 +120,7 @@ QUANTITIES = {
 }
 NAMES = list(QUANTITIES)
 TRAIN_DAYS = "txn_date < date '2001-01-01' and BankAccountCode not in ('ACC0000','ACC0001','ACC0002')"
+TEST_DAYS = f"not ({TRAIN_DAYS})"
 
 
 def _z_sql(name: str) -> str:
@@ -133,7 +137,7 @@ ad2 as (select BankAccountCode, {', '.join(f'median(abs(q_{n}-m_{n})) as s_{n}'
 gm as (select {', '.join(f'median(q_{n}) as m_{n}' for n in NAMES)} from tr),
 gd as (select {', '.join(f'median(abs(q_{n}-m_{n})) as s_{n}' for n in NAMES)} from tr, gm),
 zs as (select q.row_id, am.n, coalesce(am.wk,1.0) as wk, {', '.join(f'{_z_sql(n)} as z_{n}' for n in NAMES)}
-  from q left join am using (BankAccountCode) left join ad2 using (BankAccountCode), gm, gd where txn_date >= date '2001-01-01'),
+  from q left join am using (BankAccountCode) left join ad2 using (BankAccountCode), gm, gd where {TEST_DAYS}),
 best as (select row_id, n, list_sort(list_filter([{', '.join(
     f"case when z_{f}>=3.0{' and wk<0.05' if t == 'weekend_activity' else ''} then {{'z': z_{f}, 'i': {-i}, 't': '{t}', 'f': '{f}'}} end"
     for i, (t, f) in enumerate(A.TYPE_RULES))}], lambda x: x is not null), 'DESC')[1] as b from zs),
@@ -152,10 +156,10 @@ def attribute_type(spark, sf_dir):
 
 FLAG_SQL = f"""{ATTR_SQL},
 sc as (select row_id, unnest([{{'model':'size','score':q_amount_sum}},{{'model':'count','score':txn_count}}], recursive := true) as x,
-  txn_date from q),
+  txn_date, BankAccountCode from q),
 thr as (select model, quantile_cont(score,0.9) as t from sc where row_id in (select row_id from tr) group by all),
 fl as (select sc.model, sc.row_id, score, l.* exclude (row_id) from sc join thr using (model) join lab l using (row_id)
-  where txn_date >= date '2001-01-01' and score>t)"""
+  where {TEST_DAYS} and score>t)"""
 
 
 def flags(spark, sf_dir):
@@ -221,7 +225,7 @@ CTX = ["amount_sum", "txn_count", "weekend_txn_count"]
 
 @query("context_score", sql(f"""with
 h as (select *, row_number() over (partition by BankAccountCode order by txn_date desc, CurrencyCode) as rn from ad where {TRAIN_DAYS}),
-t as (select * from ad where txn_date >= date '2001-01-01' and day(txn_date)<=10),
+t as (select * from ad where {TEST_DAYS}),
 st as (select d.txn_date, count(*) as c, {', '.join(f'avg(h.{c}) as m_{c}, stddev_samp(h.{c}) as s_{c}' for c in CTX)}
   from (select distinct txn_date, BankAccountCode from t) d join h using (BankAccountCode) group by d.txn_date)
 select row_id, cast(c as bigint) as context_rows, round({' + '.join(
@@ -231,7 +235,7 @@ from t left join st on t.txn_date=st.txn_date and st.c>=50""", "ad", extra={
                      "from (select distinct txn_date, BankAccountCode from t) d join h on d.BankAccountCode=h.BankAccountCode"))
 def context_score(spark, sf_dir):
     train, test = split_days(spark, sf_dir)
-    out = A.context_score(test.filter(F.dayofmonth("txn_date") <= 10), train, CTX)
+    out = A.context_score(test, train, CTX)
     return present(out, "row_id", "context_rows", "context_score", context_score=4)
 
 
@@ -262,6 +266,64 @@ def ecod(spark, sf_dir):
     return present(out, "row_id", "score")
 
 
+LATE_DAY = "2024-01-20"
+
+
+def _tail_split_sql(score: str) -> str:
+    return sql(f"""with l as (select row_id, txn_date >= date '{LATE_DAY}' as late, unnest([{', '.join(f"{{'f':'{c}','v':{c}}}" for c in TAIL)}], recursive := true) from ed),
+k as (select f, sum(pow(v-m,3)) as s from (select *, avg(v) over (partition by f) as m from l) group by f),
+p as (select row_id, late, f, -ln(count(*) over (partition by f order by v range between unbounded preceding and current row)*1.0/count(*) over (partition by f)) as a,
+  -ln(count(*) over (partition by f order by v desc range between unbounded preceding and current row)*1.0/count(*) over (partition by f)) as b from l),
+q as (select *, case when s<0 then a else b end as c from p join k using (f) where late)
+select row_id, round({score},6) as score from q group by row_id""", "ed", extra=DAYS)
+
+
+def tail_split(spark, sf_dir, kind):
+    days = stage(event_days(spark, sf_dir), "days")
+    model = M.TailDetector(TAIL, "row_id", kind).fit(days.filter(F.col("txn_date") < LATE_DAY))
+    return present(model.score(days.filter(F.col("txn_date") >= LATE_DAY)), "row_id", "score")
+
+
+@query("ecod_new_days", _tail_split_sql("greatest(sum(a),sum(b),sum(c))"))
+def ecod_new_days(spark, sf_dir):
+    return tail_split(spark, sf_dir, "ecod")
+
+
+@query("copod_new_days", _tail_split_sql("sum(greatest(c,(a+b)/2))"))
+def copod_new_days(spark, sf_dir):
+    return tail_split(spark, sf_dir, "copod")
+
+
+def _tails_sql(name: str, rows: str, wanted: str) -> str:
+    """Both tail scores of the rows of interest among the given rows."""
+    return f"""{name}_l as (select row_id, {wanted} as mine, unnest([{', '.join(f"{{'f':'{c}','v':{c}}}" for c in TAIL)}], recursive := true) from {rows}),
+{name}_k as (select f, sum(pow(v-m,3)) as s from (select *, avg(v) over (partition by f) as m from {name}_l) group by f),
+{name}_p as (select row_id, mine, f, -ln(count(*) over (partition by f order by v range between unbounded preceding and current row)*1.0/count(*) over (partition by f)) as a,
+  -ln(count(*) over (partition by f order by v desc range between unbounded preceding and current row)*1.0/count(*) over (partition by f)) as b from {name}_l),
+{name}_q as (select *, case when s<0 then a else b end as c from {name}_p join {name}_k using (f) where mine),
+{name} as (select row_id, greatest(sum(a),sum(b),sum(c)) as ecod, sum(greatest(c,(a+b)/2)) as copod from {name}_q group by row_id)"""
+
+
+@query("day_report", sql(f"""with {ATTR_SQL},
+{_tails_sql('s0', 'tr', 'true')},
+{_tails_sql('s1', 'q', TEST_DAYS)},
+th as (select quantile_cont(ecod,0.975) as te, quantile_cont(copod,0.975) as tc from s0),
+fl as (select 'ecod' as model, row_id, ecod as score from s1, th where ecod>te union all select 'copod', row_id, copod from s1, th where copod>tc)
+select row_id, cast(count(*) as bigint) as n_models_flagged, any_value(anomaly_type) as anomaly_type, coalesce(any_value(top_feature),'') as top_feature,
+  round(max(z)+1e-7,2) as max_top_z, min(baseline_scope) as baseline_scope, round(max(score) filter (where model='ecod'),5) as score_ecod,
+  round(max(score) filter (where model='copod'),5) as score_copod, cast(any_value(txn_count) as bigint) as txn_count
+from fl join lab using (row_id) join ad using (row_id) group by row_id""", "ad", extra=DAYS))
+def day_report(spark, sf_dir):
+    """The analyst's file of the new days: two detectors, types against the accounts' history, consensus."""
+    train, test = split_days(spark, sf_dir)
+    detectors = [M.TailDetector(TAIL, "row_id", kind) for kind in ("ecod", "copod")]
+    paths = DayReport(detectors).fit(train).write(test, f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}")
+    out = read_review(spark, paths["analyst_review"]).withColumn("top_feature", F.coalesce("top_feature", F.lit("")))
+    out = out.withColumn("txn_count", F.col("txn_count").cast("long"))
+    return present(out, "row_id", "n_models_flagged", "anomaly_type", "top_feature", "max_top_z", "baseline_scope", "score_ecod", "score_copod",
+                   "txn_count", max_top_z=2, score_ecod=5, score_copod=5)
+
+
 def prepared(df):
     return D.heavy_tail_prep(df)
 
@@ -287,7 +349,7 @@ def _u(k: int) -> str:
 TYPE_ARRAY = "[" + ", ".join(f"'{t}'" for t in V.TYPES) + "]"
 INJECT_SQL = f"""
 r as (select *, row_number() over (order by md5(row_id||':0:pick')) as rk, count(*) over () as total, {_u(1)} as u, {_u(2)}<0.5 as heads,
-  ({TYPE_ARRAY})[cast(floor({_u(0)}*8) as int)+1] as kind from ad where txn_date >= date '2001-01-01'),
+  ({TYPE_ARRAY})[cast(floor({_u(0)}*8) as int)+1] as kind from ad),
 inj as (select *, rk<=greatest(1,floor(total*0.1)) as hit,
    case when rk<=greatest(1,floor(total*0.1)) then kind else 'none' end as anomaly_type from r)"""
 
@@ -303,7 +365,7 @@ select row_id, cast(hit as bigint) as is_anomaly, anomaly_type,
   case when anomaly_type='weekend_activity' then txn_count else weekend_txn_count end as weekend_txn_count
 from inj""", "ad", extra=DAYS))
 def inject(spark, sf_dir):
-    _, test = split_days(spark, sf_dir)
+    test = stage(bank_days(spark, sf_dir), "days")
     out = V.inject_anomalies(test, "row_id", 0.1)
     return present(out, "row_id", "is_anomaly", "anomaly_type", "txn_count", "amount_max", "amount_sum", "weekend_txn_count",
                    amount_max=4, amount_sum=3)
@@ -319,7 +381,7 @@ select round(sum(p*((nn-k)-(pp-tp)+(n-p)/2.0))/(any_value(pp)*(any_value(nn)-any
   round(sum(p*1.0/pp*tp/k),6) as pr_auc,
   round((select avg(y) from (select y from sd order by s1 desc, row_id limit 50)),6) as p_at_k from c""", "ad", extra=DAYS))
 def ranking_metrics(spark, sf_dir):
-    _, test = split_days(spark, sf_dir)
+    test = stage(bank_days(spark, sf_dir), "days")
     labels = V.inject_anomalies(test, "row_id", 0.1).select("row_id", "is_anomaly")
     rows = test.join(labels, "row_id").withColumn("s1", F.col("txn_count") + F.col("weekend_txn_count"))
     return present(V.ranking_metrics(rows, "s1", "is_anomaly", 50, ("row_id",)))
@@ -330,7 +392,7 @@ f as (select *, row_number() over (order by s1 desc, row_id)<=floor(0.03*count(*
   row_number() over (order by s2 desc, row_id)<=floor(0.03*count(*) over ()) as f2 from sd)
 select anomaly_type, round(avg(cast(f1 as int)),6) as s1, round(avg(cast(f2 as int)),6) as s2 from f where y=1 group by all""", "ad", extra=DAYS))
 def recall_budget(spark, sf_dir):
-    _, test = split_days(spark, sf_dir)
+    test = stage(bank_days(spark, sf_dir), "days")
     labels = V.inject_anomalies(test, "row_id", 0.1).select("row_id", "is_anomaly", "anomaly_type")
     rows = test.join(labels, "row_id").select(
         "row_id", "is_anomaly", "anomaly_type", (F.col("txn_count") + F.col("weekend_txn_count")).alias("s1"),
@@ -338,14 +400,54 @@ def recall_budget(spark, sf_dir):
     return present(V.recall_per_type(rows, ["s1", "s2"], 0.03, ("row_id",)))
 
 
+def benchmark_parts(spark, sf_dir):
+    return tuple(stage(d, "part") for d in P.split_quantile(bank_days(spark, sf_dir)))
+
+
+SEEDS = (0, 1, 2, 3, 4)
+
+
 @query("detector_benchmark")
 def detector_benchmark(spark, sf_dir):
-    train, test = (stage(d, "part") for d in P.split_quantile(bank_days(spark, sf_dir)))
+    train, test = benchmark_parts(spark, sf_dir)
     features = C.drop_zero_variance(prepared(train), S.DAY_FEATURES)
-    results = V.evaluate_detectors(
-        train, test, lambda seed: [M.PcaDetector(features, 3), M.ForestDetector(features, "row_id", seed=seed)],
-        "row_id", prepared)
-    return V.summarize_seeds(results)
+    detectors = [M.PcaDetector(features, 3), M.ForestDetector(features, "row_id", seeds=SEEDS)]
+    return V.summarize_seeds(V.evaluate_detectors(train, test, detectors, "row_id", prepared, SEEDS))
+
+
+# The draws of a seed repeat its hashes; what a detector adds is measured above.
+@query("benchmark_rows", sql(f"""with cut as (select quantile_cont(epoch(txn_date)/86400, 0.8) as c from ad),
+t as (select row_id from ad, cut where epoch(txn_date)/86400 > c),
+s as (select row_id, seed, md5(row_id||':'||seed||':pick') as h from t, range(5) x(seed)),
+k as (select *, row_number() over (partition by seed order by h) as r, count(*) over (partition by seed) as n from s),
+m as (select seed, (['volume_spike','large_amount','one_sided_flow','bu_concentration','bu_diversity','code_diversity','weekend_activity',
+  'net_flow_extreme'])[1+cast(floor(('0x'||substr(md5(row_id||':'||seed||':0'),1,8))::bigint/4294967296.0*8) as int)] as anomaly_type
+  from k where r <= greatest(1, floor(n*0.02::double)))
+select cast(seed as bigint) as seed, anomaly_type, cast(count(*) as bigint) as n from m group by all""", "ad", extra=DAYS))
+def benchmark_rows(spark, sf_dir):
+    """Corrupted rows of each seed and type in the table that the benchmark scores."""
+    _, test = benchmark_parts(spark, sf_dir)
+    rows = V.inject_seeds(test, "row_id", 0.02, SEEDS).filter("is_anomaly = 1")
+    return present(rows.groupBy("seed", "anomaly_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+# A known score (the size of the day) on the same corrupted table: the grouped measures against SQL.
+@query("seed_metrics", sql(f"""with s as (select row_id, seed, amount_sum as score, md5(row_id||':'||seed||':pick') as h from ed, range(5) x(seed)),
+k as (select *, row_number() over (partition by seed order by h) as r, count(*) over (partition by seed) as n from s),
+l as (select seed, row_id, score, cast(r <= greatest(1, floor(n*0.2::double)) as int) as y from k),
+a as (select p.seed, avg(case when p.score > q.score then 1.0 when p.score = q.score then 0.5 else 0 end) as roc
+  from l p join l q on p.seed = q.seed and p.y = 1 and q.y = 0 group by 1),
+pr as (select seed, y, sum(y) over w * 1.0 / count(*) over w as prec, sum(y) over (partition by seed) as t from l
+  window w as (partition by seed order by score desc range between unbounded preceding and current row)),
+ap as (select seed, sum(y * prec / t) as ap from pr group by 1),
+t as (select seed, avg(y) as p from (select *, row_number() over (partition by seed order by score desc, row_id) as i from l) where i <= 50 group by 1)
+select cast(seed as bigint) as seed, round(roc,6) as roc_auc, round(ap,6) as pr_auc, round(p,6) as p_at_k
+from a join ap using (seed) join t using (seed)""", "ed", extra=DAYS))
+def seed_metrics(spark, sf_dir):
+    days = stage(event_days(spark, sf_dir), "days")
+    labels = V.inject_seeds(days, "row_id", 0.2, SEEDS).select("seed", "row_id", "is_anomaly")
+    rows = labels.join(days.select("row_id", F.col("amount_sum").alias("score")), "row_id")
+    return present(V.ranking_metrics(rows, "score", "is_anomaly", 50, ("row_id",), ["seed"]))
 
 
 @query("context_ablation")

@@ -12,7 +12,9 @@ from ..operators import drift as J
 from ..operators import fx as X
 from ..operators import query_audit as K
 from ..operators import splits as P
+from ..operators.skew import spread_lookup
 from ..storage import stage
+from .deal_model import DealModel
 from .features_queries import KEY_SQL, event_rows
 from .fixtures import entity_property, fx_deal, query_log, sql
 from .registry import present, query
@@ -22,16 +24,21 @@ DEAL_SQL = f"""
 deals as (select *, {FACE_SQL} as FaceValue, cast(date_diff('day',DealDate,MaturityDate) as double) as TDays,
   cast(isodow(DealDate)>=6 as bigint) as wkend from fx_deal where BuyAmount<>0 and SellAmount<>0),
 hist as (select * from fx_deal where DealDate < date '2000-01-01' and Cpty<>'CP7' and BUnit<>'B4'),
-recent as (select * from fx_deal where DealDate >= date '2000-01-01')"""
+recent as (select * from fx_deal where not (DealDate < date '2000-01-01' and Cpty<>'CP7' and BUnit<>'B4'))"""
 HISTORY_END = "2000-01-01"
 
 
+def is_history():
+    """Older deals of all but one counterparty and one unit, which are new therefore."""
+    return (F.col("DealDate") < HISTORY_END) & (F.col("Cpty") != "CP7") & (F.col("BUnit") != "B4")
+
+
 def history(deals):
-    return deals.filter((F.col("DealDate") < HISTORY_END) & (F.col("Cpty") != "CP7") & (F.col("BUnit") != "B4"))
+    return deals.filter(is_history())
 
 
 def recent(deals):
-    return deals.filter(F.col("DealDate") >= HISTORY_END)
+    return deals.filter(~is_history())
 
 
 @query("fx_features", sql(f"""with {DEAL_SQL}
@@ -73,7 +80,8 @@ def clip_counts(spark, sf_dir):
 @query("range_flags", sql(f"""with {CLIP_SQL.replace('from deals group by all', "from deals where DealDate < date '2000-01-01' group by all")}
 select UniqueId, cast(not coalesce(FaceValue between fb.lo and fb.hi,false) as bigint) as FaceValue,
   cast(not coalesce(TDays between tb.lo and tb.hi,false) as bigint) as TDays
-from deals left join fb using (BUnit, Cpty, PrimaryCurr) left join tb using (FX_Instrument_Type) where DealDate >= date '2000-01-01'""", "fx_deal"))
+from deals left join fb using (BUnit, Cpty, PrimaryCurr) left join tb using (FX_Instrument_Type)
+where not (DealDate < date '2000-01-01' and Cpty<>'CP7' and BUnit<>'B4')""", "fx_deal"))
 def range_flags(spark, sf_dir):
     deals = stage(X.training_deals(fx_deal(spark, sf_dir)), "deals")
     bounds = X.fit_deal_bounds(deals.filter(F.col("DealDate") < HISTORY_END))
@@ -118,6 +126,50 @@ def fx_deviations(spark, sf_dir):
     return present(X.flag_deviations(d, ["SpotRate_d", "TDays_d", "Face_d", "BUnit_d"]), "UniqueId", "is_anomaly")
 
 
+FX_CATEGORIES = ["FX_Instrument_Type", "BUnit", "Cpty", "PrimaryCurr", "BuyCurr", "SellCurr"]
+
+
+def _fx_median(c):
+    return f"median(n_{c}) as p_{c}"
+
+
+FX_PLAIN = ["BuyAmount", "SellAmount", "SpotRate"]
+FX_NUMBERS = ["FaceValue", "TDays", *FX_PLAIN]
+FX_SCORE_SQL = f"""{DEAL_SQL},
+ho as (select d.* from deals d where DealDate < date '2000-01-01' and Cpty<>'CP7' and BUnit<>'B4'),
+{_bounds_sql('fb', 'BUnit, Cpty, PrimaryCurr', 'FaceValue').replace('from deals', 'from ho')},
+{_bounds_sql('tb', 'FX_Instrument_Type', 'TDays').replace('from deals', 'from ho')},
+rg as (select {', '.join(f'min({c}) as a_{c}, max({c}) as b_{c}' for c in FX_PLAIN)} from ho),
+sc as (select d.*, coalesce(case when fb.hi>fb.lo then (greatest(fb.lo,least(fb.hi,FaceValue))-fb.lo)/(fb.hi-fb.lo) else 0 end,0) as n_FaceValue,
+  coalesce(case when tb.hi>tb.lo then (greatest(tb.lo,least(tb.hi,TDays))-tb.lo)/(tb.hi-tb.lo) else 0 end,0) as n_TDays,
+  {', '.join(f'coalesce(({c}-a_{c})/(case when b_{c}=a_{c} then 1 else b_{c}-a_{c} end),0) as n_{c}' for c in FX_PLAIN)},
+  not (DealDate < date '2000-01-01' and Cpty<>'CP7' and BUnit<>'B4') as new
+  from deals d left join fb using (BUnit, Cpty, PrimaryCurr) left join tb using (FX_Instrument_Type), rg),
+md as (select Cpty, {', '.join(map(_fx_median, FX_NUMBERS))} from sc where not new group by Cpty),
+ct as (select UniqueId, Cpty as k, new, unnest([{', '.join(f"{{'f':'{c}','v':{c}}}" for c in FX_CATEGORIES)}], recursive := true) from sc),
+sh as (select k, f, v, count(*)*1.0/sum(count(*)) over (partition by k, f) as p from ct where not new group by k, f, v),
+kn as (select distinct f, v from ct where not new),
+dv as (select UniqueId, unnest([{', '.join(f"{{'f':'{c}','d':n_{c}-coalesce(p_{c},0)}}" for c in FX_NUMBERS)}], recursive := true)
+    from sc left join md using (Cpty) where new
+  union all select ct.UniqueId, ct.f, 1-coalesce(p,0) from ct join kn using (f, v) left join sh on sh.k=ct.k and sh.f=ct.f and sh.v=ct.v where new),
+rm as (select UniqueId, sqrt(avg(d*d)) as rmse, list(f order by -d, f) filter (where d>0.95 and f not in ('BUnit','Cpty')) as lo,
+  list(f order by -d, f) filter (where d>0.995 and f not in ('BUnit','Cpty')) as hi from dv group by UniqueId)"""
+
+
+@query("fx_score", sql(f"""with {FX_SCORE_SQL},
+u as (select *, BUnit not in (select BUnit from ho) as b, Cpty not in (select Cpty from ho) as c, PrimaryCurr not in (select PrimaryCurr from ho) as p,
+  (Cpty, BuyCurr) not in (select (Cpty, BuyCurr) from ho) as nb, (Cpty, SellCurr) not in (select (Cpty, SellCurr) from ho) as ns from sc where new),
+j as (select UniqueId, Cpty, rmse, b or c or p or nb or ns as unseen, coalesce(case when len(hi)>0 then hi when len(lo)>2 then lo end, []) as deviated from u join rm using (UniqueId))
+select UniqueId, case when unseen or len(deviated)>0 then 'Yes' else 'No' end as Anomaly, round(rmse,6) as rmse, array_to_string(deviated, ', ') as deviated,
+  not unseen and len(deviated)>0 as by_deviation from j""", "fx_deal"))
+def fx_score(spark, sf_dir):
+    """Deals that are new to history, judged by entity and currency rules and by their deviation from a fitted model."""
+    deals = stage(X.training_deals(fx_deal(spark, sf_dir)), "deals")
+    out = DealModel().fit(history(deals)).score(recent(deals))
+    return present(out.select("UniqueId", "Anomaly", "rmse", F.array_join("deviated", ", ").alias("deviated"),
+                              F.col("Reason").startswith("This FX deal deviates").alias("by_deviation")))
+
+
 @query("validate_requests", sql("""select UniqueId, cast(case when k%7=0 then 400 when Client<>'C0' then 500 when k%11=0 then 500 else 200 end as bigint) as status_code
 from (select *, cast(UniqueId as bigint) as k from fx_deal)""", "fx_deal"))
 def validate_requests(spark, sf_dir):
@@ -211,6 +263,27 @@ def pooled_sigma(spark, sf_dir):
     return present(out.withColumn("n_required", J.required_n(F.col("sigma"), 0.25)))
 
 
+@query("learning_curve", sql(f"""with {DEAL_SQL},
+x as (select BUnit, Cpty, UniqueId as id, ln(1+abs(SellAmount)) as x from recent r
+  where not exists (select 1 from hist h where h.BUnit=r.BUnit and h.Cpty=r.Cpty)),
+g as (select avg(ln(1+abs(SellAmount))) as m from hist),
+rk as (select *, row_number() over (partition by BUnit, Cpty order by md5(id||':42:probe')) as pos, count(*) over (partition by BUnit, Cpty) as n from x),
+pr as (select BUnit, Cpty, count(*) as c, sum(x) as s, sum(x*x) as q from rk where n>=18 and pos<=8 group by all),
+po as (select BUnit, Cpty, x, b, md5(id||':42:'||b) as h from rk, range(5) t(b) where n>=18 and pos>8),
+o as (select BUnit, Cpty, b, row_number() over w as k, sum(x) over (w rows unbounded preceding) as t from po window w as (partition by BUnit, Cpty, b order by h)),
+e as (select BUnit, Cpty, k, (q - 2*p*s + c*p*p)/c as e from (select o.*, c, s, q, (30*m+t)/(30+k) as p from o join pr using (BUnit, Cpty), g where k%10=0)),
+cv as (select BUnit, Cpty, k, avg(e) as mean, coalesce(stddev_samp(e),0) as sd from e group by all),
+st as (select *, lag(mean) over (partition by BUnit, Cpty order by k) as prev from cv)
+select BUnit, Cpty, cast(coalesce(min(k) filter (where (prev-mean)/greatest(prev,1e-12)<0.05 and sd/greatest(mean,1e-12)<0.2), max(k)) as bigint) as empirical_n
+from st group by all""", "fx_deal"))
+def learning_curve(spark, sf_dir):
+    deals = stage(fx_deal(spark, sf_dir).withColumn("log_sell", F.log1p(F.abs("SellAmount"))), "deals")
+    cfg = J.RecommendConfig(floor=10, features=["log_sell"])
+    pair = [cfg.bu, cfg.cp]
+    cells = spread_lookup(recent(deals), B.new_pairs(recent(deals), history(deals), pair).withColumn("new", F.lit(1)), pair).filter("new = 1")
+    return J.empirical_n(history(deals), cells, cfg)
+
+
 # The whole chain for every new pair, with bootstrapped learning curves; its parts are checked above and in the tests.
 @query("sample_size")
 def sample_size(spark, sf_dir):

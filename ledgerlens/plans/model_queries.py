@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -11,10 +13,12 @@ from ..operators import reasons
 from ..operators import rolling as R
 from ..operators import scoring as H
 from ..operators import thresholds as T
+from ..operators import wide as W
 from ..functions import scalars as X
-from ..storage import stage
+from ..operators.splits import split_last_months
+from ..storage import shared_folder, stage
 from . import pipelines
-from .features_queries import DAY_SQL, KEY_SQL, MORE, cleaned, event_rows
+from .features_queries import DAY_SQL, GROUP_SQL, KEY_SQL, MORE, cleaned, event_rows
 from .fixtures import ORDER, bank_txn, event_txn, sql
 from .registry import present, query
 
@@ -174,8 +178,15 @@ def elbow_tail(spark, sf_dir):
     return present(T.elbow_threshold(scored_events(spark, sf_dir), "amount", "tail"))
 
 
-# The window length is a share of the row count, which a SQL window frame cannot take; tested against brute force.
-@query("elbow_rolling")
+@query("elbow_rolling", sql("""with s as (select amount as x, row_number() over (order by amount)-1 as i from ev where amount is not null),
+d as (select i-1 as i, x - lag(x) over (order by i) as gap, lag(x) over (order by i) as x from s qualify i > 0),
+w as (select *, greatest(1, cast(floor(count(*) over () * 0.02::double) as bigint)) as w from d),
+m as (select *, gap / (median(gap) over (order by i rows between w preceding and 1 preceding) + 1e-12) as r from w),
+z as (select * from m where i >= w),
+t as (select r*(1+0.02::double) as t from (select r, row_number() over (order by r)-1 as k, count(*) over () as n from z) where k = ceil((1-0.05::double)*n)-1),
+c as (select coalesce((select min_by(x, i) from z, t where r >= t), (select max(x) from s)) as threshold)
+select round(threshold,6) as threshold, cast((select count(*) from s where x > threshold) as bigint) as n_flagged,
+  cast((select count(*) from s) as bigint) as n from c""", "ev"))
 def elbow_rolling(spark, sf_dir):
     return present(T.elbow_threshold(scored_events(spark, sf_dir), "amount", "rolling"))
 
@@ -205,8 +216,9 @@ def gate(spark, sf_dir):
 
 
 @query("adaptive_gate", sql(f"""with {DAY_SQL},
-j as (select event_id, amount, d.m30, d.s30, coalesce((amount-d.m30)/d.s30,0) as z from ev e
-  join dayroll d using ({KEY_SQL}, ts) where d.c30>1 and s30>1e-6)
+j as (select event_id, amount, coalesce(d.m30,0) as m30, coalesce(d.s30,0) as s30,
+  case when s30<=1e-6 then case when abs(amount-d.m30)<=1e-6 then 0 else 6 end else coalesce((amount-d.m30)/d.s30,0) end as z
+  from ev e join dayroll d using ({KEY_SQL}, ts))
 select event_id, cast(case when abs(amount)<=100
     then abs(sign(m30)*ln(1+abs(m30))-sign(amount)*ln(1+abs(amount)))>=0.25
     else abs(m30-amount)>=greatest(1,0.5*s30) or abs(m30-amount)/(abs(amount)+1e-9)>=0.05 end and abs(z)>=2.5 as bigint) as passes_gate
@@ -214,7 +226,7 @@ from j""", "ev"))
 def adaptive_gate(spark, sf_dir):
     rows = event_rows(spark, sf_dir)
     out = R.merge_with_baselines(rows, stage(R.rolling_baselines(rows, mode="day"), "baselines"))
-    out = out.filter("txn_count_30d > 1 and std_amount_30d > 1e-6").withColumn("amount_pred", F.col("mean_amount_30d"))
+    out = out.withColumn("amount_pred", F.col("mean_amount_30d"))
     return present(H.adaptive_gate(out), "event_id", "passes_gate")
 
 
@@ -272,6 +284,63 @@ def score_reasons(spark, sf_dir):
     return anomalies.select(S.TXN_ID, "combo_id", "reason")
 
 
+PARTED_SQL = """
+parted as (select *, case when ts >= (select max(ts) from dated) - interval 2 month then 'test' else 'tr' end as p0 from dated)"""
+DATED_SQL = """
+dated as (select *, coalesce(cast(try_strptime(PostingDateKey,'%Y%m%d') as date), cast(try_strptime(ValueDateKey,'%Y%m%d') as date)) as ts
+  from bank_txn)"""
+APART_SQL = f"""
+clean_txn as (select * exclude (ts) replace (case when trim(BusinessUnitCode)='' then 'UNK' else BusinessUnitCode end as BusinessUnitCode)
+  from (select *, row_number() over (partition by p0, BankTransactionId order by {", ".join(ORDER)}) as keep_rn from parted) where keep_rn = 1)"""
+APART = {"dated": (DATED_SQL, ["bank_txn"]), "parted": (PARTED_SQL, ["dated"]), "clean_txn": (APART_SQL, ["parted"]),
+         "rf": MORE["rf"], "gf": (GROUP_SQL.replace("partition by Bank", "partition by p0, Bank"), ["rf"])}
+# The same model, with training and new rows cleaned and engineered apart.
+SAVED_SQL = SCORE_SQL.replace(SCORE_SQL[SCORE_SQL.index("mk as ("):SCORE_SQL.index("rk as (")], "mk as (select * from gf),\n").replace(
+    "ft as (select BankTransactionId,", f"ft as (select BankTransactionId, {', '.join(ORDER)},")
+
+
+@query("score_saved", sql(f"""with {SAVED_SQL}
+select b.BankTransactionId, b.l_partkey, b.l_suppkey, round(b.l_extendedprice,4) as l_extendedprice, cast(f.err is not null as bigint) as Anomaly,
+  cast(f.err is not null as bigint) as has_reason
+from parted b left join fl f using ({", ".join(ORDER)}) where b.p0 = 'test'""", "gf", extra=APART))
+def score_saved(spark, sf_dir):
+    """Every raw row of the newest two months, repeated ids included, scored from a saved model of the older rows."""
+    raw = bank_txn(spark, sf_dir, carry=ORDER)
+    dated = raw.withColumn("__ts", F.coalesce(X.parse_date_key(F.col(S.POSTING_DATE)), X.parse_date_key(F.col(S.VALUE_DATE))))
+    old, new = (d.drop("__ts") for d in split_last_months(dated, "__ts"))
+    _, fitted = pipelines.train_and_detect(old, test=new, order_by=ORDER)
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    fitted.save(path)
+    out = pipelines.BatchScorer(spark, path)(new, order_by=ORDER)
+    out = out.withColumn("has_reason", (F.col("AnomalyReason") != "").cast("int"))
+    return present(out, S.TXN_ID, "l_partkey", "l_suppkey", "l_extendedprice", "Anomaly", "has_reason", l_extendedprice=4)
+
+
+# Values and accounts get a position each, combinations are hashed; what a unit expects comes from its first twenty days.
+WIDE = [S.CODE, S.ACCOUNT, "combo_str"]
+
+
+@query("wide_contributions", sql("""with x as (select event_id, day(ts) < 21 as old, BusinessUnitCode as u, BankTransactionCode as c, BankAccountCode as a,
+  cast(('0x'||right(md5('combo_str||'||combo_str),2))::bigint % 32 as varchar) as h from ev),
+l as (select event_id, old, u, unnest([{'g':0,'n':'BankTransactionCode','v':c},{'g':1,'n':'BankAccountCode','v':a},{'g':2,'n':'combo_str','v':h}], recursive := true) from x),
+sh as (select u, g, v, count(*) * 1.0 / sum(count(*)) over (partition by u, g) as p from l where old group by u, g, v),
+gr as (select u, g, sum(p*p) as q, arg_max(v, (p, case when g=2 then -cast(v as int) else -ascii(right(v,1)) end)) as best from sh group by u, g),
+known as (select distinct g, v from sh),
+e as (select l.event_id, l.g, l.n, q + case when k.v is not null or l.g=2 then 1 - 2*coalesce(p,0) else 0 end as err, best
+  from l join gr on gr.u=l.u and gr.g=l.g left join sh on sh.u=l.u and sh.g=l.g and sh.v=l.v left join known k on k.g=l.g and k.v=l.v where not old)
+select event_id, arg_max(n, (round(err,9), -g)) as top_group, round(max(err),6) as top_error, max(best) filter (where g=1) as expected_account,
+  'bin '||max(best) filter (where g=2) as expected_bin from e group by event_id""", "ev"))
+def wide_contributions(spark, sf_dir):
+    rows = stage(event_rows(spark, sf_dir), "events")
+    old = F.dayofmonth("ts") < 21
+    encoder = W.WideEncoder().fit(rows.filter(old), WIDE)
+    encoded = stage(encoder.transform(rows), "encoded")
+    profile = W.CategoryProfile(encoder, [S.UNIT]).fit(encoded.filter(old))
+    out = profile.explain(encoded.filter(~old), "event_id", 1)
+    return present(out.select("event_id", F.col("top_groups")[0]["group"].alias("top_group"), F.col("top_groups")[0]["err"].alias("top_error"),
+                              F.col("expected")[S.ACCOUNT].alias("expected_account"), F.col("expected")["combo_str"].alias("expected_bin")))
+
+
 # A small profile model on the events: three features, medians per combination.
 LITE = ["amount", "lag", "dow"]
 LITE_SQL = f"""

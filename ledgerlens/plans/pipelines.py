@@ -22,8 +22,9 @@ from ..storage import stage
 DEFAULTS = {
     "features": S.MODEL_FEATURES, "weight_y_norm": 5.0, "weight_tabular": 1.0, "threshold_percentile": 0.99,
     "min_rows_per_combo": 20, "abs_tol": 1.0, "pct_tol": 0.05, "mad_mult": 0.8, "valid_frac": 0.10,
-    "exact": True,
+    "weight_count_norm": None, "exact": True,
 }
+ROW = "__input_row"
 TABLES = ("combo_stats", "overall", "model", "combo_map")
 NORMS = ["median_log", "iqr_log", "count_median_log", "count_iqr_log"]
 
@@ -42,7 +43,7 @@ def _normalised(df: DataFrame, stats: DataFrame, overall: DataFrame) -> DataFram
 
 
 def _weights(cfg: dict) -> dict[str, float]:
-    return B.col_weights(cfg["features"], cfg["weight_y_norm"], cfg["weight_tabular"])
+    return B.col_weights(cfg["features"], cfg["weight_y_norm"], cfg["weight_tabular"], cfg.get("weight_count_norm"))
 
 
 def _decide(df: DataFrame, art: Artifacts) -> DataFrame:
@@ -127,15 +128,19 @@ def train_and_detect(raw: DataFrame, test: DataFrame | None = None, order_by: li
 
 
 def score_transactions(df: DataFrame, art: Artifacts, anomaly_col: str = "Anomaly", reason_col: str = "AnomalyReason",
-                       id_col: str = S.TXN_ID, order_by: list[str] | None = None) -> DataFrame:
-    """Add the verdict and its reason to every input row; only the flagged rows are joined back."""
-    feats = _features(df, order_by)
-    rows = _normalised(_counted(feats, []), art["combo_stats"], art["overall"])
-    scored = _decide(rows, art).filter("is_anomaly = 1")
-    flagged = stage(_explain(scored, art, reason_col).select(id_col, reason_col), "flagged")
-    out = lookup(df, flagged, [id_col])
-    return out.withColumns({anomaly_col: F.col(reason_col).isNotNull().cast("int"),
-                            reason_col: F.coalesce(reason_col, F.lit(""))})
+                       order_by: list[str] | None = None) -> DataFrame:
+    """Add the verdict and its reason to every input row.
+
+    Rows are numbered as they are stored, and verdicts come back by that number: rows that repeat an id (or have none)
+    beyond the first stay unflagged, as they are left out of the features, and no row is lost or doubled.
+    """
+    rows = stage(df.withColumn(ROW, F.monotonically_increasing_id()), "input")
+    counted = stage(_counted(_features(rows, order_by), []), "counted")
+    scored = _decide(stage(_normalised(counted, art["combo_stats"], art["overall"]), "normalised"), art)
+    flagged = stage(_explain(scored.filter("is_anomaly = 1"), art, reason_col).select(ROW, reason_col), "flagged")
+    reason = F.col(reason_col)
+    return lookup(rows, flagged, [ROW]).select(
+        *df.columns, reason.isNotNull().cast("int").alias(anomaly_col), F.coalesce(reason, F.lit("")).alias(reason_col))
 
 
 class BatchScorer:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import baselines as B
 from ..operators import rules as G
 from ..operators import skew
-from ..operators.store import densify
-from ..storage import stage
+from ..operators.store import DailyCountStore, densify, run_rules
+from ..storage import shared_folder, stage
 from .features_queries import KEY_SQL, MORE, cleaned
 from .fixtures import event_txn, sql
 from .registry import present, query
@@ -130,6 +132,49 @@ def store_spike(spark, sf_dir):
                    "vol_spike_flag", nudge=["hist_mean_30d"])
 
 
+# Three batches of days; a batch sees the counts of earlier batches only.
+BATCH_DAYS = (10, 20)
+STORED_RULES_SQL = sql(f"""with
+daily as (select {KEY_SQL}, pday, count(*) as c, case when day(pday) <= 10 then 0 when day(pday) <= 20 then 1 else 2 end as b
+  from event_txn group by all),
+cal as (select *, unnest(generate_series(1, 30)) as back from daily),
+dense as (select cal.{KEY_SQL.replace(', ', ', cal.')}, cal.pday, coalesce(p.c,0) as c from cal
+  left join daily p on p.BankAccountCode=cal.BankAccountCode and p.BusinessUnitCode=cal.BusinessUnitCode
+   and p.BankTransactionCode=cal.BankTransactionCode and p.pday = cal.pday - to_days(cast(back as int)) and p.b < cal.b),
+hist as (select {KEY_SQL}, pday, avg(c) as m, stddev_samp(c) as s, count(*) filter (where c>0) as a from dense group by all),
+flags as (select e.*, c, m, s, a, a>=7 and case when s>0 then c>m+1*s else c>m end as spike, isodow(vday)>=6 as v, isodow(pday)>=6 as p
+  from event_txn e join daily using ({KEY_SQL}, pday) join hist using ({KEY_SQL}, pday))
+select event_id, cast(c as bigint) as group_count_today, cast(a as bigint) as hist_active_days, cast(spike as bigint) as vol_spike_flag,
+  cast(v as bigint) as is_nonbiz_value, cast(p as bigint) as is_nonbiz_post, cast(v or p or spike as bigint) as is_rule_anomaly,
+  case when p then 'PostingDate '||strftime(pday,'%Y-%m-%d')||' is a non-business day (weekend).'
+    when v then 'ValueDate '||strftime(vday,'%Y-%m-%d')||' is a non-business day (weekend).' else '' end as nonbiz_reason,
+  case when spike then 'Txn volume spike: '||c||' today vs typical '||case when s>0 then printf('%.2f', m+s) else printf('%.2f', m)||' (std≈0)' end
+    ||' for '||{COMBO_SQL.replace('TxnCode', 'Code')}||' (last 30d).' else '' end as vol_spike_reason
+from flags""", "event_txn")
+RULE_COLUMNS = ["event_id", "group_count_today", "hist_active_days", "vol_spike_flag", "is_nonbiz_value", "is_nonbiz_post",
+                "is_rule_anomaly", "nonbiz_reason", "vol_spike_reason"]
+
+
+def day_batches(rows):
+    """The rows in the batches of days that the rule runs take one after the other."""
+    day, edges = F.dayofmonth(F.to_date("event_ts")), [0, *BATCH_DAYS, 31]
+    return [rows.filter((day > a) & (day <= b)) for a, b in zip(edges, edges[1:])]
+
+
+@query("store_rules", STORED_RULES_SQL)
+def store_rules(spark, sf_dir):
+    """Batches flagged against the stored counts and then added to them; days are merged before the last batch."""
+    root = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store, out = DailyCountStore(spark, f"{root}/counts"), None
+    for n, batch in enumerate(day_batches(event_txn(spark, sf_dir))):
+        if n == len(BATCH_DAYS):
+            store.merge()
+            store.vacuum()
+        flagged = run_rules(batch, store, out_path=f"{root}/flagged-{n}", z_k=1.0)
+        out = flagged if out is None else out.unionByName(flagged)
+    return present(out, *RULE_COLUMNS)
+
+
 EXTRA_SQL = f"""{VOLUME_SQL},
 lim as (select *, greatest(1, cast(round_even(case when s>0 then m+1*s else m end, 0) as bigint)) as t
   from daily join vb using ({KEY_SQL})),

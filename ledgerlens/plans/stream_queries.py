@@ -11,8 +11,10 @@ from .. import schema as S
 from ..storage import shared_folder
 from ..streaming import daily
 from .features_queries import KEY_SQL
-from .fixtures import sql, table
+from ..operators.store import DailyCountStore
+from .fixtures import event_txn, sql, table
 from .registry import present, query
+from .rules_queries import RULE_COLUMNS, STORED_RULES_SQL, day_batches
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("BU"), (F.col("user_id") % 2).cast("string")).alias(S.UNIT), F.col("event_type").alias(S.CODE))
 
 
+def chunk_stream(chunks: list[DataFrame], name: str) -> DataFrame:
+    """Stream over tables that arrive one after the other, each as one file and micro-batch."""
+    spark = chunks[0].sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for n, chunk in enumerate(chunks):
+        chunk.coalesce(1).write.parquet(f"{path}/chunk={n}")
+    return spark.readStream.schema(chunks[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/chunk=*")
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run the stream over everything available into parquet and read the result."""
     spark = stream.sparkSession
@@ -49,3 +60,32 @@ def stream_dedupe(spark, sf_dir):
     stream = event_stream(spark, sf_dir)
     out = drain(daily.dedupe_stream(stream.union(stream)), "dedupe")
     return out.select(S.TXN_ID, F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+ABSENT_SQL = """select event_id, strftime(ts,'%Y-%m-%d %H:%M:%S') as ts from (
+  select *, lag(ts) over (partition by user_id, event_type order by ts, event_id) as before from events)
+where before is null or ts - before > interval 2 day"""
+
+
+@query("stream_returns", ABSENT_SQL)
+def stream_returns(spark, sf_dir):
+    """New or returning (user, event type) pairs, with copies of old rows arriving too late in every chunk but the first."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "event_type")
+    day = F.dayofmonth("ts")
+    chunks = [events.filter((day > a) & (day <= a + 5)) for a in range(0, 31, 5)]
+    late = [events.filter((day > a - 10) & (day <= a - 5)).withColumn("event_id", -F.col("event_id")) for a in range(0, 31, 5)]
+    stream = chunk_stream([c.unionByName(x) for c, x in zip(chunks, late)], "events")
+    return present(drain(daily.returning_stream(stream, ["user_id", "event_type"], "event_id", absent_days=2), "returns"), "event_id", "ts")
+
+
+@query("stream_rules", STORED_RULES_SQL)
+def stream_rules(spark, sf_dir):
+    """Micro-batches flagged against the stored counts; the stream starts anew, with a new checkpoint, before the last."""
+    root = f"{shared_folder(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    store = DailyCountStore(spark, f"{root}/counts")
+    batches = day_batches(event_txn(spark, sf_dir))
+    for n, chunks in enumerate((batches[:-1], batches[-1:])):
+        process = daily.score_then_update(store, f"{root}/flagged", z_k=1.0)
+        stream = chunk_stream(chunks, "batches").writeStream.foreachBatch(process)
+        stream.option("checkpointLocation", f"{root}/log-{n}").trigger(availableNow=True).start().awaitTermination()
+    return present(spark.read.parquet(f"{root}/flagged"), *RULE_COLUMNS)

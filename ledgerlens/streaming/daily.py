@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
 from ..operators.rules import any_rule
@@ -33,21 +36,53 @@ def first_seen(batch: DataFrame, seen: DataFrame, keys: list[str] = S.KEYS) -> D
 
 
 def first_seen_stream(stream: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
-    """First row of each combination; the state holds one entry per combination."""
+    """First row of each combination ever; the state holds one entry per combination for good."""
     return stream.dropDuplicates(keys)
 
 
+def returning_stream(stream: DataFrame, keys: list[str], id_col: str, ts: str = "ts", absent_days: int = 90,
+                     delay: str = "1 day") -> DataFrame:
+    """Rows of combinations that are new, or were not seen in the ``absent_days`` before; (keys, id, ts).
+
+    The state of a combination is the time it was last seen, and a timer drops it once the watermark has passed that time
+    by ``absent_days``, so the state holds the combinations active lately. Rows that arrive after the watermark are
+    dropped; earlier ones that come late do not count as a return. Of rows at one time the smallest id counts.
+    """
+    rows = stream.select(*keys, F.col(id_col), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
+    plain = rows.schema
+    gap = absent_days * 86_400_000_000  # microseconds
+
+    def update(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(frames)).sort_values(["__us", id_col])
+        times = found["__us"].to_numpy()
+        before = np.concatenate([[state.get[0] if state.exists else times[0] - gap - 1], times[:-1]])
+        before = np.maximum.accumulate(before)
+        yield found[times - before > gap].drop(columns="__us")
+        seen = int(max(before[-1], times[-1]))
+        state.update((seen,))
+        state.setTimeoutTimestamp(max((seen + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    return rows.withColumn("__us", F.unix_micros(ts)).groupBy(*keys).applyInPandasWithState(
+        update, plain, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def score_then_update(store: DailyCountStore, sink: str, holidays=None, posting_col: str = S.POSTING_DATE,
                       **cfg) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: flag a batch against earlier batches, write it, then add it to the store.
 
-    The batch id is the store version and names the output folder, so a batch that runs again replaces its own output
-    and its own counts and never sees them as history.
+    The store gives each batch of a stream its version, which names the output folder too: a batch that runs again
+    replaces its own output and counts and never sees them as history, and a stream that starts anew (its batches count
+    from 0 again) goes on after the stored versions and sees them all.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        run_rules(batch, store, holidays, out_path=f"{sink.rstrip('/')}/batch={batch_id}", version=batch_id, **cfg)
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        version = store.claim_version(source, batch_id)
+        run_rules(batch, store, holidays, out_path=f"{sink.rstrip('/')}/batch={version}", version=version, **cfg)
 
     return process
 
