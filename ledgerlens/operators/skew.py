@@ -31,7 +31,7 @@ def _partitions(spark: SparkSession) -> int:
 
 def hot_share(spark: SparkSession) -> int:
     """A group above ``1 / hot_share`` of the rows is larger than half a fair shuffle partition."""
-    return max(64, 2 * _partitions(spark))
+    return max(8, 2 * _partitions(spark))
 
 
 def bucket_count(spark: SparkSession) -> int:
