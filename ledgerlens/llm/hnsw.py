@@ -3,8 +3,10 @@
 Vectors are dealt into shards by a hash of their id. A task builds the graph of a shard over its distinct vectors and
 stores it as flat arrays: members and neighbours of each layer, vectors, and the ids of equal vectors. Queries meet every
 shard in blocks; each block walks the graph in lock-step (all its queries take a step together), and the nearest over all
-shards are kept. Vectors are lengthened by one component that gives all of a shard the same norm, so that the largest
-inner product is the smallest distance and the graph's geometry holds for vectors of any length.
+shards are kept. A shard has one graph for each *band* of lengths, whose longest vector is at most four times its shortest.
+Vectors of a band are scaled by a power of two and lengthened by one component that gives all of them the same norm, so
+that the largest inner product is the smallest distance, and the geometry holds in single precision for any lengths.
+Bands of fewer vectors than are linked by brute force anyway have no graph; queries meet all their vectors.
 """
 
 from __future__ import annotations
@@ -18,14 +20,18 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
-SHARD_ROWS = 20_000  # rows of a shard, in expectation; a graph of so many vectors takes some 10 MB
+SHARD_ROWS = 20_000  # rows of a shard, in expectation, of tables of up to SHARDS shards
+SHARDS = 64  # beyond so many, shards grow with the table, as a walk takes the logarithm of a shard's rows ...
+SHARD_BYTES = 100 << 20  # ... until their vectors reach what a task can hold beside the links
+BAND = 2.0  # width of a band, as a logarithm of lengths to base 2
 QUERY_BLOCK = 2_000  # queries that meet a shard in one task, in expectation
 LINKS = 16  # of a node in the upper layers; twice as many in the lowest
 BUILD_WIDTH, SEARCH_WIDTH = 80, 160  # beam of candidates while building and searching
 STEP = 4  # nodes that a query expands in a step
 LOCKSTEP = 512  # queries that walk together
 FIRST = 512  # nodes that are linked by brute force before the walk starts
-GRAPH = "dim int, shard int, links binary, layers binary, members binary, vectors binary, ids binary, starts binary"
+GRAPH = ("dim int, shard int, links binary, layers binary, members binary, vectors binary, bands binary, ids binary, "
+         "starts binary")
 
 
 def diverse(near: np.ndarray, sims: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
@@ -200,6 +206,27 @@ def level_norms(x: np.ndarray) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))].astype(np.float32)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Logarithms to base 2 of the norms of finite vectors that are not zero, without overflow."""
+    largest = np.abs(x).max(axis=1)
+    part = np.ldexp(x, -np.frexp(largest)[1][:, None])
+    return np.frexp(largest)[1] + 0.5 * np.log2(np.einsum("nd,nd->n", part, part))
+
+
+def scaled(x: np.ndarray, to: float | np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two at or above a length (given as its logarithm)."""
+    return np.ldexp(x, -np.ceil(np.broadcast_to(to, len(x))).astype(int)[:, None])
+
+
+def in_bands(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Order by length, longest first, and the ends of the bands in it: each begins at the longest vector left."""
+    order = np.argsort(-size, kind="stable")
+    falling, ends = -size[order], [0]
+    while ends[-1] < len(size):
+        ends.append(int(np.searchsorted(falling, falling[ends[-1]] + BAND, "right")))
+    return order, ends
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vec, dim): one row for each id; no null ids, null, empty or zero vectors, null or non-finite components.
 
@@ -218,36 +245,87 @@ def build_graphs(rows: DataFrame, shards: dict[int, int], copies: int) -> DataFr
         df = df.sort_values("vec_id")
         x = np.stack(df["vec"].to_numpy()).astype(np.float64)
         distinct, number = np.unique(x, axis=0, return_inverse=True)
-        order = np.argsort(number.ravel(), kind="stable")  # equal vectors together, ids ascending
-        number = number.ravel()[order]
+        size = lengths(distinct)
+        order, ends = in_bands(size)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        distinct, size, number = distinct[order], size[order], place[number.ravel()]
+        order = np.argsort(number, kind="stable")  # equal vectors together, ids ascending
+        number = number[order]
         heads = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         rank = np.arange(len(number)) - np.repeat(heads, np.diff(np.r_[heads, len(number)]))
         ids = df["vec_id"].to_numpy()[order][rank < copies]
         starts = np.r_[0, np.cumsum(np.bincount(number[rank < copies], minlength=len(distinct)))]
-        graph = Graph.build(level_norms(distinct), seed=int(key[1]))
-        shapes = np.array([links.shape for links in graph.links], np.int64)
+        bands, links, members, shapes = [], [], [], []
+        for lo, hi in zip(ends, ends[1:]):
+            if hi - lo > FIRST:
+                graph = Graph.build(level_norms(scaled(distinct[lo:hi], size[lo])), seed=int(key[1]))
+                links += graph.links
+                members += graph.members
+                shapes += [part.shape for part in graph.links]
+                bands.append((lo, hi, len(graph.links)))
+            else:
+                bands.append((lo, hi, 0))
         return pd.DataFrame([{
-            "dim": key[0], "shard": key[1], "layers": shapes.tobytes(),
-            "links": b"".join(links.astype(np.int32).tobytes() for links in graph.links),
-            "members": b"".join(m.astype(np.int32).tobytes() for m in graph.members),
-            "vectors": distinct.tobytes(), "ids": ids.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes()}])
+            "dim": key[0], "shard": key[1], "layers": np.array(shapes, np.int64).tobytes(),
+            "links": b"".join(part.astype(np.int32).tobytes() for part in links),
+            "members": b"".join(m.astype(np.int32).tobytes() for m in members), "vectors": distinct.tobytes(),
+            "bands": np.array(bands, np.int64).tobytes(), "ids": ids.astype(np.int64).tobytes(),
+            "starts": starts.astype(np.int64).tobytes()}])
 
     count = F.create_map(*[F.lit(v) for kv in shards.items() for v in kv])
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("dim"))).cast("int"))
     return dealt.groupBy("dim", "shard").applyInPandas(run, GRAPH)
 
 
-def open_graph(row) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """Graph, vectors in double precision, ids and the start of each vector's ids, from the stored arrays."""
-    exact = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-    links, members, at, m = [], [], 0, 0
-    flat, who = np.frombuffer(row["links"], np.int32), np.frombuffer(row["members"], np.int32)
-    for n, cap in np.frombuffer(row["layers"], np.int64).reshape(-1, 2):
-        links.append(flat[at:at + n * cap].reshape(n, cap).astype(np.int64))
-        members.append(who[m:m + n].astype(np.int64))
-        at, m = at + n * cap, m + n
-    return (Graph(level_norms(exact), members, links), exact, np.frombuffer(row["ids"], np.int64),
-            np.frombuffer(row["starts"], np.int64))
+class Shard:
+    """Stored arrays of a shard: vectors in double precision by band, graphs of the bands, ids of each vector."""
+
+    def __init__(self, row):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+        self.ids, self.starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
+        self.graphs, self.loose = [], []  # (first vector, graph); numbers of vectors without a graph
+        flat, who = np.frombuffer(row["links"], np.int32), np.frombuffer(row["members"], np.int32)
+        shapes = iter(np.frombuffer(row["layers"], np.int64).reshape(-1, 2))
+        at = m = 0
+        for lo, hi, layers in np.frombuffer(row["bands"], np.int64).reshape(-1, 3):
+            links, members = [], []
+            for _ in range(layers):
+                n, cap = next(shapes)
+                links.append(flat[at:at + n * cap].reshape(n, cap).astype(np.int64))
+                members.append(who[m:m + n].astype(np.int64))
+                at, m = at + n * cap, m + n
+            if layers:
+                part = self.vectors[lo:hi]
+                self.graphs.append((lo, Graph(level_norms(scaled(part, lengths(part[:1]))), members, links)))
+            else:
+                self.loose.append(np.arange(lo, hi))
+        self.loose = np.concatenate(self.loose) if self.loose else np.zeros(0, np.int64)
+
+    def search(self, queries: np.ndarray, k: int, width: int):
+        """Numbers of the vectors found for each query: k of each graph, k of those without one (compared exactly)."""
+        unit = np.c_[scaled(queries, lengths(queries)), np.zeros(len(queries))].astype(np.float32)
+        found = []
+        for first, graph in self.graphs:
+            got = graph.search(unit, k, width)
+            found.append(np.where(got < 0, -1, got + first))
+        if len(self.loose):
+            held, blocks = self.vectors[self.loose], []
+            for lo in range(0, len(queries), LOCKSTEP):
+                score = products(queries[lo:lo + LOCKSTEP], held)
+                blocks.append(self.loose[np.argsort(-score, axis=1, kind="stable")[:, :k]])
+            found.append(np.concatenate(blocks))
+        return np.concatenate(found, axis=1)
+
+
+def products(queries: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Inner products in the order of their size: queries are scaled, which keeps it, so small ones do not vanish."""
+    return scaled(queries, lengths(queries)) @ held.T
+
+
+def shard_count(n: int, dim: int, shard_rows: int = SHARD_ROWS) -> int:
+    """Shards of n vectors: of ``shard_rows`` up to SHARDS of them, then larger ones, up to SHARD_BYTES each."""
+    return -(-n // max(shard_rows, min(n // SHARDS, SHARD_BYTES // (8 * dim))))
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHARD_ROWS,
@@ -263,7 +341,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
     rows = stage(usable(vectors), "vectors")
     sizes = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
-    shards = {d: -(-n // shard_rows) for d, (n, _) in sizes.items()}
+    shards = {d: shard_count(n, d, shard_rows) for d, (n, _) in sizes.items()}
     blocks = {d: max(1, -(-q // QUERY_BLOCK)) for d, (_, q) in sizes.items()}
     if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -280,13 +358,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(held) or not len(asked):
             return empty
-        graph, exact, ids, starts = open_graph(held.iloc[0])
+        shard = Shard(held.iloc[0])
+        ids, starts = shard.ids, shard.starts
         q = np.stack(asked["vec"].to_numpy()).astype(np.float64)
-        found = graph.search(np.c_[q, np.zeros(len(q))].astype(np.float32), k + 1, width)
+        found = shard.search(q, k + 1, width)
         out = []
         for own, vec, numbers in zip(asked["vec_id"].to_numpy(), q, found):
             numbers = numbers[numbers >= 0]
-            score = (exact[numbers] * vec).sum(axis=1)
+            score = (shard.vectors[numbers] * vec).sum(axis=1)
             many = starts[numbers + 1] - starts[numbers]
             which = np.concatenate([ids[starts[i]:starts[i + 1]] for i in numbers]) if len(numbers) else ids[:0]
             score = np.repeat(score, many)
