@@ -17,7 +17,7 @@ from ..storage import stage
 from .ordering import small_lookup
 
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 4000
+ARCHIVE_BYTES = 32 << 20  # an archive is closed by the record that reaches them
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")  # of a member, or a version line
@@ -33,7 +33,8 @@ def digest(data: bytes) -> str:
 
 
 def record_id(page_id: int | None, sha1: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, str(page_id) if page_id is not None else 'none ' + sha1)}>"
+    """Name of a record: pages that share an id but not the payload have names of their own."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {sha1}')}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -79,20 +80,33 @@ def page_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return met.select("page_id", "url", "payload", F.when(revisit, F.col("latest")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record for each page into plain archives under ``path``.
 
-    Spark's text writer commits the files, so lost or repeated tasks leave none behind, on any file system it knows. Its
-    line separator is the two line ends that close a record.
+    A task packs records into archives of ``archive_bytes``, which only the last record may exceed, so an archive stays
+    far below the largest row whatever the length of pages. Spark's text writer commits the files, one row in each, so
+    lost or repeated tasks leave none behind, on any file system it knows. Its line separator is the two line ends that
+    close a record.
     """
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit")]
-            yield pa.RecordBatch.from_arrays([pa.array([record(*row) for row in zip(*cols)], pa.binary())], ["record"])
+            cols = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "revisit")]
+            for row in zip(*cols):
+                held.append(record(*(v.as_py() for v in row)))
+                size += len(held[-1]) + len(END)
+                if size >= archive_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
 
-    records = page_roles(pages, least_bytes).mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    def archive(records):
+        return pa.RecordBatch.from_arrays([pa.array([END.join(records)], pa.binary())], ["archive"])
+
+    archives = page_roles(pages, least_bytes).mapInArrow(run, "archive binary")
+    archives.select(F.col("archive").cast("string")).write.option("lineSep", END.decode()).option(
+        "maxRecordsPerFile", 1).text(path)
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
@@ -190,7 +204,8 @@ SCHEMA = ("file string, kind string, start long, length long, reason string, rec
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row for each record and each quarantined gap (``kind``) of all archives under ``path``.
 
-    Archives are read through Spark's own reader, one archive at a time in a task; an archive must fit in a row (2 GB).
+    Archives are read through Spark's own reader, one archive at a time in a task; an archive must fit in a row (2 GB;
+    those of ``write_archives`` do).
     Empty archives give no rows. Payload length and digest are those of the bytes read; a revisit has the digest its
     header states and no length until it is resolved.
     """
