@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,15 @@ def small_lookup(rows: DataFrame, table: DataFrame, key: str, most: int = 100_00
 
     The table is counted: with at most ``most`` rows it is broadcast, and ``rows`` are not shuffled. Beyond that the
     two sides meet in a shuffle, where the rows of each key are dealt over 64 salts and the table is repeated for each
-    salt, so that a hot key does not land in one task. Both ways give the same rows.
+    salt, so that a hot key does not land in one task. The salt is of a row's place and of those columns that can be
+    hashed, so copies of one row spread too. Both ways give the same rows.
     """
     names = [c for c in table.columns if c != key]
     right = table.select(F.col(key).alias("__key"), *names)
     if right.count() <= most:
         return rows.join(F.broadcast(right), rows[key] == F.col("__key"), "left").drop("__key")
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(64)).cast("int"))
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(64)).cast("int"))
     copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(63))))
     met = salted.join(copies, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__copy")), "left")
     return met.drop("__key", "__salt", "__copy")

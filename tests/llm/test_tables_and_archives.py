@@ -101,6 +101,29 @@ def test_mix_meets_its_targets(spark):
     assert mixing.queue(sized.filter("false")).count() == 0 and mixing.mixed(frame.filter("false")).count() == 0
 
 
+def test_mix_of_repeated_ids(spark):
+    """Reruns agree whatever the order of the rows, also where ids repeat with other sizes and texts."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 3]), "w " * rng.randrange(1, 9) + rng.choice("xyz"), rng.choice(["a", "b", None])) for _ in range(400)]
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        frame = docs(spark, rows).repartition(seed + 1)
+        sized = frame.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+        taken = sorted(((r.doc_id, r.source, r.size, r.taken) for r in mixing.queue(sized).collect()), key=repr)
+        texts = sorted(((r.doc_id, r.source, r.text) for r in mixing.mixed(frame).collect()), key=repr)
+        seen.add(repr((taken, texts)))
+    assert len(seen) == 1
+
+
+def test_lookup_with_a_map_column(spark):
+    rows = spark.createDataFrame([(i % 3, {"a": i}) for i in range(40)], "k int, m map<string,int>")
+    table = spark.createDataFrame([(0, "x"), (1, "y")], "k int, v string")
+    for most in (0, 10):
+        got = ordering.small_lookup(rows, table, "k", most).collect()
+        assert sorted((r.m["a"], r.v) for r in got) == [(i, {0: "x", 1: "y"}.get(i % 3)) for i in range(40)]
+
+
 def test_shards_are_contiguous_and_equal(spark):
     rows = corpus(2, 500)
     out = sharding.shard_documents(docs(spark, rows), 8).collect()
@@ -178,6 +201,42 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert hnsw.nearest(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["unit", "outlier", "tiny", "huge", "spread"])
+def test_neighbours_of_any_length(spark, case):
+    """Recall against brute force in several full shards, for lengths that single precision could not hold together."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if case == "outlier":
+        x[17] *= 1e4
+    elif case in ("tiny", "huge"):
+        x *= 1e-25 if case == "tiny" else 1e25
+    elif case == "spread":
+        x *= 10.0 ** rng.integers(-8, 9, size=(4000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df, shard_rows=2000).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 4000, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits += len(got[q].keys() & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        assert len(got[q]) == 20 and all(v == pytest.approx(s[i], rel=1e-9) for i, v in got[q].items())
+    assert hits >= 0.9 * 200 * 20
+
+
+def test_bands_and_shards():
+    size = np.array([0.1, 13.3, 0.0, -0.2, 11.0, -900.0])
+    order, ends = hnsw.in_bands(size)
+    assert [sorted(size[order[a:b]], reverse=True) for a, b in zip(ends, ends[1:])] == [[13.3], [11.0], [0.1, 0.0, -0.2], [-900.0]]
+    assert hnsw.in_bands(size[:0])[1] == [0]
+    x = np.array([[3e200, 4e200], [3e-320, 0.0], [0.0, -1.0]])
+    assert hnsw.lengths(x)[[0, 2]] == pytest.approx([np.log2(5) + 200 * np.log2(10), 0])
+    assert np.abs(hnsw.scaled(x, hnsw.lengths(x))).max(axis=1).min() >= 0.25
+    assert [hnsw.shard_count(n, 64) for n in (1, 20_000, 20_001, 1_280_000, 12_800_000, 1 << 40)] == [1, 1, 2, 64, 64, -(-(1 << 40) // 204_800)]
+
+
 def test_graph_recall_in_one_shard():
     x = np.random.default_rng(5).normal(size=(3000, 32))
     graph = hnsw.Graph.build(hnsw.level_norms(x))
@@ -211,6 +270,18 @@ def test_archives_round_trip(spark, tmp_path):
     assert roles == {1: False, 2: False, 3: True, 4: False}
 
 
+def test_archives_with_repeated_ids(spark, tmp_path):
+    """Pages that share an id are records of their own; archives are cut by bytes, not by pages."""
+    rows = [(5, "a"), (5, "bbbb"), (3, "a"), (5, "bbbb"), (1, "bbbb")] + [(100 + i, f"{i} " * 3000) for i in range(30)]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "a"), archive_bytes=40_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("*.txt")]
+    assert len(sizes) > 5 and max(sizes) < 40_000 + 12_000
+    read = warc.read_archives(spark, str(tmp_path / "a"))
+    assert read.filter("kind = 'gap'").count() == 0
+    got = sorted(tuple(r) for r in warc.resolve(read).select("page_id", "payload_bytes", "record_type", "refers_to").collect() if r.page_id < 100)
+    assert got == [(1, 4, "revisit", 5), (3, 1, "revisit", 5), (5, 1, "response", None), (5, 4, "response", None), (5, 4, "response", None)]
+
+
 def test_archives_with_long_urls(spark, tmp_path):
     """Pages with urls of any length come back, also as the response that others refer to; headers without an end do not."""
     long, wide = "data:text/html," + "u" * 100_000, "http://h/" + "é" * 30_000
