@@ -375,6 +375,58 @@ def test_licences_inside_prose(spark):
     assert out[3].licenses == "CC0-1.0" and (out[3].n_missing, out[3].n_changed, out[3].n_added) == (0, 0, 0)
 
 
+def brute_licences(scanner, text):
+    """Names found when every template is compared at every place, and matches rank by the bytes they save."""
+    text_words, found = license_scan.WORD.findall(text.lower()), []
+    for i, (_, template) in enumerate(scanner.templates):
+        n = len(template)
+        for shift in range(-n, len(text_words)):
+            for lo, hi in ((max(0, shift), max(0, shift + n)), (max(0, shift - n), shift + 2 * n)):
+                window = text_words[lo:hi]
+                if len(set(template).difference(window)) > license_scan.MOST_DIFFERENT * n:
+                    continue
+                missing, changed, added, start, end = license_scan.wording(window, template)
+                if missing + changed <= license_scan.MOST_DIFFERENT * n and added <= n:
+                    span = (lo + start, lo + end)
+                    found.append((-scanner.saved(text_words[span[0]:span[1]], [i])[0], span, i))
+    out, taken = set(), set()
+    for _, span, i in sorted(set(found)):
+        if not taken & set(range(*span)):
+            taken |= set(range(*span))
+            out.add(scanner.templates[i][0])
+    return out
+
+
+def test_licences_against_brute_force():
+    """The windows lose no template that a comparison at every place finds, with words changed, dropped and put in."""
+    rng = random.Random(5)
+    scanner = license_scan.Scanner()
+    prose = "and so the river went on under old bridges while somebody counted boats for no reason at all".split()
+    for _ in range(12):
+        parts = []
+        for _, template in rng.sample(scanner.templates, 3):
+            edited = list(template)
+            for _ in range(len(template) // 20):
+                at = rng.randrange(1, len(edited) - 1)
+                edited[at:at + 1] = rng.choice([[], ["changed"], [edited[at], "more"]])
+            parts += rng.choices(prose, k=rng.randint(0, 40)) + edited
+        text = " ".join(parts + rng.choices(prose, k=5))
+        assert {f[0] for f in scanner.find(text)} == brute_licences(scanner, text)
+
+
+def test_savings_choose_the_licence(monkeypatch):
+    """The template that saves most bytes wins; with the savings of templates exchanged, others do."""
+    scanner, text = license_scan.Scanner(), "Licensed under CC BY-NC 4.0."
+    assert [f[0] for f in scanner.find(text)] == ["CC-BY-NC-4.0"]
+    names = [name for name, _ in scanner.templates]
+    plain, other = names.index("CC-BY-4.0"), names.index("CC-BY-NC-4.0")
+    swap, real = {plain: other, other: plain}, license_scan.Scanner.saved
+    monkeypatch.setattr(license_scan.Scanner, "saved", lambda self, words, among: real(self, words, [swap.get(i, i) for i in among]))
+    assert [f[0] for f in scanner.find(text)] == ["CC-BY-4.0"]
+    monkeypatch.setattr(license_scan.Scanner, "saved", lambda self, words, among: [0] * len(among))
+    assert scanner.find(text) == []
+
+
 def test_snapshots_collapse(spark):
     rng = random.Random(9)
     logs, base = {}, [[("user", f"q{g}{k}") if k % 2 == 0 else ("assistant", f"a{g}{k}") for k in range(6)] for g in range(5)]
