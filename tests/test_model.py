@@ -149,3 +149,14 @@ def test_saved_model_scores_every_row(spark, tmp_path):
     out = score(batch)
     assert out.count() == batch.count()
     assert out.filter("(Anomaly = 1) <> (AnomalyReason <> '')").count() == 0
+
+
+def test_a_filter_on_the_issues_does_not_repeat_the_audit(spark):
+    texts = ["Products?$top=10", "", "Orders?$top=abc", "Lines?$filter=(Price gt 1&$top=5"]
+    audited = query_audit.audit_queries(spark.createDataFrame([(t,) for t in texts], "query string"))
+    report = query_audit.audit_report(audited)
+    found = {(r.entity, r.category, r.severity): r.n for r in report.collect()}
+    assert found == {("", "generation", "critical"): 1, ("Orders", "limits", "critical"): 1, ("Lines", "syntax", "critical"): 1}
+    for frame in (report, audited.filter("is_valid = 0")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") < 50
