@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schema as S
 from ..storage import shared_folder
@@ -26,21 +28,28 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("BU"), (F.col("user_id") % 2).cast("string")).alias(S.UNIT), F.col("event_type").alias(S.CODE))
 
 
-def chunk_stream(chunks: list[DataFrame], name: str) -> DataFrame:
-    """Stream over tables that arrive one after the other, each as one file and micro-batch."""
+def replay(chunks: list[DataFrame], name: str, run: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream over tables that arrive one after the other, each as one micro-batch of as many files as it has tasks.
+
+    The stream stops after each table and goes on from its checkpoint when the next one has arrived.
+    """
     spark = chunks[0].sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     for n, chunk in enumerate(chunks):
-        chunk.coalesce(1).write.parquet(f"{path}/chunk={n}")
-    return spark.readStream.schema(chunks[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/chunk=*")
+        chunk.write.parquet(f"{path}/chunk={n}")
+        arrived = spark.readStream.schema(chunk.schema).parquet(f"{path}/chunk=*")
+        run(arrived).trigger(availableNow=True).start().awaitTermination()
+
+
+def to_folder(stream: DataFrame, path: str) -> DataStreamWriter:
+    return stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-log").option("path", path)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run the stream over everything available into parquet and read the result."""
     spark = stream.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start(path)
-    run.awaitTermination()
+    to_folder(stream, path).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -70,12 +79,15 @@ where before is null or ts - before > interval 2 day"""
 @query("stream_returns", ABSENT_SQL)
 def stream_returns(spark, sf_dir):
     """New or returning (user, event type) pairs, with copies of old rows arriving too late in every chunk but the first."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("user_id"), "event_type")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "event_type")
     day = F.dayofmonth("ts")
     chunks = [events.filter((day > a) & (day <= a + 5)) for a in range(0, 31, 5)]
     late = [events.filter((day > a - 10) & (day <= a - 5)).withColumn("event_id", -F.col("event_id")) for a in range(0, 31, 5)]
-    stream = chunk_stream([c.unionByName(x) for c, x in zip(chunks, late)], "events")
-    return present(drain(daily.returning_stream(stream, ["user_id", "event_type"], "event_id", absent_days=2), "returns"), "event_id", "ts")
+    path = f"{shared_folder(spark).rstrip('/')}/returns-{uuid.uuid4().hex}"
+    replay([c.unionByName(x) for c, x in zip(chunks, late)], "events", lambda stream: to_folder(
+        daily.returning_stream(stream, ["user_id", "event_type"], "event_id", absent_days=2), path))
+    return present(spark.read.schema(events.schema).parquet(path), "event_id", "ts")
 
 
 @query("stream_rules", STORED_RULES_SQL)
@@ -86,6 +98,5 @@ def stream_rules(spark, sf_dir):
     batches = day_batches(event_txn(spark, sf_dir))
     for n, chunks in enumerate((batches[:-1], batches[-1:])):
         process = daily.score_then_update(store, f"{root}/flagged", z_k=1.0)
-        stream = chunk_stream(chunks, "batches").writeStream.foreachBatch(process)
-        stream.option("checkpointLocation", f"{root}/log-{n}").trigger(availableNow=True).start().awaitTermination()
+        replay(chunks, "batches", lambda stream: stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/log-{n}"))
     return present(spark.read.parquet(f"{root}/flagged"), *RULE_COLUMNS)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
@@ -41,32 +42,52 @@ def first_seen_stream(stream: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
 
 
 def returning_stream(stream: DataFrame, keys: list[str], id_col: str, ts: str = "ts", absent_days: int = 90,
-                     delay: str = "1 day") -> DataFrame:
+                     delay: str = "1 day", buckets: int = 1024) -> DataFrame:
     """Rows of combinations that are new, or were not seen in the ``absent_days`` before; (keys, id, ts).
 
-    The state of a combination is the time it was last seen, and a timer drops it once the watermark has passed that time
-    by ``absent_days``, so the state holds the combinations active lately. Rows that arrive after the watermark are
-    dropped; earlier ones that come late do not count as a return. Of rows at one time the smallest id counts.
+    The state of a combination is the time it was last seen. Combinations are dealt to ``buckets`` by hash, and a bucket
+    keeps the times of its combinations in one state, so a batch costs a call for each bucket instead of one for each
+    combination. A timer drops a combination once the watermark has passed its time by ``absent_days``, so the state holds
+    the combinations active lately. Rows that arrive after the watermark are dropped; earlier ones that come late do not
+    count as a return. Of rows at one time the smallest id counts. ``buckets`` is fixed for the life of a checkpoint.
     """
     rows = stream.select(*keys, F.col(id_col), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, delay)
-    plain = rows.schema
+    longs = [k for k in keys if isinstance(rows.schema[k].dataType, T.LongType)]  # a null among them would make them floats
+    texts = rows.withColumns({k: F.col(k).cast("string") for k in longs})
+    plain = texts.schema
     gap = absent_days * 86_400_000_000  # microseconds
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+             "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+    def keep(state: GroupState, seen: pd.Series) -> None:
+        """Keep the times that are not too old, and come back when the first of them is."""
+        mark = state.getCurrentWatermarkMs()
+        seen = seen[seen + gap >= mark * 1000]
+        if seen.empty:
+            state.remove()
+            return
+        state.update((seen.index.tolist(), seen.tolist()))
+        state.setTimeoutTimestamp(max((int(seen.min()) + gap) // 1000 + 1, mark + 1))
 
     def update(key, frames, state: GroupState):
+        names, times = state.get if state.exists else ([], [])
+        seen = pd.Series(times, index=pd.Index(names, dtype=object), dtype="int64")
         if state.hasTimedOut:
-            state.remove()
+            keep(state, seen)
             return
-        found = pd.concat(list(frames)).sort_values(["__us", id_col])
+        found = pd.concat(list(frames)).sort_values(["__key", "__us", id_col], ignore_index=True)
         times = found["__us"].to_numpy()
-        before = np.concatenate([[state.get[0] if state.exists else times[0] - gap - 1], times[:-1]])
-        before = np.maximum.accumulate(before)
-        yield found[times - before > gap].drop(columns="__us")
-        seen = int(max(before[-1], times[-1]))
-        state.update((seen,))
-        state.setTimeoutTimestamp(max((seen + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    return rows.withColumn("__us", F.unix_micros(ts)).groupBy(*keys).applyInPandasWithState(
-        update, plain, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+        unseen, at = times - gap - 1, seen.index.get_indexer(found["__key"])
+        stored = np.where(at < 0, unseen, np.append(seen.to_numpy(), 0)[at])
+        before = np.where(found["__key"].duplicated(), np.roll(times, 1), unseen)
+        yield found.loc[times - np.maximum(before, stored) > gap, plain.names]
+        keep(state, pd.concat([seen, found.groupby("__key")["__us"].max()]).groupby(level=0).max())
+
+    keyed = texts.withColumns({"__us": F.unix_micros(ts), "__key": F.to_json(F.struct(*keys), exact)})
+    dealt = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+    found = dealt.groupBy("__bucket").applyInPandasWithState(
+        update, plain, "keys array<string>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({k: F.col(k).cast("long") for k in longs})
 
 
 def score_then_update(store: DailyCountStore, sink: str, holidays=None, posting_col: str = S.POSTING_DATE,

@@ -82,6 +82,28 @@ def test_returning_keys_and_expired_state(spark, tmp_path):
     assert {r.ts for r in got if r.k == "c"} == {(start + pd.Timedelta(hours=150)).to_pydatetime()}
 
 
+def test_returning_keys_share_the_state_of_a_bucket(spark, tmp_path):
+    start, big = pd.Timestamp("2024-01-01"), 1 << 60
+    rows = [(None if k == 7 else big + k, f"t{k % 3}", i, start + pd.Timedelta(hours=h)) for i, (h, k) in enumerate(
+        (h, k) for h in range(0, 400, 20) for k in range(40) if (h // 20 + k) % (1 + k % 5) == 0 and not (k > 30 and h > 100))]
+    wanted, last = set(), {}
+    for k, t, i, at in rows:
+        if (k, t) not in last or at - last[k, t] > pd.Timedelta(days=2):
+            wanted.add((k, t, i))
+        last[k, t] = at
+    schema = "k long, t string, id long, ts timestamp"
+    for n in range(4):
+        part = [(k, t, i, at.to_pydatetime()) for k, t, i, at in rows if n * 100 <= (at - start) / pd.Timedelta(hours=1) < n * 100 + 100]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"chunk={n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "chunk=*"))
+    out = daily.returning_stream(stream, ["k", "t"], "id", absent_days=2, delay="1 hour", buckets=4)
+    run = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(
+        availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    assert {(r.k, r.t, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == wanted
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_repeated_and_missing_ids_keep_their_rows(spark, tmp_path):
     raw = bank_txn(spark, SF, carry=ORDER)
