@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import uuid
 
 import pandas as pd
 import pytest
@@ -11,6 +12,8 @@ from ledgerlens import schema as S
 from ledgerlens.operators.store import DailyCountStore
 from ledgerlens.plans import pipelines
 from ledgerlens.plans.fixtures import ORDER, bank_txn
+from ledgerlens.plans.stream_queries import replay
+from ledgerlens.storage import shared_folder
 from ledgerlens.streaming import daily
 from test_rules import days, txn
 
@@ -104,6 +107,18 @@ def test_returning_keys_share_the_state_of_a_bucket(spark, tmp_path):
     assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
+def test_a_table_of_many_files_is_one_batch(spark):
+    seen, rows, log = [], spark.range(0, 90, numPartitions=3), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+
+    def look(batch, n):
+        found = batch.select("id", F.input_file_name().alias("file")).collect()
+        seen.append((sorted(r.id % 3 for r in found), len({r.file for r in found})))
+
+    replay([rows.filter(f"id % 3 = {n}") for n in range(3)], "batches", lambda stream: stream.writeStream.foreachBatch(look).option(
+        "checkpointLocation", log))
+    assert seen == [([n] * 30, 3) for n in range(3)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_repeated_and_missing_ids_keep_their_rows(spark, tmp_path):
     raw = bank_txn(spark, SF, carry=ORDER)
