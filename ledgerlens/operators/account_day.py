@@ -17,10 +17,10 @@ def account_day(df: DataFrame, day: str = "ts", amount: str = "amount", account:
     """One row per account, date and currency with the 17 numeric features.
 
     Sums and counts combine on the map side. The distinct counts read a table already reduced to (key, unit, code),
-    so no row is expanded for them.
+    so no row is expanded for them. The few columns needed are stored first, so what leads to the rows runs once.
     """
     keys = [account, "txn_date", currency]
-    rows = df.withColumn("txn_date", F.col(day))
+    rows = stage(df.select(account, F.col(day).alias("txn_date"), currency, unit, code, amount), "day-rows")
     size, credit = F.abs(F.col(amount)), F.col(amount) >= 0
     zero = F.lit(0.0)
     sums = rows.groupBy(*keys).agg(

@@ -401,7 +401,7 @@ def recall_budget(spark, sf_dir):
 
 
 def benchmark_parts(spark, sf_dir):
-    return tuple(stage(d, "part") for d in P.split_quantile(bank_days(spark, sf_dir)))
+    return tuple(stage(d, "part") for d in P.split_quantile(stage(bank_days(spark, sf_dir), "days")))
 
 
 SEEDS = (0, 1, 2, 3, 4)

@@ -231,3 +231,10 @@ def test_benchmark_and_ablation_run_whole(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "context_ablation", lambda train, *a: sizes.extend([train.count(), *a[2]]))
     day_queries.context_ablation(spark, "/root/testdata/sf0.001")
     assert seeds == [0, 1, 2, 3, 4] and sizes[1:] == evaluation.context_sizes(sizes[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_account_days_do_not_clean_the_rows_again(spark):
+    from ledgerlens.plans import day_queries
+    plan = day_queries.bank_days(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "l_orderkey" not in plan
