@@ -19,27 +19,43 @@ BASIC_FEATURES = [
 ]
 
 
-def row_features(df: DataFrame, keys: list[str] = S.KEYS, lag_clamp: int | None = None,
-                 wide_cashbook: bool = False) -> DataFrame:
-    """Features of a row by itself: one projection, no shuffle."""
-    value = X.parse_date_key(F.col(S.VALUE_DATE))
-    posting = X.parse_date_key(F.col(S.POSTING_DATE))
-    dated = df.select("*", value.alias("__value"), posting.alias("__posting"),
-                      F.coalesce(posting, value).alias("ts"),
-                      X.coerce_numeric(F.col(S.AMOUNT)).alias("amount"))
-    parts = X.calendar(F.col("ts"))
+CALENDAR = ["dow", "is_weekend", "day_of_month", "month", "quarter", "month_sin", "month_cos", "dow_sin", "dow_cos"]
+
+
+def calendar_columns(day: Column) -> dict[str, Column]:
+    """Calendar parts of a date, and month and weekday on circles."""
+    parts = X.calendar(day)
     month_sin, month_cos = X.cyclical(parts["month"], 12)
     dow_sin, dow_cos = X.cyclical(parts["dow"], 7)
+    return {**parts, "month_sin": month_sin, "month_cos": month_cos, "dow_sin": dow_sin, "dow_cos": dow_cos}
+
+
+def dated_rows(df: DataFrame, lag_clamp: int | None = None) -> DataFrame:
+    """Add the date, the amount as a number and the posting lag: what costs most to read from the text."""
+    value = X.parse_date_key(F.col(S.VALUE_DATE))
+    posting = X.parse_date_key(F.col(S.POSTING_DATE))
+    dated = df.select("*", value.alias("__value"), posting.alias("__posting"))
+    return dated.select(*df.columns, F.coalesce("__posting", "__value").alias("ts"),
+                        X.coerce_numeric(F.col(S.AMOUNT)).alias("amount"),
+                        X.posting_lag(F.col("__posting"), F.col("__value"), lag_clamp).alias("posting_lag_days"))
+
+
+def row_columns(keys: list[str] = S.KEYS, wide_cashbook: bool = False) -> dict[str, Column]:
+    """The other features that a row of ``dated_rows`` has by itself."""
     amount = F.col("amount")
-    return dated.withColumns({
-        "posting_lag_days": X.posting_lag(F.col("__posting"), F.col("__value"), lag_clamp),
-        **parts,
-        "month_sin": month_sin, "month_cos": month_cos, "dow_sin": dow_sin, "dow_cos": dow_cos,
+    return {
+        **calendar_columns(F.col("ts")),
         "cashbook_flag_derived": X.cashbook_flag(F.col(S.CASHBOOK), wide_cashbook),
         "log_amount": X.signed_log1p(amount),
         "amount_sign": X.amount_sign(amount),
         "combo_str": X.combo_key(*[F.col(k) for k in keys]),
-    }).drop("__value", "__posting")
+    }
+
+
+def row_features(df: DataFrame, keys: list[str] = S.KEYS, lag_clamp: int | None = None,
+                 wide_cashbook: bool = False) -> DataFrame:
+    """Features of a row by itself: one projection, no shuffle."""
+    return dated_rows(df, lag_clamp).withColumns(row_columns(keys, wide_cashbook))
 
 
 def _leave_one_out(n: Column, total: Column, amount: Column) -> dict[str, Column]:
@@ -53,20 +69,25 @@ def _leave_one_out(n: Column, total: Column, amount: Column) -> dict[str, Column
     }
 
 
+def group_columns() -> dict[str, Column]:
+    """Comparison of ``amount`` with the others of its daily group, given as ``__size`` and ``__sum``."""
+    n = F.col("__size")
+    return {"trans_count_log": F.log1p(n.cast("double")), **_leave_one_out(n, F.col("__sum"), F.col("amount"))}
+
+
+def group_flags() -> list[Column]:
+    """Flags of a daily group, given as ``__size``, ``__min`` and ``__max``."""
+    return [(F.col("__min") == F.col("__max")).cast("int").alias("identical_amounts_in_group"),
+            (F.col("__size") == 1).cast("int").alias("single_transaction_group")]
+
+
 def daily_group_features(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE) -> DataFrame:
     """Daily count per key and the comparison of each amount with the others of its day (one grouped pass)."""
     keyed = df.withColumn("__day", F.coalesce(F.col(day).cast("string"), F.lit("")))
     grouped = group_context(keyed, [*keys, "__day"], {
-        "trans_count_day": F.count(F.lit(1)), "__sum": F.sum("amount"),
-        "__min": F.min("amount"), "__max": F.max("amount"),
-    })
-    n = F.col("trans_count_day")
-    return grouped.withColumns({
-        "trans_count_log": F.log1p(n.cast("double")),
-        **_leave_one_out(n, F.col("__sum"), F.col("amount")),
-        "identical_amounts_in_group": (F.col("__min") == F.col("__max")).cast("int"),
-        "single_transaction_group": (n == 1).cast("int"),
-    }).drop("__day", "__sum", "__min", "__max")
+        "__size": F.count(F.lit(1)), "__sum": F.sum("amount"), "__min": F.min("amount"), "__max": F.max("amount")})
+    grouped = grouped.withColumn("trans_count_day", F.col("__size")).withColumns(group_columns())
+    return grouped.select("*", *group_flags()).drop("__day", "__size", "__sum", "__min", "__max")
 
 
 def engineer_basic_features(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:

@@ -85,14 +85,16 @@ def spread(df: DataFrame) -> Column:
 
 
 def spread_lookup(df: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame | None = None,
-                  null_safe: bool = False) -> DataFrame:
+                  null_safe: bool = False, hashed: bool = False) -> DataFrame:
     """Left join a one-row-per-key table whose hot keys would overload a task.
 
     Hot keys, whether the table has them or not, are answered by a broadcast join and their rows are salted; so are rows
     with a null key where nulls match nothing. Other keys meet the table in a shuffle. ``counts`` (keys, ``__n`` rows of
-    ``df``) avoids counting again.
+    ``df``) avoids counting again. ``hashed`` keeps the table's part of each task in memory instead of sorting the rows.
     """
     names = [c for c in table.columns if c not in keys]
+    if hashed:
+        table = table.hint("shuffle_hash")
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot_keys = _hot(counts, "__n")

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _key(day: Column) -> Column:
-    return F.date_format(day, "yyyyMMdd")
+    return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("string")
 
 
 def bank_txn(spark: SparkSession, sf_dir: str, carry: list[str] = ()) -> DataFrame:

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schema as S
 from ledgerlens.functions import scalars as X
-from ledgerlens.operators import encoders, query_audit, reasons, scoring
+from ledgerlens.operators import baselines, cleaning, encoders, features, query_audit, reasons, scoring, skew, splits
 from ledgerlens.plans import pipelines
 from ledgerlens.plans.fixtures import ORDER, bank_txn
 from ledgerlens.sources import io
+from ledgerlens.storage import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,3 +161,36 @@ def test_a_filter_on_the_issues_does_not_repeat_the_audit(spark):
     for frame in (report, audited.filter("is_valid = 0")):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract(") < 50
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_profiles_come_from_counted_rows(spark, monkeypatch):
+    """Only features that differ from row to row are ordered row by row; the medians are those of the laid-out rows."""
+    ordered, plain = [], skew.column_medians
+
+    def recorded(df, keys, cols, *rest):
+        ordered.append(set(cols))
+        return plain(df, keys, cols, *rest)
+
+    for module in (scoring, pipelines):
+        monkeypatch.setattr(module, "column_medians", recorded, raising=False)
+    raw = stage(bank_txn(spark, SF, carry=ORDER).withColumn(S.VALUE_DATE, F.when(F.col("l_partkey") % 7 == 0, None).when(
+        F.col("l_partkey") % 11 == 0, "").otherwise(F.col(S.VALUE_DATE))), "raw")
+    _, art = pipelines.train_and_detect(raw, order_by=ORDER)
+    assert ordered and all(cols <= {"amount_dev_loo_log", "amount_ratio_loo_slog", "count_norm", "y_norm"} for cols in ordered)
+
+    feats = stage(features.engineer_basic_features(cleaning.clean_transactions(raw, order_by=ORDER)), "feats")
+    train, valid = splits.split_tail(splits.split_last_months(feats)[0], "ts", 0.1, [S.TXN_ID])
+    tail = splits.in_tail(splits.split_last_months(feats)[0], "ts", S.TXN_ID, 0.1)
+    found = splits.split_last_months(feats)[0].filter(tail)
+    assert found.count() == valid.count() and found.select(S.TXN_ID).exceptAll(valid.select(S.TXN_ID)).isEmpty()
+    counted = skew.group_context(train.drop("trans_count_day"), [*S.KEYS, S.VALUE_DATE], {"trans_count_day": F.count(F.lit(1))})
+    rows = baselines.add_count_norm(counted, art["combo_stats"], art["overall"])
+    rows = stage(baselines.normalize_amount(rows, art["combo_stats"], art["overall"]), "rows")
+    columns = [*S.MODEL_FEATURES, "y_norm"]
+    for keys, table in ((S.KEYS, art["model"]), ([], art["overall"])):
+        want = {tuple(r[k] for k in keys): r for r in rows.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns]).collect()}
+        got = {tuple(r[k] for k in keys): r for r in table.collect()}
+        assert got.keys() == want.keys()
+        for key, row in got.items():
+            assert [row[f"p_{c}"] for c in columns] == pytest.approx([want[key][c] for c in columns], abs=1e-9)
