@@ -29,28 +29,18 @@ def median_iqr(df: DataFrame, keys: list[str], value: str, approx: bool = False)
                     F.greatest(F.col("q75") - F.col("q25"), F.lit(FIT_FLOOR)).alias("iqr"))
 
 
-def count_amounts(df: DataFrame, keys: list[str] = S.KEYS) -> DataFrame:
-    """Stored (keys, amount, c) counts, which all exact amount statistics can share."""
-    return stage(df.groupBy(*keys, "amount").agg(F.count(F.lit(1)).alias("c")), "amounts")
-
-
-def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True,
-                     amounts: DataFrame | None = None) -> DataFrame:
+def fit_amount_stats(df: DataFrame, keys: list[str] = S.KEYS, exact: bool = True, stored: bool = False) -> DataFrame:
     """Median and IQR of the signed log amount, median absolute deviation of the amount, and the row count.
 
-    The log is increasing, so its quartiles and the raw median come from one ordering of the counted amounts.
+    The log is increasing, so its quartiles and the raw median come from one ordering of the amounts.
     """
     logs = {name: X.signed_log1p for name in QUARTILES}
-    wanted = {**QUARTILES, "median": 0.5}
-    if exact:
-        amounts = count_amounts(df, keys) if amounts is None else amounts
-        q = stage(percentiles(amounts, keys, "amount", wanted, maps=logs, weight="c"), "quartiles")
-    else:
-        amounts = df
-        q = stage(percentiles(df, keys, "amount", wanted, approx=True, maps=logs), "quartiles")
-    gaps = spread_lookup(amounts, q.select(*keys, "median"), keys)
+    amounts = df.select(*keys, "amount")
+    amounts = amounts if stored or not exact else stage(amounts, "amounts")
+    q = stage(percentiles(amounts, keys, "amount", {**QUARTILES, "median": 0.5}, not exact, maps=logs, stored=exact), "quartiles")
+    gaps = spread_lookup(amounts, q.select(*keys, "median"), keys, q.select(*keys, F.col("n").alias("__n")))
     gaps = gaps.withColumn("gap", F.abs(F.col("amount") - F.col("median")))
-    mad = percentiles(gaps, keys, "gap", {"mad": 0.5}, not exact, weight="c" if exact else None).drop("n")
+    mad = percentiles(gaps, keys, "gap", {"mad": 0.5}, not exact, stored=exact).drop("n")
     return lookup(q, mad, keys).select(
         *keys, F.col("q50").alias("median_log"),
         F.greatest(F.col("q75") - F.col("q25"), F.lit(FIT_FLOOR)).alias("iqr_log"),
@@ -61,23 +51,25 @@ def daily_counts(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("count_day"))
 
 
-def fit_count_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE) -> DataFrame:
+def fit_count_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, daily: DataFrame | None = None
+                    ) -> DataFrame:
     """Median and floored IQR of the log daily count per combination (at most one value per calendar day)."""
-    daily = daily_counts(df, keys, day).withColumn("__l", F.log1p("count_day"))
+    daily = (daily_counts(df, keys, day) if daily is None else daily).withColumn("__l", F.log1p("count_day"))
     q = daily.groupBy(*keys).agg(F.percentile("__l", F.array(*[F.lit(p) for p in QUARTILES.values()])).alias("q"))
     return q.select(*keys, F.col("q")[1].alias("count_median_log"),
                     F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(COUNT_FLOOR)).alias("count_iqr_log"))
 
 
 def fit_global_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True,
-                     amounts: DataFrame | None = None) -> DataFrame:
-    """One row: the fallbacks for combinations that were not seen in training."""
+                     stored: bool = False, daily: DataFrame | None = None) -> DataFrame:
+    """One row: the fallbacks for combinations that were not seen in training.
+
+    ``stored`` rows are not stored again to be read twice; ``daily`` are their daily counts, if they are there already.
+    """
     logs = {name: X.signed_log1p for name in QUARTILES}
-    if amounts is not None and exact:
-        levels = percentiles(amounts, [], "amount", QUARTILES, maps=logs, weight="c")
-    else:
-        levels = percentiles(df, [], "amount", QUARTILES, not exact, maps=logs)
-    daily = daily_counts(df, keys, day)
+    amounts = df if stored or not exact else stage(df.select("amount"), "amounts")
+    levels = percentiles(amounts, [], "amount", QUARTILES, not exact, maps=logs, stored=exact)
+    daily = daily_counts(df, keys, day) if daily is None else daily
     counts = percentiles(daily, [], "count_day", QUARTILES, maps={name: F.log1p for name in QUARTILES})
     both = with_scalars(levels, counts, "c")
     return both.select(
@@ -88,9 +80,9 @@ def fit_global_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE
 
 
 def fit_combo_stats(df: DataFrame, keys: list[str] = S.KEYS, day: str = S.VALUE_DATE, exact: bool = True,
-                    amounts: DataFrame | None = None) -> DataFrame:
+                    stored: bool = False, daily: DataFrame | None = None) -> DataFrame:
     """Amount and daily-count statistics per combination in one table."""
-    return lookup(fit_amount_stats(df, keys, exact, amounts), fit_count_stats(df, keys, day), keys)
+    return lookup(fit_amount_stats(df, keys, exact, stored), fit_count_stats(df, keys, day, daily), keys)
 
 
 def amount_norm(amount: Column, median: Column, iqr: Column) -> Column:

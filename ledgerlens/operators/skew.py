@@ -267,66 +267,88 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, sums: dict[str, C
     return ranked
 
 
-def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 1000) -> DataFrame:
+def _value_bin(col: Column, bins: int) -> Column:
+    """A number that never decreases along the order of the values: ``bins`` steps for each factor of e, by sign."""
+    # The logarithm of the smallest number is above -746.
+    return F.coalesce(F.signum(col) * F.floor((F.ln(F.abs(col)) + 746) * bins), F.lit(0.0))
+
+
+def ranked_values(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], weight: str | None = None,
+                  bins: int = 128) -> DataFrame:
+    """``lo_<name>``, ``hi_<name>``: the values of a column beside a quantile per group, and ``n_<name>``, its values.
+
+    ``wanted`` maps a name to (column, p); nulls are left out. ``df`` is read twice and should be stored. Values are
+    counted by group and bin, which leaves little to shuffle; only the values of a bin that holds a wanted rank, and more
+    than one value, are counted by themselves and ordered. The bins only save work; any bins give the same results.
+    """
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    values = F.array(*[F.struct(F.lit(i).alias("__col"), F.col(c).cast("double").alias("__x")) for i, c in enumerate(cols)])
+    size = [F.col(weight).alias("__w")] if weight else []
+    rows = df.select(*keys, *size, F.inline(values)) if len(cols) > 1 else df.select(
+        *keys, *size, F.lit(0).alias("__col"), F.col(cols[0]).cast("double").alias("__x"))
+    rows = rows.filter("__x is not null").withColumn("__bin", _value_bin(F.col("__x"), bins))
+    count = (F.sum("__w") if weight else F.count(F.lit(1))).alias("__n")
+
+    group, at = [*keys, "__col"], [*keys, "__col", "__bin"]
+    counted = stage(rows.groupBy(*at).agg(count, F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "bins")
+    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumns({"__below": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+                                  "__total": F.sum("__n").over(Window.partitionBy(*group))})
+    ranks = []
+    for j, (c, p) in enumerate(wanted.values()):
+        place = F.lit(float(p)) * (F.col("__total") - 1)
+        ranks += [F.struct(F.lit(cols.index(c)).alias("__of"), F.lit(2 * j + side).alias("__j"), rank(place).alias("__rank"))
+                  for side, rank in enumerate((F.floor, F.ceil))]
+    hits = placed.select("*", F.inline(F.array(*ranks))).filter(
+        (F.col("__of") == F.col("__col")) & (F.col("__below") <= F.col("__rank")) & (F.col("__rank") < F.col("__below") + F.col("__n")))
+    hits = stage(hits.drop("__n", "__of"), "ranks")
+    mixed = hits.filter("__lo <> __hi").drop("__lo", "__hi")
+    inside = lookup(rows, mixed.select(*at).distinct(), at, "left_semi", null_safe=True)
+    inside = stage(inside.groupBy(*at, "__x").agg(count), "values")
+    ordered = running(inside, at, ["__x"], {"__before": ("sum", F.col("__n"))}, stored=True)
+    start = F.col("__below") + F.col("__before")
+    met = lookup(ordered, mixed, at, null_safe=True).filter(
+        (start <= F.col("__rank")) & (F.col("__rank") < start + F.col("__n")))
+    names = [*keys, "__j", "__total", "__x"]
+    found = hits.filter("__lo = __hi").withColumnRenamed("__lo", "__x").select(*names).unionByName(met.select(*names))
+
+    def of(j: int, name: str) -> Column:
+        return F.max(F.when(F.col("__j") == j, F.col(name)))
+
+    return found.groupBy(*keys).agg(*[c for j, name in enumerate(wanted) for c in (
+        of(2 * j, "__x").alias(f"lo_{name}"), of(2 * j + 1, "__x").alias(f"hi_{name}"), of(2 * j, "__total").alias(f"n_{name}"))])
+
+
+def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 128, weight: str | None = None
+                   ) -> DataFrame:
     """Exact median of each column per group (linear between the middle two; nulls left out), one row per group.
 
-    ``df`` is read several times and should be stored. One aggregate sketches a narrow bracket around each median; a
-    second counts what lies below it; only values inside a bracket, under 1 % of a column that varies, become rows and
-    are ordered. Where a sketch missed, the bracket is opened and the step repeated for that group and column alone.
+    ``df`` is read twice and should be stored; ``accuracy`` is the number of bins of ``ranked_values``.
     """
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(f"__x_{i}") for i, c in enumerate(cols)])
-    at, probs = range(len(cols)), [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
-    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[
-        F.percentile_approx(f"__x_{i}", probs, F.lit(accuracy)).alias(f"__e_{i}") for i in at])
-    brackets = stage(sketch.select(*keys, "__n", *[
-        F.col(f"__e_{i}")[side].alias(f"__{name}_{i}") for i in at for side, name in enumerate(("lo", "hi"))]), "brackets")
-    found = None
-    while True:
-        table = brackets.drop("__n")
-        joined = spread_lookup(rows, table, keys, brackets.select(*keys, "__n"), null_safe=True) if keys else (
-            with_scalars(rows, table).select(*rows.columns, "__g.*"))
-        counts = joined.groupBy(*keys).agg(*[c for i in at for c in (
-            F.count(F.when(F.col(f"__lo_{i}").isNotNull(), F.col(f"__x_{i}"))).alias(f"__n_{i}"),
-            F.count_if(F.col(f"__x_{i}") < F.col(f"__lo_{i}")).alias(f"__below_{i}"),
-            F.count_if(F.col(f"__x_{i}") <= F.col(f"__hi_{i}")).alias(f"__upto_{i}"))])
-        placed = lookup(brackets, counts, keys, null_safe=True) if keys else with_scalars(brackets, counts).select("*", "__g.*").drop("__g")
-        placed = stage(placed, "placed")
-        parts = placed.select(*keys, F.explode(F.array(*[F.struct(
-            F.lit(i).alias("c"), *[F.col(f"__{name}_{i}").alias(name) for name in ("lo", "hi", "n", "below", "upto")]) for i in at])).alias("p")
-        ).select(*keys, "p.*").filter("n > 0")
-        ranks = parts.withColumn("first", F.floor((F.col("n") - 1) / 2)).withColumn("last", F.floor(F.col("n") / 2))
-        good = (F.col("below") <= F.col("first")) & (F.col("last") < F.col("upto"))
-        flat = ranks.filter(good & (F.col("lo") == F.col("hi"))).select(*keys, "c", F.col("lo").alias("m"))
-        values = joined.select(*keys, F.explode(F.filter(F.array(*[
-            F.when((F.col(f"__lo_{i}") < F.col(f"__hi_{i}")) & F.col(f"__x_{i}").between(F.col(f"__lo_{i}"), F.col(f"__hi_{i}")),
-                   F.struct(F.lit(i).alias("c"), F.col(f"__x_{i}").alias("v"))) for i in at]), lambda s: s.isNotNull())).alias("s"))
-        values = values.select(*keys, "s.*").groupBy(*keys, "c", "v").agg(F.count(F.lit(1)).alias("w"))
-        ordered = running(values, [*keys, "c"], ["v"], {"before": ("sum", F.col("w"))})
-        middle = lookup(ordered, ranks.filter(good), [*keys, "c"], null_safe=True)
-        start = F.col("below") + F.col("before")
-        hits = middle.filter((start <= F.col("last")) & (F.col("first") < start + F.col("w")))
-        varied = hits.groupBy(*keys, "c").agg(((F.min("v") + F.max("v")) / 2).alias("m"))
-        new = stage(flat.unionByName(varied), "medians")
-        found = new if found is None else found.unionByName(new)
-        missed = ranks.filter(~good)
-        if missed.isEmpty():
-            break
-        opened = missed.groupBy(*keys).agg(F.sum("n").alias("__n"), *[F.max(F.when(F.col("c") == i, F.lit(float(side)))).alias(f"__{name}_{i}")
-                                           for i in at for side, name in (("-inf", "lo"), ("nan", "hi"))])
-        brackets = stage(opened, "brackets")
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == i, F.col("m"))).alias(c) for i, c in enumerate(cols)])
-    return wide
+    found = ranked_values(df, keys, {str(i): (c, 0.5) for i, c in enumerate(cols)}, weight, accuracy)
+    return found.select(*keys, *[((F.col(f"lo_{i}") + F.col(f"hi_{i}")) / 2).alias(c) for i, c in enumerate(cols)])
+
+
+def _picked_ranks(ordered: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    aggs = [F.max("total").alias("n")]
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("total") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{side}_{name}"))
+    return ordered.groupBy(*keys).agg(*aggs)
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                 approx: bool = False, accuracy: int = 10000, maps: dict | None = None,
-                weight: str | None = None) -> DataFrame:
+                weight: str | None = None, stored: bool = False) -> DataFrame:
     """Exact linear-interpolated percentiles per group (one row per group, plus the count ``n``).
 
     ``maps`` gives an increasing function for some of the names: the percentile of the mapped value, from one ordering.
 
     The built-in exact aggregate keeps all values of a group in one task; this selects the two needed ranks from
-    counted, ordered values instead. ``approx=True`` uses the bounded-memory sketch.
+    counted, ordered values instead. ``stored`` rows are read twice instead, so that few values are ordered.
+    ``approx=True`` uses the bounded-memory sketch.
     """
     if approx:
         maps = maps or {}
@@ -334,14 +356,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
         sketch = df.groupBy(*keys).agg(F.count(value).alias("n"), picks.alias("__q"))
         return sketch.select(*keys, "n", *[
             maps.get(p, lambda c: c)(F.col("__q")[i]).alias(p) for i, p in enumerate(probs)])
-    ordered = ordered_values(df, keys, value, weight=weight)
-    aggs = [F.max("total").alias("n")]
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{side}_{name}"))
-    picked = ordered.groupBy(*keys).agg(*aggs)
+    if stored:
+        found = ranked_values(df, keys, {name: (value, p) for name, p in probs.items()}, weight)
+        picked = found.select(*keys, F.col(f"n_{next(iter(probs))}").alias("n"), *[
+            F.col(f"{side}_{name}").alias(f"__{side}_{name}") for name in probs for side in ("lo", "hi")])
+    else:
+        picked = _picked_ranks(ordered_values(df, keys, value, weight=weight), keys, value, probs)
     out = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("n") - 1)

@@ -12,11 +12,12 @@ from .sliding import window_medians
 
 
 def fit_threshold(df: DataFrame, err: str, p: float = 0.99, keys: list[str] | None = None, min_rows: int = 20,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, stored: bool = False) -> DataFrame:
     """Percentile of the score: one row, or one row per key with at least ``min_rows`` rows."""
     if not keys:
-        return percentiles(df, [], err, {"threshold": p}, approx).select("threshold")
-    return percentiles(df, keys, err, {"threshold": p}, approx).filter(F.col("n") >= min_rows).select(*keys, "threshold")
+        return percentiles(df, [], err, {"threshold": p}, approx, stored=stored).select("threshold")
+    found = percentiles(df, keys, err, {"threshold": p}, approx, stored=stored)
+    return found.filter(F.col("n") >= min_rows).select(*keys, "threshold")
 
 
 def apply_threshold(df: DataFrame, table: DataFrame, fallback: DataFrame, keys: list[str], out: str = "thr_recon",

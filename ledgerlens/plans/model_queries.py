@@ -308,7 +308,7 @@ def score_saved(spark, sf_dir):
     raw = bank_txn(spark, sf_dir, carry=ORDER)
     dated = raw.withColumn("__ts", F.coalesce(X.parse_date_key(F.col(S.POSTING_DATE)), X.parse_date_key(F.col(S.VALUE_DATE))))
     old, new = (d.drop("__ts") for d in split_last_months(stage(dated, "dated"), "__ts"))
-    _, fitted = pipelines.train_and_detect(old, test=new, order_by=ORDER)
+    fitted = pipelines.train(old, order_by=ORDER)
     path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     fitted.save(path)
     out = pipelines.BatchScorer(spark, path)(new, order_by=ORDER)

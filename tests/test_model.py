@@ -152,6 +152,17 @@ def test_saved_model_scores_every_row(spark, tmp_path):
     assert out.filter("(Anomaly = 1) <> (AnomalyReason <> '')").count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_training_alone_gives_the_model_of_train_and_detect(spark):
+    """The fitted tables do not depend on the rows to score, so a model that is only saved needs none."""
+    raw = bank_txn(spark, SF, carry=ORDER).withColumn("__ts", X.parse_date_key(F.col(S.POSTING_DATE)))
+    old, new = (d.drop("__ts") for d in splits.split_last_months(stage(raw, "raw"), "__ts"))
+    _, both = pipelines.train_and_detect(old, test=new, order_by=ORDER)
+    alone = pipelines.train(old, order_by=ORDER)
+    for name in pipelines.TABLES:
+        assert sorted(map(repr, alone[name].collect())) == sorted(map(repr, both[name].collect()))
+
+
 def test_a_filter_on_the_issues_does_not_repeat_the_audit(spark):
     texts = ["Products?$top=10", "", "Orders?$top=abc", "Lines?$filter=(Price gt 1&$top=5"]
     audited = query_audit.audit_queries(spark.createDataFrame([(t,) for t in texts], "query string"))

@@ -60,6 +60,30 @@ def test_a_missed_bracket_is_opened(spark, monkeypatch):
     assert skew.column_medians(df, ["k"], ["v"]).first().v == 50.0
 
 
+def test_stored_percentiles_order_few_values(spark, monkeypatch):
+    """Exact ranks of stored rows, extreme and weighted values too, without ordering all of the values."""
+    rng = random.Random(3)
+    odd = [float("-inf"), -1e300, -5e-324, -0.0, 0.0, 5e-324, 1e-12, 1.0, 1.0, 1e300, float("inf")]
+    rows = [("odd", v, rng.randrange(1, 4)) for v in odd] + [("odd", None, 1), (None, 2.5, 1), ("none", None, 1)]
+    rows += [("many", rng.choice([-1, 1]) * rng.uniform(900, 105_000), 1) for _ in range(5000)]
+    df = stage(spark.createDataFrame(rows, "k string, v double, w long"), "rows")
+    probs = {"low": 0.0, "q": 0.25, "mid": 0.5, "high": 0.97, "top": 1.0}
+    ordered, plain = [], skew.running
+
+    def recorded(df, *args, **kwargs):
+        ordered.append(df.count())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(skew, "running", recorded)
+    for weight in (None, "w"):
+        for keys in (["k"], []):
+            ordered.clear()
+            got = skew.percentiles(df, keys, "v", probs, weight=weight, stored=True)
+            assert sum(ordered) < 500
+            want = skew.percentiles(df, keys, "v", probs, weight=weight)
+            assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_hot_keys_with_a_map_column(spark):
     rows = spark.range(2000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.col("id").cast("string")).alias("k"),
                                     F.create_map(F.lit("a"), F.col("id")).alias("m"), "id")
