@@ -319,13 +319,12 @@ def ranked_values(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, f
         of(2 * j, "__x").alias(f"lo_{name}"), of(2 * j + 1, "__x").alias(f"hi_{name}"), of(2 * j, "__total").alias(f"n_{name}"))])
 
 
-def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 128, weight: str | None = None
-                   ) -> DataFrame:
+def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 128) -> DataFrame:
     """Exact median of each column per group (linear between the middle two; nulls left out), one row per group.
 
     ``df`` is read twice and should be stored; ``accuracy`` is the number of bins of ``ranked_values``.
     """
-    found = ranked_values(df, keys, {str(i): (c, 0.5) for i, c in enumerate(cols)}, weight, accuracy)
+    found = ranked_values(df, keys, {str(i): (c, 0.5) for i, c in enumerate(cols)}, bins=accuracy)
     return found.select(*keys, *[((F.col(f"lo_{i}") + F.col(f"hi_{i}")) / 2).alias(c) for i, c in enumerate(cols)])
 
 
