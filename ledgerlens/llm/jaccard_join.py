@@ -2,14 +2,17 @@
 
 A document's set holds 64-bit hashes of its distinct 5-word shingles; equal sets are one *class*. Classes are light or
 heavy by size. Light ones enumerate the subsets of the size any partner must share with them; heavy ones (and light ones
-that may meet them) enter the inverted lists of their rarest shingles, as many as any partner must hit. Scanning a list
-in order of size puts neighbours in the lists that may be similar into one *candidate group*. Inside a group, all classes
-of compatible size are compared exactly, in blocks; a block keeps the links that join what is not joined yet. So no link
-between groups is lost, no pair becomes a row, and copies are never expanded.
+that may meet them) enter the inverted lists of their rarest shingles, as many as any partner must hit; larger ones enter
+a few more and must hit several. Scanning a list in order of size counts the hits of a class with the few before it that
+may be similar, and pairs with enough hits fall into one *candidate group*. Where there are more than a few, neighbours
+are grouped without a count. Inside a group, all classes of compatible size are compared exactly, in blocks; a block
+keeps the links that join what is not joined yet. So no link between groups is lost, a list gives at most a fixed number
+of pairs for each entry, and copies are never expanded.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from itertools import combinations
 from math import comb
 
@@ -29,6 +32,8 @@ PERCENT = 80
 MOST_LIGHT = 16  # sizes beyond this are never light
 SCAN_COST = 16  # work of an inverted-list entry, in subset entries
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 24  # of the shingle count sketch
+HIT_STEP = 50  # shingles of a set for each list more that a partner must hit
+MOST_BEFORE = 16  # similar sizes before an entry in its list, up to which pairs are counted
 LIST_BLOCK = 100_000  # entries of an inverted list that one task scans
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_500_000  # of a block of compared classes
 RARE = 16  # sets of a block that hold a shingle, up to which its pairs are counted one by one
@@ -91,6 +96,15 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n + (percent * n) // -100 + 1
 
 
+def least_hits(n: int, percent: int = PERCENT) -> int:
+    """Lists that a similar set must hit, of the first ``prefix_length + least_hits - 1`` shingles of either.
+
+    At least ``percent * n`` / 100 shingles are shared, so at most ``n`` less that are not, and for two sets the smaller
+    of their numbers holds.
+    """
+    return min(1 + n // HIT_STEP, -(-percent * n // 100))
+
+
 def subset_entries(n: int, light: int, percent: int = PERCENT) -> int:
     return sum(comb(n, least_overlap(n, t, percent)) for t in range(1, light + 1) if fits(n, t, percent))
 
@@ -178,7 +192,7 @@ def _entries(docs: DataFrame, sketch, light: int, percent: int) -> DataFrame:
                     put(made, np.zeros(len(made), np.int64), np.zeros(len(made), bool), key, n)
                 if n > light or 100 * n // percent > light:
                     estimate = counts[(s >> bits).astype(np.int64)]
-                    p = prefix_length(n, percent)
+                    p = prefix_length(n, percent) + least_hits(n, percent) - 1
                     first = np.lexsort((s, estimate))[:p]
                     pieces = estimate[first].astype(np.int64) // limit + 1
                     put(s[first], key % pieces, pieces > 1, key, n)
@@ -191,50 +205,71 @@ def _entries(docs: DataFrame, sketch, light: int, percent: int) -> DataFrame:
 
 
 def _scan(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Scan inverted lists in order of size: links from the head of each run of compatible sizes to its members.
+    """Scan inverted lists in order of size for links between classes of compatible size.
 
-    Input: keys, class, lo, hi (the smallest and largest size that the entry stands for). Output: links (a, b), and for
-    each run of a cut list one row (token, class, lo, hi). Streams over sorted rows; no list is held in memory.
+    Input: keys, class, lo, hi (the smallest and largest size that the entry stands for), cut. Output: pairs (a, b) with
+    the hits they ``need`` in all lists. An entry is paired with each of compatible size before it; where these are more
+    than ``MOST_BEFORE``, or the list is cut, neighbours are linked instead and need none. For each run of compatible
+    sizes of a cut list there is one row (token, class, lo, hi). Streams over sorted rows; no list is held in memory.
     """
     def run(frames):
-        last = None  # key, head, lo, hi of the open run, and whether it is of a cut list
+        last = None  # key, head, lo, hi of the open run of a cut list
+        key, recent, tied, at = None, deque(maxlen=MOST_BEFORE + 1), 0, 0  # of the open list; entry ``tied`` is linked
         for df in frames:
-            a, b, runs = [], [], []
+            links, runs = [], []
             same = np.logical_and.reduce([df[k].to_numpy()[1:] == df[k].to_numpy()[:-1] for k in keys])
             met = np.concatenate([[True], same]) | np.concatenate([same, [True]]) | df["cut"].to_numpy()
             met[:1] = True
             df = df[met]  # an entry alone in its list meets nothing
             for row in zip(*[df[k] for k in keys], df["class"], df["lo"], df["hi"], df["cut"]):
-                key, (owner, lo, hi, cut) = row[:len(keys)], row[len(keys):]
-                if last and last[0] == key and 100 * last[3] >= percent * lo:
-                    if owner != last[1]:
-                        a.append(last[1])
-                        b.append(owner)
-                    last = (key, last[1], last[2], max(last[3], hi), cut)
+                own, (owner, lo, hi, cut) = row[:len(keys)], row[len(keys):]
+                if cut:
+                    if last and last[0] == own and 100 * last[3] >= percent * lo:
+                        if owner != last[1]:
+                            links.append((last[1], owner, 0))
+                        last = (own, last[1], last[2], max(last[3], hi))
+                    else:
+                        if last:
+                            runs.append(last)
+                        last = (own, owner, lo, hi)
+                    continue
+                if own != key:
+                    key, tied, at = own, 0, 0
+                    recent.clear()
+                elif recent[-1][0] == owner:
+                    continue  # a copy
+                while recent and 100 * recent[0][1] < percent * lo:
+                    recent.popleft()
+                if len(recent) <= MOST_BEFORE:
+                    links += [(c, owner, least_hits(n, percent)) for c, n in recent]
                 else:
-                    if last and last[4]:
-                        runs.append(last)
-                    last = (key, owner, lo, hi, cut)
-            yield from out(a, b, runs)
-        yield from out([], [], [last] if last and last[4] else [])
-
-    def out(a, b, runs):
-        if a:
-            links = np.unique(np.array([a, b], np.int64), axis=1)
-            yield pd.DataFrame({"a": links[0], "b": links[1], "token": None, "class": None, "lo": None, "hi": None})
+                    chain = [c for c, _ in recent][max(0, tied - at + len(recent)):] + [owner]
+                    links += [(c, d, 0) for c, d in zip(chain, chain[1:])]
+                    tied = at
+                recent.append((owner, lo))
+                at += 1
+            yield from out(links, runs)
+        yield from out([], [last] if last else [])
+
+    def out(links, runs):
+        if links:
+            a, b, need = np.array(links, np.int64).T
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": need,
+                                "token": None, "class": None, "lo": None, "hi": None})
         if runs:
-            yield pd.DataFrame({"a": None, "b": None, "token": [r[0][0] for r in runs], "class": [r[1] for r in runs],
-                                "lo": [r[2] for r in runs], "hi": [r[3] for r in runs]})
+            yield pd.DataFrame({"a": None, "b": None, "need": None, "token": [r[0][0] for r in runs],
+                                "class": [r[1] for r in runs], "lo": [r[2] for r in runs], "hi": [r[3] for r in runs]})
 
     placed = rows.repartition(*keys).sortWithinPartitions(*keys, "lo", "class")
-    return placed.mapInPandas(run, "a long, b long, token long, class long, lo long, hi long")
+    return placed.mapInPandas(run, "a long, b long, need long, token long, class long, lo long, hi long")
 
 
 def candidate_links(docs: DataFrame, sketch: np.ndarray, light: int, percent: int) -> DataFrame:
     """Links (a, b) between classes whose components hold together every pair of classes that may be similar."""
     scanned = stage(_scan(_entries(docs, sketch, light, percent), ["token", "part"], percent), "scanned")
-    links = scanned.filter("a is not null").select("a", "b")
-    runs = scanned.filter("token is not null").select("token", "class", "lo", "hi", F.lit(False).alias("cut"))
+    pairs = scanned.filter("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need"))
+    links = pairs.filter("hits >= need").select("a", "b")
+    runs = scanned.filter("token is not null").select("token", "class", "lo", "hi", F.lit(True).alias("cut"))
     if not runs.isEmpty():  # the runs of the parts of a cut list meet in a second scan
         links = links.union(_scan(runs, ["token"], percent).filter("a is not null").select("a", "b"))
     return links
@@ -260,8 +295,8 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 def _forest(sets: list[np.ndarray], new: int, percent: int) -> list[tuple[int, int]]:
     """Links that join the sets, pairs of the first ``new`` among themselves left out when there are others.
 
-    Overlaps are exact: pairs of rare shingles are counted one by one, others become columns of a 0/1 matrix that is
-    multiplied in slices.
+    Sets that share too few of their shingles with all others are left out first. Overlaps are exact: pairs of rare
+    shingles are counted one by one, others become columns of a 0/1 matrix that is multiplied in slices.
     """
     n, size = np.array([len(s) for s in sets]), len(sets)
     flat = np.concatenate(sets)
@@ -270,6 +305,12 @@ def _forest(sets: list[np.ndarray], new: int, percent: int) -> list[tuple[int, i
     flat = flat[order]
     heads = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     count = np.repeat(np.diff(np.r_[heads, len(flat)]), np.diff(np.r_[heads, len(flat)]))
+    kept = np.flatnonzero(100 * np.bincount(rows[count > 1], minlength=size) >= percent * n)
+    if len(kept) < size:
+        among = int((kept < new).sum())
+        if len(kept) < 2 or new < size and among in (0, len(kept)):
+            return []
+        return [(int(kept[i]), int(kept[j])) for i, j in _forest([sets[i] for i in kept], among, percent)]
     overlap = np.zeros((size, size), np.int64)
     few = (count > 1) & (count <= RARE)
     r, t = rows[few], flat[few]

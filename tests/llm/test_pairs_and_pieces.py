@@ -78,6 +78,52 @@ def test_join_with_cut_lists_and_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+def long_copies(seed, groups, size, words=300):
+    """Groups of long near copies, some just similar and some not; each group shares nine words with the next."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(words)]
+        base[20:29], base[60:69] = [f"p{g}w{i}" for i in range(9)], [f"p{g + 1}w{i}" for i in range(9)]
+        for c in range(size):
+            out, most = list(base), rng.choice([1, 4, 6, 7])
+            for at in rng.sample(range(words), most):
+                out[at] = f"c{g}x{c}x{at}"
+            texts.append(" ".join(out))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_long_sets_with_few_common_shingles_are_no_candidates(spark):
+    rows = long_copies(6, groups=40, size=1)
+    sketch = np.zeros(jaccard_join.LEAST_CELLS, np.int32)
+    assert jaccard_join.candidate_links(table(spark, rows), sketch, 0, 80).count() == 0
+
+
+@pytest.mark.parametrize("groups, size", [(12, 5), (2, 60)])
+def test_join_of_long_sets_against_all_pairs(spark, groups, size):
+    """Lists with few entries count hits, lists with many link neighbours."""
+    rows = long_copies(7, groups, size) + near_copies(8, groups=2, size=40)[:0 if size < 40 else None]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = jaccard_join.link_documents(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+
+
+def test_least_hits_reach_every_similar_pair():
+    """Whatever the order of the shingles, prefixes of similar sets share the hits asked for."""
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.choice([5, 49, 50, 99, 130, 260])
+        m = rng.randint(-(-80 * n // 100), n)
+        common = rng.randint(jaccard_join.least_overlap(n, m), m) if jaccard_join.least_overlap(n, m) <= m else 0
+        if not common:
+            continue
+        a, b = set(range(n)), set(range(n - common, n - common + m))
+        order = [*rng.sample(sorted(a - b), n - common), *rng.sample(sorted(b - a), m - common), *rng.sample(sorted(a & b), common)]
+        heads = [set([x for x in order if x in s][:jaccard_join.prefix_length(len(s)) + jaccard_join.least_hits(len(s)) - 1]) for s in (a, b)]
+        assert len(heads[0] & heads[1]) >= min(jaccard_join.least_hits(n), jaccard_join.least_hits(m))
+
+
 def test_prefix_and_subset_sizes_reach_every_similar_pair():
     for a in range(1, 40):
         for b in range(a, 40):
