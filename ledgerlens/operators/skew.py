@@ -273,24 +273,39 @@ def _value_bin(col: Column, bins: int) -> Column:
     return F.coalesce(F.signum(col) * F.floor((F.ln(F.abs(col)) + 746) * bins), F.lit(0.0))
 
 
+def _binned(df: DataFrame, keys: list[str], cols: list[str], weight: str | None, bins: int) -> tuple[DataFrame, Column]:
+    """A row (keys, ``__col``, ``__x``, ``__bin``) for each value of the columns, and their count."""
+    values = F.array(*[F.struct(F.lit(i).alias("__col"), F.col(c).cast("double").alias("__x")) for i, c in enumerate(cols)])
+    size = [F.col(weight).alias("__w")] if weight else []
+    rows = df.select(*keys, *size, F.inline(values)) if len(cols) > 1 else df.select(
+        *keys, *size, F.lit(0).alias("__col"), F.col(cols[0]).cast("double").alias("__x"))
+    rows = rows.filter("__x is not null").withColumn("__bin", _value_bin(F.col("__x"), bins))
+    return rows, (F.sum("__w") if weight else F.count(F.lit(1))).alias("__n")
+
+
+def value_bins(df: DataFrame, keys: list[str], cols: list[str], weight: str | None = None, bins: int = 128) -> DataFrame:
+    """Values of the columns counted by group and bin, stored; they also serve ``ranked_values`` by some of the keys."""
+    rows, count = _binned(df, keys, cols, weight, bins)
+    return stage(rows.groupBy(*keys, "__col", "__bin").agg(count, F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "bins")
+
+
 def ranked_values(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], weight: str | None = None,
-                  bins: int = 128) -> DataFrame:
+                  bins: int = 128, counted: DataFrame | None = None) -> DataFrame:
     """``lo_<name>``, ``hi_<name>``: the values of a column beside a quantile per group, and ``n_<name>``, its values.
 
     ``wanted`` maps a name to (column, p); nulls are left out. ``df`` is read twice and should be stored. Values are
     counted by group and bin, which leaves little to shuffle; only the values of a bin that holds a wanted rank, and more
     than one value, are counted by themselves and ordered. The bins only save work; any bins give the same results.
+    ``counted`` are the ``value_bins`` of the same rows and columns (as many or more, in this order) by these keys or more.
     """
     cols = list(dict.fromkeys(c for c, _ in wanted.values()))
-    values = F.array(*[F.struct(F.lit(i).alias("__col"), F.col(c).cast("double").alias("__x")) for i, c in enumerate(cols)])
-    size = [F.col(weight).alias("__w")] if weight else []
-    rows = df.select(*keys, *size, F.inline(values)) if len(cols) > 1 else df.select(
-        *keys, *size, F.lit(0).alias("__col"), F.col(cols[0]).cast("double").alias("__x"))
-    rows = rows.filter("__x is not null").withColumn("__bin", _value_bin(F.col("__x"), bins))
-    count = (F.sum("__w") if weight else F.count(F.lit(1))).alias("__n")
-
+    rows, count = _binned(df, keys, cols, weight, bins)
     group, at = [*keys, "__col"], [*keys, "__col", "__bin"]
-    counted = stage(rows.groupBy(*at).agg(count, F.min("__x").alias("__lo"), F.max("__x").alias("__hi")), "bins")
+    if counted is None:
+        counted = value_bins(df, keys, cols, weight, bins)
+    else:
+        counted = counted.groupBy(*at).agg(
+            F.sum("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumns({"__below": F.coalesce(F.sum("__n").over(before), F.lit(0)),
                                   "__total": F.sum("__n").over(Window.partitionBy(*group))})
@@ -319,12 +334,13 @@ def ranked_values(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, f
         of(2 * j, "__x").alias(f"lo_{name}"), of(2 * j + 1, "__x").alias(f"hi_{name}"), of(2 * j, "__total").alias(f"n_{name}"))])
 
 
-def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 128) -> DataFrame:
+def column_medians(df: DataFrame, keys: list[str], cols: list[str], accuracy: int = 128,
+                   counted: DataFrame | None = None) -> DataFrame:
     """Exact median of each column per group (linear between the middle two; nulls left out), one row per group.
 
-    ``df`` is read twice and should be stored; ``accuracy`` is the number of bins of ``ranked_values``.
+    ``df`` is read twice and should be stored, once with ``counted``; ``accuracy`` is the number of bins of ``ranked_values``.
     """
-    found = ranked_values(df, keys, {str(i): (c, 0.5) for i, c in enumerate(cols)}, bins=accuracy)
+    found = ranked_values(df, keys, {str(i): (c, 0.5) for i, c in enumerate(cols)}, bins=accuracy, counted=counted)
     return found.select(*keys, *[((F.col(f"lo_{i}") + F.col(f"hi_{i}")) / 2).alias(c) for i, c in enumerate(cols)])
 
 

@@ -1,5 +1,6 @@
 """Balanced grouped operators: equal to the plain ones, also with a key that holds a third of the rows."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -140,3 +141,13 @@ def test_running_sums_cut_a_hot_null_group(spark):
     out = skew.running(rows, ["g"], ["id"], {"before": ("sum", F.lit(1).cast("long"))}, totals=True)
     got = out.filter("g is null").agg(F.count(F.lit(1)), F.max("before"), F.min("before_total")).first()
     assert tuple(got) == (3000, 2999, 3000)
+
+
+def test_bins_of_groups_serve_the_medians_of_all_rows(spark):
+    rows = [(i % 3 or None, math.sin(i) * 10 ** (i % 5) if i % 7 else None, float(i * i), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    bins = skew.value_bins(df, ["k"], ["x", "y", "z"])
+    for keys in ([], ["k"]):
+        want = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("x", "y")])
+        got = skew.column_medians(df, keys, ["x", "y"], counted=bins)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
